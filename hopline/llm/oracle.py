@@ -2,4 +2,57 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from hopline.llm.quality_rules import BASE_RULES, MAX_HOST_RATE, PRIOR_WEIGHT, RULES
+
+_BASE = " OR ".join(f"({RULES[r]})" for r in BASE_RULES)
+_LOW, _HIGH = PRIOR_WEIGHT
+
+
+def _shrunk(rule: str) -> str:
+    mean, spread = f"(p.f_{rule} / p.n)", f"(p.q_{rule} / p.n - (p.f_{rule} / p.n) * (p.f_{rule} / p.n))"
+    weight = f"greatest({_LOW}, least({_HIGH}, CASE WHEN {spread} > 1e-12 THEN {mean} * (1 - {mean}) / {spread} - 1 ELSE {_HIGH} END))"
+    return f"(h.f_{rule} + {mean} * {weight}) / (h.n + {weight})"
+
+
+OP1 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT k, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, string_split(text, chr(10)) AS lines,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d
+), win AS (
+  SELECT k, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) AS win,
+         unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2
+), twice AS (
+  SELECT k, win FROM win GROUP BY k, win HAVING count(*) > 1
+), inside AS (
+  SELECT DISTINCT k, i + o AS i FROM win JOIN twice USING (k, win), (VALUES (0), (1), (2)) AS s(o)
+), rep AS (
+  SELECT k, count(*) AS n_repeat_words FROM inside GROUP BY k
+), ln AS (
+  SELECT k, unnest(lines) AS line FROM w
+), dup AS (
+  SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY k
+), m AS (
+  SELECT d.doc_id, d.source, len(w.words) AS n_words, coalesce(length(array_to_string(w.words, '')), 0) AS word_chars, w.n_symbols,
+         coalesce(dup.n_lines, 0) AS n_lines, coalesce(dup.n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n_repeat_words, 0) AS n_repeat_words
+  FROM d JOIN w USING (k) LEFT JOIN rep USING (k) LEFT JOIN dup USING (k)
+), h AS (
+  SELECT source, count(*)::DOUBLE AS n, {", ".join(f"sum(({q})::INT)::DOUBLE AS f_{r}" for r, q in RULES.items())}
+  FROM m WHERE source IS NOT NULL GROUP BY source
+), p AS (
+  SELECT sum(n) AS n, {", ".join(f"sum(f_{r}) AS f_{r}, sum(f_{r} * f_{r} / n) AS q_{r}" for r in RULES)} FROM h
+), v AS (
+  SELECT h.source, greatest({", ".join(_shrunk(r) for r in RULES)}) AS host_rate FROM h, p
+)
+SELECT m.doc_id, m.n_words::BIGINT AS n_words, m.word_chars::BIGINT AS word_chars, m.n_symbols::BIGINT AS n_symbols,
+       m.n_dup_lines::BIGINT AS n_dup_lines, m.n_repeat_words::BIGINT AS n_repeat_words, ({_BASE}) AS base_failed,
+       NOT ({_BASE}) AND NOT coalesce(v.host_rate > {MAX_HOST_RATE}, false) AS kept, m.source,
+       round(v.host_rate, 6) AS host_rate, coalesce(v.host_rate > {MAX_HOST_RATE}, false) AS host_rejected
+FROM m LEFT JOIN v ON m.source = v.source
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": OP1,
+}

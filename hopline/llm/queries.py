@@ -8,7 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import byte_bpe, common
+from hopline.llm import byte_bpe, common, quality_rules, simhash, token_counts
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document and its verdict by text and by host (its source)."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    measured = common.stage(quality_rules.measure(docs, keep=["doc_id", "source"]), "measures")
+    out = quality_rules.judge(measured)
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source",
+        F.round("host_rate", 6).alias("host_rate"), "host_rejected",
+    )
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +36,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest_bpe(docs: DataFrame) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
+    coded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded").drop("text")
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
@@ -28,6 +45,16 @@ def digest_bpe(docs: DataFrame) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = common.stage(simhash.fingerprints(docs).drop("text"), "docprints")
+    return simhash.classes(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_token_counts": op2_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_simhash": op7_simhash,
 }
