@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hopline.llm.mixing import BLOCKS
 from hopline.llm.quality_rules import BASE_RULES, MAX_HOST_RATE, PRIOR_WEIGHT, RULES
 
 _BASE = " OR ".join(f"({RULES[r]})" for r in BASE_RULES)
@@ -53,6 +54,56 @@ SELECT m.doc_id, m.n_words::BIGINT AS n_words, m.word_chars::BIGINT AS word_char
 FROM m LEFT JOIN v ON m.source = v.source
 """
 
+OP9 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
+         ('0x' || md5('block:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT % {BLOCKS} AS block
+  FROM documents
+), s AS (
+  SELECT source, sum(n_tokens)::BIGINT AS n FROM d GROUP BY source
+), p AS (
+  SELECT source, n, n / (SELECT sum(n)::DOUBLE FROM s) AS share FROM s
+), ends AS (
+  SELECT max(share) AS top, min(share) AS low FROM p WHERE n > 0
+), b(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN pow(top / low, 1 - (lo + hi) / 2) <= 2.0 THEN lo ELSE (lo + hi) / 2 END,
+         CASE WHEN pow(top / low, 1 - (lo + hi) / 2) <= 2.0 THEN (lo + hi) / 2 ELSE hi END
+  FROM b, ends WHERE i < 20
+), a AS (
+  SELECT CASE WHEN top / low <= 2.0 THEN 0.0 ELSE hi END AS alpha FROM b, ends WHERE i = 20
+), z AS (
+  SELECT sum(pow(share, alpha)) AS z, max(pow(share, 1 - alpha)) AS m, sum(n)::DOUBLE AS whole FROM p, a WHERE n > 0
+), q AS (
+  SELECT source, n, CASE WHEN n > 0 THEN round(pow(share, alpha) / z * (whole * z * m))::BIGINT ELSE 0 END AS quota FROM p, a, z
+), e AS (
+  SELECT source, CASE WHEN n = 0 THEN 1 ELSE quota // n END AS epochs, CASE WHEN n = 0 THEN 0 ELSE quota % n END AS rest FROM q
+), k AS (
+  SELECT d.*, epochs, rest, md5('17:' || (epochs + 1) || ':' || coalesce(d.source, '') || ':' || block) AS k,
+         md5('17:' || (epochs + 1) || ':' || coalesce(doc_id::VARCHAR, '')) AS dk
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+), blocks AS (
+  SELECT source, k, any_value(rest) AS rest, sum(n_tokens) AS n FROM k GROUP BY source, k
+), upto AS (
+  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY k) AS upto FROM blocks
+), cut AS (
+  SELECT source, min(k) AS cut_key, min_by(rest - upto + n, k) AS cut_left FROM upto WHERE rest > 0 AND upto > rest GROUP BY source
+), placed AS (
+  SELECT k.*, cut_key, cut_left, sum(n_tokens) OVER (PARTITION BY k.source, k.k ORDER BY dk, doc_id, md5(text) ROWS UNBOUNDED PRECEDING) AS inner_upto
+  FROM k LEFT JOIN cut ON k.source IS NOT DISTINCT FROM cut.source
+), passed AS (
+  SELECT doc_id, source, n_tokens, block, unnest(range(1, epochs + 1)) AS epoch FROM placed
+  UNION ALL
+  SELECT doc_id, source, n_tokens, block, epochs + 1 FROM placed
+  WHERE rest > 0 AND (cut_key IS NULL OR k < cut_key OR k = cut_key AND inner_upto <= cut_left)
+)
+SELECT doc_id, source, n_tokens, epoch::INT AS epoch, block::INT AS block,
+       md5('17:' || epoch || ':' || coalesce(source, '') || ':' || block) || md5('17:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')) AS order_key
+FROM passed
+"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": OP1,
+    "op9_mixing": OP9,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import byte_bpe, common, quality_rules, simhash, token_counts
+from hopline.llm import byte_bpe, common, mixing, quality_rules, secret_scan, simhash, token_counts
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,28 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, a digest of the patterns' spans, and all spans."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs).drop("text")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def n(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        n("assign").alias("n_assign"),
+        n("access").alias("n_access"),
+        n("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "novel")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        n("novel").alias("n_novel"),
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by merge replay, decoded again; digests of both."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,9 +74,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document once per epoch of its source, no source repeated more than twice."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op3_secret_scan": op3_secret_scan,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_simhash": op7_simhash,
+    "op9_mixing": op9_mixing,
 }
