@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import byte_bpe, common, mixing, quality_rules, secret_scan, simhash, token_counts
+from hopline.llm import byte_bpe, common, exact_topk, mixing, quality_rules, secret_scan, sentence_spans, simhash, token_counts
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that a non-first repeated span covers."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = sentence_spans.dedup(docs)
+    return done.select("doc_id", "n_sentences", "n_removed", "words_removed", F.col("clean_text").alias("text"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by merge replay, decoded again; digests of both."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,6 +81,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best inner products of every hundredth vector with all others."""
+    return exact_topk.topk(common.read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document once per epoch of its source, no source repeated more than twice."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -84,7 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op3_secret_scan": op3_secret_scan,
+    "op4_sentence_spans": op4_sentence_spans,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_simhash": op7_simhash,
+    "op8_exact_topk": op8_exact_topk,
     "op9_mixing": op9_mixing,
 }
