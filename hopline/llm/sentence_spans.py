@@ -8,7 +8,8 @@ non-first run covers is removed.
 
 A sentence ends after ``.``, ``!`` or ``?`` and a blank, or at a line's end.
 One of more than ``LONG`` words is cut further behind words whose CRC-32 is
-divisible by ``CUT``, so that passages without stops still align.
+divisible by ``CUT``, and after ``LONG`` words without one, so that passages
+without stops still align.
 
 Shuffles: 64-bit run hashes, once summed by hash with map-side combine and once
 joined, from staged tables, to the hashes that occur twice or more (so
@@ -55,7 +56,7 @@ def sentences(raw: bytes) -> list[tuple[int, int, int, bytes]]:
             for m in WORD.finditer(raw, at, end):
                 word = m[0].rstrip()
                 own.append(word)
-                if zlib.crc32(word) % CUT == 0:
+                if zlib.crc32(word) % CUT == 0 or len(own) == LONG:
                     out.append((start, m.end(), len(own), b" ".join(own)))
                     start, own = m.end(), []
             if own:
