@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import byte_bpe, common, exact_topk, mixing, quality_rules, secret_scan, sentence_spans, simhash, token_counts
+from hopline.llm import (
+    byte_bpe,
+    common,
+    crf_language,
+    exact_topk,
+    factor_machine,
+    mixing,
+    quality_rules,
+    secret_scan,
+    sentence_spans,
+    simhash,
+    token_counts,
+)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +86,14 @@ def digest_bpe(docs: DataFrame) -> DataFrame:
     )
 
 
+def op6_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labelled rows that are not held out."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = factor_machine.train(docs, common.read(spark, sf_dir, "labels").select("doc_id", "quality"), ~common.held(F.col("doc_id"), 3, 1))
+    held = common.held(F.col("doc_id"), 3, 1).alias("held_out")
+    return factor_machine.score(docs, machine).select("doc_id", held, "score", "predicted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,13 +112,28 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("text")
 
 
+def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from rows that are not held out."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = crf_language.train(docs, ~common.held(F.col("doc_id"), 4, 2))
+    held = common.held(F.col("doc_id"), 4, 2).alias("held_out")
+    return crf_language.predict(docs.drop("lang"), model).select("doc_id", held, "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op3_secret_scan": op3_secret_scan,
     "op4_sentence_spans": op4_sentence_spans,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_factor_machine": op6_factor_machine,
     "op7_simhash": op7_simhash,
     "op8_exact_topk": op8_exact_topk,
     "op9_mixing": op9_mixing,
+    "op10_crf_language": op10_crf_language,
 }
+
+
+def digest_tokens(docs: DataFrame) -> DataFrame:
+    """The last stage of the pipeline: ids and decoded bytes of each row, as digests."""
+    return digest_bpe(docs.select("doc_id", "text"))
