@@ -98,20 +98,17 @@ def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = M
     )
     counted = common.stage(counted, "hosts")
     pooled = counted.agg(
-        F.sum("n").alias("all_n"),
-        *chain.from_iterable(
-            (F.sum(f"f_{r}").alias(f"all_{r}"), F.sum(F.col(f"f_{r}").cast("double") * F.col(f"f_{r}") / F.col("n")).alias(f"sq_{r}")) for r in RULES
-        ),
-    )
-    joined = counted.join(F.broadcast(pooled))  # one row
+        F.sum("n").alias("n"),
+        *chain.from_iterable((F.sum(f"f_{r}").alias(f"f_{r}"), F.sum(F.col(f"f_{r}").cast("double") * F.col(f"f_{r}") / F.col("n")).alias(f"sq_{r}")) for r in RULES),
+    ).first()
     rates = []
     for r in RULES:
-        mean = F.col(f"all_{r}") / F.col("all_n")
-        spread = F.col(f"sq_{r}") / F.col("all_n") - mean * mean
-        own = F.when(spread > 1e-12, mean * (1 - mean) / spread - 1).otherwise(F.lit(PRIOR_WEIGHT[1]))
-        weight = F.greatest(F.lit(PRIOR_WEIGHT[0]), F.least(F.lit(PRIOR_WEIGHT[1]), own))
+        n = pooled["n"] or 1  # no host at all: there are no rows to shrink
+        mean = (pooled[f"f_{r}"] or 0) / n
+        spread = (pooled[f"sq_{r}"] or 0.0) / n - mean * mean
+        weight = min(PRIOR_WEIGHT[1], max(PRIOR_WEIGHT[0], mean * (1 - mean) / spread - 1 if spread > 1e-12 else PRIOR_WEIGHT[1]))
         rates.append(((F.col(f"f_{r}") + mean * weight) / (F.col("n") + weight)).alias(f"rate_{r}"))
-    out = joined.select("host", "n", *[f"f_{r}" for r in RULES], *rates)
+    out = counted.select("host", "n", *[f"f_{r}" for r in RULES], *rates)
     return out.withColumn("host_rejected", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > max_rate)
 
 
