@@ -244,18 +244,24 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return dealt.mapInArrow(forests(radius), "a bigint, b bigint")
 
 
+def clusters(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, cluster) for each fingerprint of ``prints``, which holds each once and is staged.
+
+    ``cluster`` is the smallest fingerprint (as a signed number) of the group.
+    """
+    linked = common.stage(components(links(prints.select("fingerprint"), radius)), "linked")
+    tied = prints.select("fingerprint").join(linked, F.col("fingerprint") == F.col("node"), "left")
+    return common.stage(tied.select("fingerprint", F.coalesce("label", "fingerprint").alias("cluster"), F.col("label").isNotNull().alias("tied")), "clusters")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(rows of ``docs``) with ``cluster`` (smallest fingerprint of the group) and ``component_id``.
+    """(rows of ``docs``) with ``cluster`` and ``component_id``, the smallest id of the group.
 
     ``docs`` has ``doc_id`` and ``fingerprint`` and should be staged: it is
     read for the distinct fingerprints and for the final join.
     """
     distinct = common.stage(docs.groupBy("fingerprint").agg(F.min(doc_id).alias("least_id")), "prints")
-    linked = common.stage(components(links(distinct.select("fingerprint"), radius)), "linked")
-    tied = distinct.join(linked, distinct["fingerprint"] == linked["node"], "left").select(
-        "fingerprint", "least_id", F.coalesce("label", "fingerprint").alias("cluster"), F.col("label").isNotNull().alias("tied")
-    )
-    tied = common.stage(tied, "tied")
+    tied = common.stage(clusters(distinct, radius).join(distinct, "fingerprint"), "tied")
     least = tied.filter("tied").groupBy(F.col("cluster").alias("c")).agg(F.min("least_id").alias("least_all"))
     least = common.stage(least, "least")
     named = tied.join(least, F.col("cluster") == F.col("c"), "left").select(
@@ -269,26 +275,27 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS) -> Da
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group, with its own columns: that of the smallest id, of equal ids the smallest text.
 
-    Ids and fingerprints are staged apart from the texts; the texts are read
-    again and joined by (id, fingerprint) to the one row that stays.
+    Ids and fingerprints are staged apart from the texts and summed up by
+    fingerprint (map side first, so copies of one text cost one row a task)
+    before groups are formed.  The texts are read again and joined by (id,
+    fingerprint) to the one row that stays.
     """
     columns = docs.columns
-    prints = common.stage(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__t")), "__t").drop("__t"), "docprints")
-    named = classes(prints.withColumnRenamed("__id", "doc_id"))
-    # the smallest (id, fingerprint) of a group names the row; how many rows share the name is counted
-    firsts = (
-        named.groupBy("cluster", F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__f"))
-        .agg(F.count("*").alias("__n"))
-        .groupBy("cluster")
-        .agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__f", "__n")).alias("f"))
-        .select("f.__id", "f.__f", "f.__n")
-    )
+    ids = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("__t"))
+    prints = common.stage(fingerprints(ids, "__t").drop("__t"), "docprints")
+    # the smallest id of a fingerprint, and how many rows share it
+    named = prints.groupBy("fingerprint", "id").agg(F.count("*").alias("n"))
+    least = named.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint", "n")).alias("name"))
+    least = common.stage(least, "prints")
+    firsts = clusters(least.select("fingerprint")).select("fingerprint", "cluster").join(least, "fingerprint")
+    firsts = firsts.groupBy("cluster").agg(F.min("name").alias("f")).select(F.col("f.id").alias("__id"), F.col("f.fingerprint").alias("__f"), F.col("f.n").alias("__n"))
     firsts = common.stage(firsts, "firsts")
-    packed = fingerprints(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(f"`{doc_id}`").alias("__i"), F.col(f"`{text}`").alias("__t")), "__t")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(f"`{doc_id}`").alias("__i"), F.col(f"`{text}`").alias("__t"))
+    packed = fingerprints(packed, "__t")
     kept = packed.join(firsts, packed["__i"].eqNullSafe(F.col("__id")) & (packed["fingerprint"] == F.col("__f")))
     alone = kept.filter("__n = 1").select("__row.*")
-    shared = kept.filter("__n > 1")
-    if firsts.filter("__n > 1").limit(1).count():  # repeated rows: of equal names the smallest text
-        best = shared.groupBy("__id", "__f").agg(F.min_by("__row", F.coalesce(F.col("__t"), F.lit(""))).alias("__row")).select("__row.*")
-        return alone.unionByName(best)
-    return alone
+    if not firsts.filter("__n > 1").limit(1).count():
+        return alone
+    # repeated rows: of those with one id and fingerprint the smallest text
+    shared = kept.filter("__n > 1").groupBy("__id", "__f").agg(F.min_by("__row", F.coalesce(F.col("__t"), F.lit(""))).alias("__row"))
+    return alone.unionByName(shared.select("__row.*"))
