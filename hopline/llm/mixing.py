@@ -5,15 +5,17 @@ to the power of an exponent, normalised.  The exponent (1 natural, 0 uniform)
 is bisected until the mixture's entropy reaches a target or no source is
 repeated more than a limit.  The weights times a token budget give each
 source a quota, and the quota is realised as block permutations: a source's
-texts lie in fixed blocks by the hash of their id, each epoch permutes the
-blocks by a hash of (seed, epoch, source, block), whole epochs are passed in
-full, and the last one stops at the token where the quota ends.
+texts lie in ``BLOCKS`` blocks of ``BLOCKS`` cells by the hash of their id,
+each epoch permutes blocks, and cells within them, by a hash of (seed, epoch,
+source, block, cell), whole epochs are passed in full, and the last one stops
+at the token where the quota ends.
 
 What is small by construction: one row per source and block (``BLOCKS`` a
-source at most) after a map-side sum, one row per source after that.  The
-texts are read where they lie; only those of each source's one cut block go
-through a window.  By default the budget is the least for which every text is
-passed at least once, so nothing is dropped and small sources are repeated.
+source at most) after a map-side sum; then one per source and cell of its one
+cut block; then one per source.  The texts are read where they lie; only those
+of each source's one cut cell, a ``BLOCKS`` squared part of it, go through a
+window.  By default the budget is the least for which every text is passed at
+least once, so nothing is dropped and small sources are repeated.
 
 Edge cases: a null source is a source of its own; null and empty texts have no
 tokens, and a source without tokens is passed once; rows that repeat an id
@@ -31,7 +33,7 @@ from pyspark.sql.window import Window
 
 from hopline.llm import common
 
-BLOCKS = 16_384
+BLOCKS = 1024
 #: Bits of the exponent; each pass over the sources settles ``STEP_BITS``.
 BITS, STEP_BITS = 20, 4
 
@@ -44,8 +46,20 @@ def _key(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
 
 
-def _block(doc_id: Column) -> Column:
-    return (F.conv(F.substring(_key(F.lit("block"), doc_id), 1, 8), 16, 10).cast("long") % BLOCKS).cast("int")
+def _part(doc_id: Column, at: int) -> Column:
+    """A number below ``BLOCKS`` from the hash of an id: the block at 1, the cell at 9."""
+    return (F.conv(F.substring(_key(F.lit("block"), doc_id), at, 8), 16, 10).cast("long") % BLOCKS).cast("int")
+
+
+def _cut(parts: DataFrame, name: str) -> DataFrame:
+    """One row per ``src``: the key of the part in which ``rest`` runs out, and what is left of it there.
+
+    ``parts`` has src, rest, key and n (tokens), at most ``BLOCKS`` rows a source.
+    """
+    upto = F.sum("n").over(Window.partitionBy("src").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    past = parts.withColumn("upto", upto).filter("rest > 0 AND upto > rest")
+    cut = past.groupBy("src").agg(F.min(F.struct("key", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("cut"))
+    return common.stage(cut.select(F.col("src").alias("s2"), F.col("cut.key").alias(name), F.col("cut.left").alias(f"{name}_left")), name)
 
 
 def exponent(sources: DataFrame, target_entropy: float | None, max_repeats: float | None) -> float:
@@ -93,7 +107,7 @@ def exponent(sources: DataFrame, target_entropy: float | None, max_repeats: floa
 def plan(docs: DataFrame, text: str, source: str, doc_id: str, target_entropy: float | None, max_repeats: float | None, budget: int | None, seed: int) -> DataFrame:
     """One row per source: tokens, weight, quota, whole epochs, and where the last epoch is cut."""
     blocks = (
-        docs.select(F.col(f"`{source}`").alias("src"), _block(F.col(f"`{doc_id}`")).alias("block"), tokens(F.col(f"`{text}`")).alias("n"))
+        docs.select(F.col(f"`{source}`").alias("src"), _part(F.col(f"`{doc_id}`"), 1).alias("block"), tokens(F.col(f"`{text}`")).alias("n"))
         .groupBy("src", "block")
         .agg(F.sum("n").alias("n"))
     )
@@ -120,14 +134,23 @@ def plan(docs: DataFrame, text: str, source: str, doc_id: str, target_entropy: f
         }
     )
     quotas = common.stage(quotas, "quotas")
-    # the cut: blocks in the order of the last epoch, at most BLOCKS rows a source
-    turned = blocks.join(common.broadcast_if_small(quotas.select(F.col("src").alias("s2"), "epochs", "rest"), 256), F.col("src").eqNullSafe(F.col("s2")))
-    turned = turned.withColumn("key", _key(F.lit(seed), F.col("epochs") + 1, F.col("src"), F.col("block")))
-    upto = F.sum("n").over(Window.partitionBy("src").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    turned = turned.withColumn("upto", upto).filter("rest > 0 AND upto > rest")
-    cut = turned.groupBy("src").agg(F.min(F.struct("key", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("cut"))
-    cut = common.stage(cut.select(F.col("src").alias("s3"), F.col("cut.key").alias("cut_key"), F.col("cut.left").alias("cut_left")), "cuts")
-    return quotas.join(common.broadcast_if_small(cut, 256), F.col("src").eqNullSafe(F.col("s3")), "left").drop("s3")
+    # the cut: the block in which the last epoch ends, then the cell within that block
+    def with_plan(rows: DataFrame, known: DataFrame) -> DataFrame:
+        return rows.join(common.broadcast_if_small(known, 256), F.col("src").eqNullSafe(F.col("s1"))).drop("s1")
+
+    known = quotas.select(F.col("src").alias("s1"), "epochs", "rest")
+    turned = with_plan(blocks, known).withColumn("key", _key(F.lit(seed), F.col("epochs") + 1, F.col("src"), F.col("block")))
+    cut = _cut(turned, "cut_block")
+    known = quotas.join(common.broadcast_if_small(cut, 256), F.col("src").eqNullSafe(F.col("s2"))).select(F.col("src").alias("s1"), "epochs", "cut_block", F.col("cut_block_left").alias("rest"))
+    known = common.stage(known, "cutplan")
+    own = docs.select(F.col(f"`{source}`").alias("src"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
+    inside = with_plan(own.withColumn("block", _part(F.col("id"), 1)), known)
+    inside = inside.filter(_key(F.lit(seed), F.col("epochs") + 1, F.col("src"), F.col("block")) == F.col("cut_block"))
+    cells = inside.withColumn("cell", _part(F.col("id"), 9)).groupBy("src", "block", "epochs", "rest", "cell").agg(F.sum(tokens(F.col("t"))).alias("n"))
+    cells = cells.withColumn("key", _key(F.lit(seed), F.col("epochs") + 1, F.col("src"), F.col("block"), F.col("cell")))
+    cell = _cut(cells, "cut_cell")
+    out = quotas.join(common.broadcast_if_small(cut, 256), F.col("src").eqNullSafe(F.col("s2")), "left").drop("s2")
+    return out.join(common.broadcast_if_small(cell, 256), F.col("src").eqNullSafe(F.col("s2")), "left").drop("s2")
 
 
 ADDED = ["n_tokens", "epoch", "block", "order_key"]
@@ -150,22 +173,26 @@ def mix(
     imposed here, for that would shuffle the texts).
     """
     docs = common.without(docs, ADDED)
-    planned = common.stage(plan(docs, text, source, doc_id, target_entropy, max_repeats, budget, seed).select(F.col("src").alias("__src"), "epochs", "rest", "cut_key", "cut_left"), "plan")
+    planned = plan(docs, text, source, doc_id, target_entropy, max_repeats, budget, seed)
+    planned = common.stage(planned.select(F.col("src").alias("__src"), "epochs", "rest", "cut_block", "cut_cell", "cut_cell_left"), "plan")
     small = common.broadcast_if_small(planned, 256)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     row = F.struct(*columns).alias("__row")
     placed = docs.select(row, F.col(f"`{source}`").alias("__s"), F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__t"))
-    placed = placed.join(small, F.col("__s").eqNullSafe(F.col("__src")))
-    placed = placed.withColumn("block", _block(F.col("__id"))).withColumn("__k", _key(F.lit(seed), F.col("epochs") + 1, F.col("__s"), F.col("block")))
-    full = F.when(F.col("epochs") > 0, F.sequence(F.lit(1), F.col("epochs"))).otherwise(F.array().cast("array<int>"))
-    inside = F.when((F.col("rest") > 0) & (F.col("cut_key").isNull() | (F.col("__k") < F.col("cut_key"))), F.array(F.col("epochs") + 1)).otherwise(F.array().cast("array<int>"))
+    placed = placed.join(small, F.col("__s").eqNullSafe(F.col("__src"))).withColumns({"block": _part(F.col("__id"), 1), "__cell": _part(F.col("__id"), 9)})
+    last = [F.lit(seed), F.col("epochs") + 1, F.col("__s"), F.col("block")]
+    placed = placed.withColumns({"__b": _key(*last), "__c": _key(*last, F.col("__cell"))})
+    none = F.array().cast("array<int>")
+    full = F.when(F.col("epochs") > 0, F.sequence(F.lit(1), F.col("epochs"))).otherwise(none)
+    before = (F.col("__b") < F.col("cut_block")) | (F.col("__b") == F.col("cut_block")) & (F.col("__c") < F.col("cut_cell"))
+    inside = F.when((F.col("rest") > 0) & (F.col("cut_block").isNull() | before), F.array(F.col("epochs") + 1)).otherwise(none)
     out = [F.col("__row"), F.col("__s"), F.col("__id"), F.col("__t"), F.col("block")]
     passed = placed.select(*out, F.explode(F.concat(full, inside)).alias("epoch"))
-    # the texts of the one cut block of each source, in their own order up to the quota
-    edge = placed.filter("rest > 0 AND __k = cut_key").withColumn("__n", tokens(F.col("__t")))
+    # the texts of the one cut cell of each source, in their own order up to the quota
+    edge = placed.filter("rest > 0 AND __b = cut_block AND __c = cut_cell").withColumn("__n", tokens(F.col("__t")))
     order = [_key(F.lit(seed), F.col("epochs") + 1, F.col("__id")), F.col("__id"), F.md5(F.coalesce(F.col("__t"), F.lit("")).cast("binary"))]
     upto = F.sum("__n").over(Window.partitionBy("__src").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("__upto", upto).filter("__upto <= cut_left").select(*out, (F.col("epochs") + 1).alias("epoch"))
+    edge = edge.withColumn("__upto", upto).filter("__upto <= cut_cell_left").select(*out, (F.col("epochs") + 1).alias("epoch"))
     both = passed.unionByName(edge)
     return both.select(
         "__row.*",

@@ -57,7 +57,8 @@ FROM m LEFT JOIN v ON m.source = v.source
 OP9 = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
-         ('0x' || md5('block:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT % {BLOCKS} AS block
+         ('0x' || md5('block:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT % {BLOCKS} AS block,
+         ('0x' || md5('block:' || coalesce(doc_id::VARCHAR, ''))[9:16])::BIGINT % {BLOCKS} AS cell
   FROM documents
 ), s AS (
   SELECT source, sum(n_tokens)::BIGINT AS n FROM d GROUP BY source
@@ -80,23 +81,15 @@ WITH RECURSIVE d AS (
 ), e AS (
   SELECT source, CASE WHEN n = 0 THEN 1 ELSE quota // n END AS epochs, CASE WHEN n = 0 THEN 0 ELSE quota % n END AS rest FROM q
 ), k AS (
-  SELECT d.*, epochs, rest, md5('17:' || (epochs + 1) || ':' || coalesce(d.source, '') || ':' || block) AS k,
-         md5('17:' || (epochs + 1) || ':' || coalesce(doc_id::VARCHAR, '')) AS dk
+  SELECT d.*, epochs, rest, '17:' || (epochs + 1) || ':' || coalesce(d.source, '') || ':' || block AS place
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
-), blocks AS (
-  SELECT source, k, any_value(rest) AS rest, sum(n_tokens) AS n FROM k GROUP BY source, k
-), upto AS (
-  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY k) AS upto FROM blocks
-), cut AS (
-  SELECT source, min(k) AS cut_key, min_by(rest - upto + n, k) AS cut_left FROM upto WHERE rest > 0 AND upto > rest GROUP BY source
 ), placed AS (
-  SELECT k.*, cut_key, cut_left, sum(n_tokens) OVER (PARTITION BY k.source, k.k ORDER BY dk, doc_id, md5(text) ROWS UNBOUNDED PRECEDING) AS inner_upto
-  FROM k LEFT JOIN cut ON k.source IS NOT DISTINCT FROM cut.source
+  SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY md5(place), md5(place || ':' || cell), md5('17:' || (epochs + 1) || ':' || coalesce(doc_id::VARCHAR, '')),
+                                doc_id, md5(text) ROWS UNBOUNDED PRECEDING) AS upto FROM k
 ), passed AS (
   SELECT doc_id, source, n_tokens, block, unnest(range(1, epochs + 1)) AS epoch FROM placed
   UNION ALL
-  SELECT doc_id, source, n_tokens, block, epochs + 1 FROM placed
-  WHERE rest > 0 AND (cut_key IS NULL OR k < cut_key OR k = cut_key AND inner_upto <= cut_left)
+  SELECT doc_id, source, n_tokens, block, epochs + 1 FROM placed WHERE rest > 0 AND upto <= rest
 )
 SELECT doc_id, source, n_tokens, epoch::INT AS epoch, block::INT AS block,
        md5('17:' || epoch || ':' || coalesce(source, '') || ':' || block) || md5('17:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')) AS order_key
