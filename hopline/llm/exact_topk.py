@@ -173,8 +173,10 @@ def topk(
     spark = vectors.sparkSession
     rows = whole_vectors(vectors, vec_id, vector, scale)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # by length, longest first: a task holds a range of lengths and meets the longest first
-    rows = common.stage(rows.repartitionByRange(parts, F.col("d"), F.col("length").desc()).sortWithinPartitions("d", F.col("length").desc(), "vec_id"), "vectors")
+    # by length, longest first: a task holds a range of lengths and meets the longest first;
+    # the id splits what has one length (copies of a common vector)
+    order = [F.col("d"), F.col("length").desc(), F.col("vec_id")]
+    rows = common.stage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), "vectors")
     queries = common.stage(rows.filter(is_query).select("vec_id", "d", "x"), "queries")
     out = None
     for d, n in sorted((r["d"], r["n"]) for r in queries.groupBy("d").agg(F.count("*").alias("n")).collect()):
