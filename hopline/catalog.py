@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hopline import catalog_writes
 from hopline.sources.adapters import star_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,11 +208,20 @@ read("rrf_k", 'match { $d: Doc } return { $d.doc_id, rrf(bm25($d.text, "idiot"),
      _rrf(["idiot"], ["worthless"], 5))
 
 
+read("bm25_type_corpus", 'match { $l: Label { toxic: 1 }  $d hasLabel $l } return { $d.doc_id, bm25($d.text, "stupid") as score }',
+     f"SELECT doc_id, score FROM {_bm25('documents', 'doc_id', 'text', ['stupid'])} JOIN labels USING (doc_id) WHERE toxic = 1")
+read("not_first_var", "match { $a: Nation  $b: Nation  $a.n_regionkey = $b.n_regionkey  not { $a borders $b } } return { $a.n_nationkey as a, $b.n_nationkey as b }",
+     f"""WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
+        SELECT a, b FROM p WHERE a NOT IN (SELECT p.a FROM p JOIN {BORDERS} e ON p.a = e.a AND p.b = e.b)""")
+#: Options of queries that need other than the default ones.
+OPTIONS = {"bm25_type_corpus": {"corpus": "type"}, "not_first_var": {"negation": "first_var"}}
+
+
 def _run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, given, _ = READS[name]
-    out = star_graph(spark, sf_dir).query(text, given)
+    out = star_graph(spark, sf_dir).query(text, given, **OPTIONS.get(name, {}))
     return out.select("r.*") if name == "project_node_struct" else out
 
 
-QUERIES: dict[str, Query] = {name: partial(_run, name=name) for name in READS}
-ORACLE: dict[str, str] = {name: sql for name, (_, _, sql) in READS.items() if sql}
+QUERIES: dict[str, Query] = {name: partial(_run, name=name) for name in READS} | catalog_writes.QUERIES
+ORACLE: dict[str, str] = {name: sql for name, (_, _, sql) in READS.items() if sql} | catalog_writes.ORACLE
