@@ -24,6 +24,7 @@ tables give empty tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from pyspark.sql.window import Window
 from hopline.llm import common
 
 K, SCALE = 10, 1024
-#: Queries in one block; longest vectors that seed the thresholds; rows of a tile; rows that fit the rotation.
-BLOCK, SEED, TILE, SAMPLE = 2048, 4096, 1024, 4096
+#: Queries in one block, about; longest vectors that seed the thresholds; rows of a tile; rows that fit the rotation, about.
+BLOCK, SEED, TILE, SAMPLE = 2048, 1024, 1024, 4096
+#: Blocks whose plans are put together before their results are staged.
+PLANS = 16
 EXACT = 2.0**53
 LIMIT = 2**63 - 1
 
@@ -139,6 +142,14 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
 
 
+def _taken(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of a bounded selection, on the driver."""
+    batches = [b for b in rows.select("vec_id", "x").toArrow().to_batches() if b.num_rows]
+    if not batches:
+        return np.zeros(0, np.int64), np.zeros((0, d))
+    return np.concatenate([b.column("vec_id").to_numpy() for b in batches]), np.concatenate([_matrix(b.column("x"), d) for b in batches])
+
+
 def _block_topk(candidates: DataFrame, ids: np.ndarray, rows: np.ndarray, turn: np.ndarray, floor: np.ndarray, k: int) -> DataFrame:
     """(query_id, vec_id, score): each task's best for one block of queries."""
     sc = candidates.sparkSession.sparkContext
@@ -177,30 +188,34 @@ def topk(
     # the id splits what has one length (copies of a common vector)
     order = [F.col("d"), F.col("length").desc(), F.col("vec_id")]
     rows = common.stage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), "vectors")
+    counts = {r["d"]: r for r in rows.groupBy("d").agg(F.count("*").alias("n"), F.count(F.when(F.expr(is_query), 1)).alias("q")).collect()}  # one row a dimension
     queries = common.stage(rows.filter(is_query).select("vec_id", "d", "x"), "queries")
-    out = None
-    for d, n in sorted((r["d"], r["n"]) for r in queries.groupBy("d").agg(F.count("*").alias("n")).collect()):
-        if d == 0:
-            continue  # no components: nothing to score
+    done: list[DataFrame] = []
+    found: list[DataFrame] = []
+    for d in sorted(counts):
+        n, asked = counts[d]["n"], counts[d]["q"]
+        if d == 0 or not asked:
+            continue  # no components, or nothing asked: nothing to score
         own = rows.filter(F.col("d") == d)
-        sample = own.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vec_id", "x").toArrow().to_batches()
-        turn = rotation(np.concatenate([_matrix(b.column("x"), d) for b in sample]))
-        seeds = own.orderBy(F.col("length").desc(), "vec_id").limit(SEED).select("vec_id", "x").toArrow().to_batches()
-        seed_ids = np.concatenate([b.column("vec_id").to_numpy() for b in seeds])
-        seed_rows = np.concatenate([_matrix(b.column("x"), d) for b in seeds])
-        low = None
-        for at in range(0, n, BLOCK):  # the next BLOCK ids after ``low``
-            some = queries.filter((F.col("d") == d) & (F.lit(True) if low is None else F.col("vec_id") > low)).orderBy("vec_id").limit(BLOCK)
-            batches = some.select("vec_id", "x").toArrow().to_batches()
-            ids = np.concatenate([b.column("vec_id").to_numpy() for b in batches])
-            x = np.concatenate([_matrix(b.column("x"), d) for b in batches])
-            low = int(ids[-1])
+        part = F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1 << 20)) / (1 << 20)
+        turn = rotation(_taken(own.filter(part < SAMPLE / n).limit(2 * SAMPLE), d)[1])
+        # the longest vectors: first how long they are, then themselves, from the few files that hold such lengths
+        least = own.select("length").orderBy(F.col("length").desc()).limit(SEED).agg(F.min("length")).first()[0]
+        seed_ids, seed_rows = _taken(own.filter(F.col("length") >= least).orderBy(F.col("length").desc(), "vec_id").limit(SEED), d)
+        blocks = -(-asked // BLOCK)
+        for block in range(blocks):
+            mine = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)) == block
+            ids, x = _taken(queries.filter((F.col("d") == d) & mine), d)
+            if not len(ids):
+                continue
             first = Search(ids, x, turn, np.full(len(ids), -np.inf), k)
             for begin in range(0, len(seed_ids), TILE):
                 first.tile(seed_ids[begin : begin + TILE], seed_rows[begin : begin + TILE])
-            found = _block_topk(own, ids, x, turn, first.floor, k)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
+            found.append(_block_topk(own, ids, x, turn, first.floor, k))
+            if len(found) == PLANS:
+                done, found = [*done, common.stage(reduce(DataFrame.unionByName, found), "found")], []
+    if not done and not found:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    out = reduce(DataFrame.unionByName, done + found)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return out.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
