@@ -207,6 +207,8 @@ read("rrf_bm25_bm25", 'match { $d: Doc } return { $d.doc_id, rrf(bm25($d.text, "
 read("rrf_k", 'match { $d: Doc } return { $d.doc_id, rrf(bm25($d.text, "idiot"), bm25($d.text, "worthless"), 5) as score } order { score desc, $d.doc_id } limit 10',
      _rrf(["idiot"], ["worthless"], 5))
 
+read("rrf_parts", 'match { $d: Doc } return { $d.doc_id, rrf(bm25($d.text, "stupid"), bm25($d.text, "clown")) as score } order { score desc, $d.doc_id } limit 40',
+     _rrf(["stupid"], ["clown"], 60).replace("LIMIT 10", "LIMIT 40"))
 
 read("bm25_type_corpus", 'match { $l: Label { toxic: 1 }  $d hasLabel $l } return { $d.doc_id, bm25($d.text, "stupid") as score }',
      f"SELECT doc_id, score FROM {_bm25('documents', 'doc_id', 'text', ['stupid'])} JOIN labels USING (doc_id) WHERE toxic = 1")
@@ -214,7 +216,7 @@ read("not_first_var", "match { $a: Nation  $b: Nation  $a.n_regionkey = $b.n_reg
      f"""WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
         SELECT a, b FROM p WHERE a NOT IN (SELECT p.a FROM p JOIN {BORDERS} e ON p.a = e.a AND p.b = e.b)""")
 #: Options of queries that need other than the default ones.
-OPTIONS = {"bm25_type_corpus": {"corpus": "type"}, "not_first_var": {"negation": "first_var"}}
+OPTIONS = {"rrf_parts": {"ranks": "parts"}, "bm25_type_corpus": {"corpus": "type"}, "not_first_var": {"negation": "first_var"}}
 
 
 def _run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

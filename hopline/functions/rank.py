@@ -48,20 +48,59 @@ def bm25(df: DataFrame, field: Column, query: str, out: str, corpus: tuple[DataF
     return joined.withColumn(out, F.coalesce(score, F.lit(0.0))).drop("__own", "__n", "__mean", *terms)
 
 
-def rrf(df: DataFrame, ranks: list[tuple[str, bool]], ties: list[Column], k: int, out: str) -> DataFrame:
+#: Steps of a score that share a bucket, and node ids that share a slice, when positions are counted in parts.
+STEPS, SLICE, FAR = 4096, 65_536, 2.0**20
+
+
+def positions(df: DataFrame, score: str, down: bool, ties: list[str], out: str) -> DataFrame:
+    """Add ``out``: the position of each row by ``score`` and then ``ties``, counted in parts.
+
+    It is the rows of better buckets, plus those of better scores in the row's
+    bucket, plus those of earlier id slices at the row's score, plus the place
+    within the slice.  Each part is a small aggregation, and no window holds
+    more than one bucket's scores or one slice's rows, so many equal scores
+    (documents without any term) don't meet in one task.  ``df`` is evaluated
+    for each part.
+    """
+    sign = -1 if down else 1
+    own = F.greatest(F.least(F.col(score) * sign, F.lit(FAR)), F.lit(-FAR))
+    rows = df.withColumns({"__s": F.col(score) * sign, "__b": F.floor(own * STEPS), "__i": F.floor(F.col(f"`{ties[0]}`") / SLICE)})
+    slices = rows.groupBy("__b", "__s", "__i").agg(F.count("*").alias("__n"))
+
+    def ahead(partition: list[str], order: str) -> Column:
+        """The rows before, among what stands in the same partition."""
+        w = Window.partitionBy(*partition) if partition else Window.partitionBy()
+        return F.coalesce(F.sum("__n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    scores = slices.groupBy("__b", "__s").agg(F.sum("__n").alias("__n"))
+    buckets = scores.groupBy("__b").agg(F.sum("__n").alias("__n")).select("__b", ahead([], "__b").alias("__p1"))
+    scores = scores.select("__b", "__s", ahead(["__b"], "__s").alias("__p2"))
+    slices = slices.select("__b", "__s", "__i", ahead(["__b", "__s"], "__i").alias("__p3"))
+    before = slices.join(scores, ["__b", "__s"]).join(buckets, "__b").select("__b", "__s", "__i", (F.col("__p1") + F.col("__p2") + F.col("__p3")).alias("__p"))
+    place = F.row_number().over(Window.partitionBy("__b", "__s", "__i").orderBy(*[f"`{t}`" for t in ties]))
+    placed = rows.withColumn("__at", place).join(before, ["__b", "__s", "__i"], "left")
+    return placed.withColumn(out, F.col("__p") + F.col("__at")).drop("__b", "__s", "__i", "__p", "__at")
+
+
+def rrf(df: DataFrame, ranks: list[tuple[str, bool]], ties: list[str], k: int, out: str, parts: bool = False) -> DataFrame:
     """Add ``out``: the sum of 1 / (k + position) over the score columns ``ranks`` (name, descending).
 
-    A position is that among all rows, ties by ``ties``; one row number for
-    each of the two scores, which is one sorted sequence by its nature.
+    A position is that among all rows, equal scores in the order of the
+    columns ``ties``.  By default each is a row number over one sorted
+    sequence; with ``parts`` it is counted in parts (see ``positions``).
     """
     if k <= 0:
         raise ValueError("rrf() needs a k above 0")
     total = F.lit(0.0)
     for i, (name, down) in enumerate(ranks):
-        order = F.desc_nulls_last(name) if down else F.asc_nulls_last(name)
-        df = df.withColumn(f"__rank{i}", F.row_number().over(Window.orderBy(order, *ties)))
-        sure = F.when(F.col(name).isNull(), F.raise_error(F.lit("rrf(): a rank score is null")).cast("double"))
-        total = total + sure.otherwise(1.0 / (k + F.col(f"__rank{i}")))
+        sure = F.when(F.col(name).isNull(), F.raise_error(F.lit("rrf(): a rank score is null")).cast("double")).otherwise(F.col(name))
+        df = df.withColumn(name, sure)
+        if parts:
+            df = positions(df, name, down, ties, f"__rank{i}")
+        else:
+            order = F.desc_nulls_last(name) if down else F.asc_nulls_last(name)
+            df = df.withColumn(f"__rank{i}", F.row_number().over(Window.orderBy(order, *[f"`{t}`" for t in ties])))
+        total = total + 1.0 / (k + F.col(f"__rank{i}"))
     return df.withColumn(out, total).drop(*[f"__rank{i}" for i in range(len(ranks))])
 
 

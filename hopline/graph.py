@@ -104,13 +104,16 @@ class Graph:
         *,
         negation: str = "all_vars",
         corpus: str = "match",
+        ranks: str = "window",
         now: dt.datetime | None = None,
     ) -> DataFrame:
         """The lazy result of a read query.
 
         ``negation="first_var"`` lets only the first outer variable of a
         negated block decide; ``corpus="type"`` takes BM25 statistics from the
-        whole node table instead of the matched rows.
+        whole node table instead of the matched rows; ``ranks="parts"`` counts
+        the positions that rrf() needs in parts, for results of many millions
+        of rows.
         """
         q = self.find(text, name)
         if q.mutation:
@@ -118,7 +121,7 @@ class Graph:
         checked = check(self.catalog, q)
         scope = Scope(checked, bind_params(q, params), now or utc_now(), self.embedder)
         rows = Matcher(self, scope, negation).run(q.match, checked.bindings)
-        return Tail(self, scope, rows, corpus).run()
+        return Tail(self, scope, rows, corpus, ranks).run()
 
     def validate(self) -> DataFrame:
         """(type, problem, n): dangling edge ends, repeated pairs, repeated ids and keys."""

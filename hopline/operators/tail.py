@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopline.functions import rank
-from hopline.operators.bindings import Rows, key, ref
+from hopline.operators.bindings import Rows, key, name
 from hopline.operators.match import Scope, is_node
 from hopline.plans import ast as A
 from hopline.plans.check import has_aggregate
+from hopline.plans.schema import ID
 
 AGGREGATES = {"count": F.count, "sum": F.sum, "avg": lambda c: F.avg(c.cast("double")), "min": F.min, "max": F.max}
 
@@ -22,8 +23,8 @@ class Tail:
     before order and limit.
     """
 
-    def __init__(self, graph, scope: Scope, rows: Rows, corpus: str = "match"):
-        self.graph, self.scope, self.rows, self.corpus = graph, scope, rows, corpus
+    def __init__(self, graph, scope: Scope, rows: Rows, corpus: str = "match", ranks: str = "window"):
+        self.graph, self.scope, self.rows, self.corpus, self.ranks = graph, scope, rows, corpus, ranks
         self.df, self.scores = rows.df, {}
 
     def bound(self) -> dict[str, str]:
@@ -46,7 +47,7 @@ class Tail:
         elif e.name == "rrf":
             ranks = [(self._named(r), r.name == "bm25") for r in e.args[:2]]
             k = self.scope.constant(e.args[2])[1] if len(e.args) == 3 else rank.RRF_K
-            self.df = rank.rrf(self.df, ranks, [key(v) for v in sorted(self.rows.vars)], rank.RRF_K if k is None else k, out)
+            self.df = rank.rrf(self.df, ranks, [name(v, ID) for v in sorted(self.rows.vars)], rank.RRF_K if k is None else k, out, self.ranks == "parts")
         else:
             self.df = self.df.withColumn(out, self.scope.call(e, self.bound()))
         self.scores[e] = out
@@ -112,5 +113,3 @@ class Tail:
             flat = flat.limit(q.limit)
         return flat.select(*columns).toDF(*[p.name for p in q.returns])
 
-
-__all__ = ["Tail", "ref"]

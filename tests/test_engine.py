@@ -139,6 +139,22 @@ def test_text_and_bm25(spark):
     assert top[0][0] == "b"
 
 
+def test_positions_in_parts_are_row_numbers(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from hopline.functions import rank
+
+    monkeypatch.setattr(rank, "SLICE", 7)
+    values = [(i, float(x)) for i, x in enumerate([0.0] * 30 + [1.5, 1.5, 2.0000001, 2.0, -3.0, math.inf, 5e6, 5e6 + 1] + [i / 10000 for i in range(60)])]
+    df = spark.createDataFrame(values, "`v::__id` bigint, s double")
+    for down in (True, False):
+        got = rank.positions(df, "s", down, ["v::__id"], "at")
+        order = F.desc("s") if down else F.asc("s")
+        want = df.withColumn("at", F.row_number().over(Window.orderBy(order, "`v::__id`")))
+        assert sorted(map(tuple, got.select("`v::__id`", "at").collect())) == sorted((r[0], r[2]) for r in want.collect())
+
+
 def test_vectors(spark):
     g = GraphSession.in_memory(spark, "node Doc { slug: String @key  topic: String?  embedding: Vector(4)? @index }")
     g.load(['{"type":"Doc","data":{"slug":"%s","topic":"%s","embedding":%s}}' % x for x in (("a", "x", "[1,0,0,0]"), ("b", "y", "[0,1,0,0]"), ("c", "y", "[-1,0,0,0]"), ("d", "x", "[0.7,0.7,0,0]"), ("e", "x", "[0,0,0,0]"), ("f", "x", "null"))])
