@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from hopline import catalog_writes
+from hopline.functions.vector import embed
 from hopline.sources.adapters import star_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,16 +186,24 @@ read("bm25_graph_scoped", 'match { $l: Label { toxic: 1 }  $d hasLabel $l } retu
      f"SELECT doc_id, score FROM {_bm25('(SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)', 'doc_id', 'text', ['stupid'])}")
 
 QUERY_VECTOR = [round(((i * 37) % 64 - 32) / 32, 5) for i in range(64)]
-_Q = "[" + ", ".join(map(str, QUERY_VECTOR)) + "]"
-_DISTANCE = f"""(1 - list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ({_Q}::FLOAT[])[i]::DOUBLE)) /
-    (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform({_Q}::FLOAT[], lambda x: x::DOUBLE * x::DOUBLE)))))"""
+
+
+def _distance(query: list[float]) -> str:
+    """SQL: the cosine distance of ``embedding`` to a vector, in doubles."""
+    q = "[" + ", ".join(map(repr, query)) + "]::FLOAT[]"
+    return f"""(1 - list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ({q})[i]::DOUBLE)) /
+    (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform({q}, lambda x: x::DOUBLE * x::DOUBLE)))))"""
+
+
+_DISTANCE = _distance(QUERY_VECTOR)
 read("nearest_topk", "match { $v: Vec } return { $v.vec_id, nearest($v.embedding, $q) as distance } order { nearest($v.embedding, $q) } limit 10",
      f"SELECT vec_id, {_DISTANCE} AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 10", "$q: Vector(64)", {"q": QUERY_VECTOR})
 read("nearest_filtered", "match { $v: Vec  $v.label = 3 } return { $v.vec_id, nearest($v.embedding, $q) as distance } order { nearest($v.embedding, $q) } limit 5",
      f"SELECT vec_id, {_DISTANCE} AS distance FROM embeddings WHERE label = 3 ORDER BY distance, vec_id LIMIT 5", "$q: Vector(64)", {"q": QUERY_VECTOR})
 read("nearest_projected", "match { $v: Vec } return { $v.vec_id, nearest($v.embedding, $q) as distance }",
      f"SELECT vec_id, {_DISTANCE} AS distance FROM embeddings", "$q: Vector(64)", {"q": QUERY_VECTOR})
-read("nearest_string", 'match { $v: Vec } return { $v.vec_id } order { nearest($v.embedding, "a question") } limit 5', None)
+read("nearest_string", 'match { $v: Vec } return { $v.vec_id } order { nearest($v.embedding, "a question") } limit 5',
+     f"SELECT vec_id FROM embeddings ORDER BY {_distance(embed('a question', 64, 'query'))}, vec_id LIMIT 5")
 
 
 def _rrf(first: list[str], second: list[str], k: int) -> str:

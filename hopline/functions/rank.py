@@ -9,17 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hopline.functions.text import tokens, tokens_of
+from hopline.functions.text import count as token_count
+from hopline.functions.text import times, tokens_of
 
 #: Fixed values of the formula.
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def _times(tokens_column: str, term: str) -> Column:
-    """How often a term is among the tokens."""
-    return F.size(F.filter(tokens_column, lambda t: t == term))
-
-
 def bm25(df: DataFrame, field: Column, query: str, out: str, corpus: tuple[DataFrame, Column] | None = None) -> DataFrame:
     """Add ``out``: the BM25 score of ``field`` among the rows of ``df`` (or of ``corpus``).
 
@@ -31,21 +27,20 @@ def bm25(df: DataFrame, field: Column, query: str, out: str, corpus: tuple[DataF
     if not asked:
         return df.withColumn(out, F.lit(0.0))
     rows, text = corpus or (df, field)
-    own = tokens(text)
     terms = [f"__df{i}" for i in range(len(asked))]
-    counted = rows.select(own.alias("__tok")).agg(
-        F.count("__tok").alias("__n"),
-        F.avg(F.size("__tok")).alias("__mean"),  # size(null) is null here
-        *[F.count(F.when(F.array_contains("__tok", t), 1)).alias(c) for (t, _), c in zip(asked, terms)],
+    counted = rows.agg(
+        F.count(text).alias("__n"),
+        F.avg(token_count(text)).alias("__mean"),  # over the texts that are not null
+        *[F.count(F.when(times(text, t) > 0, 1)).alias(c) for (t, _), c in zip(asked, terms)],
     )
-    joined = df.withColumn("__own", tokens(field)).join(F.broadcast(counted))
-    norm = F.when(F.col("__mean") > 0, K1 * (1 - B + B * F.size("__own") / F.col("__mean"))).otherwise(F.lit(K1))
+    joined = df.withColumn("__size", token_count(field)).join(F.broadcast(counted))
+    norm = F.when(F.col("__mean") > 0, K1 * (1 - B + B * F.col("__size") / F.col("__mean"))).otherwise(F.lit(K1))
     score = F.lit(0.0)
-    for (term, times), c in zip(asked, terms):
-        tf = _times("__own", term).cast("double")
+    for (term, asked_times), c in zip(asked, terms):
+        tf = times(field, term).cast("double")
         idf = F.log(1 + (F.col("__n") - F.col(c) + 0.5) / (F.col(c) + 0.5))
-        score = score + F.when(tf > 0, idf * (tf * (K1 + 1) / (tf + norm)) * times).otherwise(0.0)
-    return joined.withColumn(out, F.coalesce(score, F.lit(0.0))).drop("__own", "__n", "__mean", *terms)
+        score = score + F.when(tf > 0, idf * (tf * (K1 + 1) / (tf + norm)) * asked_times).otherwise(0.0)
+    return joined.withColumn(out, F.coalesce(score, F.lit(0.0))).drop("__size", "__n", "__mean", *terms)
 
 
 #: Steps of a score that share a bucket, and node ids that share a slice, when positions are counted in parts.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +20,29 @@ def tokens_of(text: str) -> list[str]:
 
 
 def tokens(text: Column) -> Column:
-    """array<string> of a column's tokens; null stays null."""
-    cut = F.split(F.translate(text, UPPER, LOWER), r"[^\p{IsAlphabetic}\p{N}]+")
-    return F.filter(cut, lambda t: t != "")
+    """array<string> of a column's tokens; null stays null.
+
+    ``lower`` is much cheaper than ``translate`` but also folds letters beyond
+    A-Z, so it serves the texts that have none.
+    """
+    folded = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.filter(F.split(folded, r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
+
+
+def count(text: Column) -> Column:
+    """The number of tokens, without making them."""
+    return F.regexp_count(text, F.lit(r"[\p{IsAlphabetic}\p{N}]+"))
+
+
+def may_hold(text: Column, token: str) -> Column:
+    """A cheap test that every text with the token passes: texts that fail it need not be cut."""
+    return F.contains(F.lower(text), F.lit(token)) if token.isascii() else F.lit(True)
+
+
+def times(text: Column, token: str) -> Column:
+    """How often a token stands in the text; 0 for null."""
+    own = F.size(F.filter(tokens(text), lambda t: t == token))
+    return F.when(may_hold(text, token), own).otherwise(0)
 
 
 def default_edits(token: str) -> int:
@@ -31,6 +53,10 @@ def _sure(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def _may_hold_all(text: Column, asked: list[str]) -> Column:
+    return reduce(Column.__and__, [may_hold(text, t) for t in asked])
+
+
 def search(field: Column, query: str | Column) -> Column:
     """Whether the field has every token of the query; false for nulls and empty queries."""
     own = tokens(field)
@@ -40,7 +66,8 @@ def search(field: Column, query: str | Column) -> Column:
     asked = sorted(set(tokens_of(query or "")))
     if not asked:
         return F.lit(False)
-    return _sure(F.size(F.array_intersect(own, F.array(*map(F.lit, asked)))) == len(asked))
+    held = F.size(F.array_intersect(own, F.array(*map(F.lit, asked)))) == len(asked)
+    return _sure(F.when(_may_hold_all(field, asked), held))
 
 
 def match_text(field: Column, query: str | Column) -> Column:
@@ -54,7 +81,9 @@ def match_text(field: Column, query: str | Column) -> Column:
         asked = tokens(query)
         return _sure((F.size(asked) > 0) & F.contains(own, padded(asked)))
     asked = tokens_of(query or "")
-    return _sure(F.contains(own, F.lit(f" {' '.join(asked)} "))) if asked else F.lit(False)
+    if not asked:
+        return F.lit(False)
+    return _sure(F.when(_may_hold_all(field, asked), F.contains(own, F.lit(f" {' '.join(asked)} "))))
 
 
 def _near(own: Column, token: str, edits: int) -> Column:

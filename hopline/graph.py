@@ -42,15 +42,16 @@ class Graph:
     A node table has ``__id`` and the properties of its type; an edge table
     has ``__id``, ``__src``, ``__dst`` and its properties.  ``distinct_edges``
     names the edge types whose tables hold each (source, target) once, which
-    spares queries a shuffle; the store's tables all do.
+    spares queries a shuffle; the store's tables all do.  A table may be given
+    as a function that makes it, which is called when a query first needs it.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         catalog: Catalog | str,
-        nodes: dict[str, DataFrame] | None = None,
-        edges: dict[str, DataFrame] | None = None,
+        nodes: dict[str, DataFrame | Callable[[], DataFrame]] | None = None,
+        edges: dict[str, DataFrame | Callable[[], DataFrame]] | None = None,
         distinct_edges: set[str] | None = None,
         embedder: Callable[[str, int], list[float]] | None = None,
     ):
@@ -64,14 +65,20 @@ class Graph:
         """The table of a node type; an empty one if nothing was loaded."""
         if kind not in self.nodes:
             self.nodes[kind] = self.spark.createDataFrame([], self.catalog.nodes[kind].schema())
-        return self.nodes[kind]
+        return self._made(self.nodes, kind)
+
+    @staticmethod
+    def _made(tables: dict, kind: str) -> DataFrame:
+        if callable(tables[kind]):
+            tables[kind] = tables[kind]()
+        return tables[kind]
 
     def edge(self, kind: str) -> tuple[DataFrame, bool]:
         """The table of an edge type, and whether its pairs are distinct."""
         if kind not in self.edges:
             self.edges[kind] = self.spark.createDataFrame([], self.catalog.edges[kind].schema())
             self.distinct.add(kind)
-        return self.edges[kind], kind in self.distinct
+        return self._made(self.edges, kind), kind in self.distinct
 
     def props(self, kind: str) -> dict[str, PropType]:
         return {p.name: p.type for p in self.catalog.nodes[kind].props.values()}

@@ -7,6 +7,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Iterable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +62,9 @@ class GraphSession:
     def graph(self, version: int | None = None) -> Graph:
         """The tables of a version; the graph keeps it, whatever is written later."""
         m = self.store.manifest(version)
-        nodes = {k: self.store.table(m, k) for k in m.tables if k in m.catalog.nodes}
-        edges = {k: self.store.table(m, k) for k in m.tables if k in m.catalog.edges}
-        return Graph(self.spark, m.catalog, nodes, edges)
+        catalog = m.catalog
+        tables = {k: partial(self.store.table, m, k) for k in m.tables}
+        return Graph(self.spark, catalog, {k: t for k, t in tables.items() if k in catalog.nodes}, {k: t for k, t in tables.items() if k in catalog.edges})
 
     def check(self, text: str) -> dict[str, Checked | HoplineError]:
         return self.graph().check(text)
@@ -267,7 +268,7 @@ class GraphSession:
 
     def export(self, ids: bool = False, vectors: bool = True) -> DataFrame:
         g = self.graph()
-        return jsonl.export(g.catalog, g.nodes, g.edges, ids, vectors)
+        return jsonl.export(g.catalog, {k: g.node(k) for k in g.nodes}, {k: g.edge(k)[0] for k in g.edges}, ids, vectors)
 
     def embed(self, kind: str | None = None, prop: str | None = None, only_null: bool = True, limit: int | None = None, dry_run: bool = False) -> int:
         """Fill embeddings of stored rows; how many rows it fills (or would)."""

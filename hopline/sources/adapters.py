@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache, partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,35 +62,49 @@ def node_table(rows: DataFrame, key: str, catalog: Catalog, kind: str) -> DataFr
     return rows.select(F.col(key).cast("long").alias(ID), *props)
 
 
+_catalog = cache(parse_schema)
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The tables of a folder as a graph; everything stays lazy."""
-    catalog = parse_schema(STAR)
+    """The tables of a folder as a graph; a table is opened when a query first needs it."""
+    catalog = _catalog(STAR)
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    nodes = {kind: node_table(table(t), key, catalog, kind) for kind, (t, key) in _SOURCES.items()}
-    docs = table("documents").withColumn("tags", F.array("lang", "source"))
-    nodes["Doc"] = node_table(docs, "doc_id", catalog, "Doc")
-    turns = table("conversations").withColumn("turn_key", F.col("conv_id") * 1000 + F.col("turn"))
-    nodes["Turn"] = node_table(turns, "turn_key", catalog, "Turn")
-    events = table("events")
-    nodes["User"] = node_table(events.select("user_id").filter("user_id IS NOT NULL").distinct(), "user_id", catalog, "User")
-    nation, lineitem = table("nation"), table("lineitem")
-    n = F.col("n_nationkey")
-    borders = nation.select("n_nationkey", F.explode(F.array((n + 1) % 25, (3 * n + 1) % 25)).alias("next"))
-    later = turns.select((F.col("turn_key") + 1).alias("next"), "turn_key")
+    def turns() -> DataFrame:
+        return table("conversations").withColumn("turn_key", F.col("conv_id") * 1000 + F.col("turn"))
+
+    def borders() -> DataFrame:
+        n = F.col("n_nationkey")
+        return table("nation").select("n_nationkey", F.explode(F.array((n + 1) % 25, (3 * n + 1) % 25)).alias("next"))
+
+    def next_turns() -> DataFrame:
+        own = turns()
+        later = own.select((F.col("turn_key") + 1).alias("next"), "turn_key")
+        return later.join(own.select(F.col("turn_key").alias("next")), "next", "left_semi")
+
+    def node(kind: str, key: str, rows: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        return lambda: node_table(rows(), key, catalog, kind)
+
+    def edge(rows: Callable[[], DataFrame], src: str, dst: str) -> Callable[[], DataFrame]:
+        return lambda: edge_table(rows(), src, dst)
+
+    nodes = {kind: node(kind, key, partial(table, t)) for kind, (t, key) in _SOURCES.items()}
+    nodes["Doc"] = node("Doc", "doc_id", lambda: table("documents").withColumn("tags", F.array("lang", "source")))
+    nodes["Turn"] = node("Turn", "turn_key", turns)
+    nodes["User"] = node("User", "user_id", lambda: table("events").select("user_id").filter("user_id IS NOT NULL").distinct())
     edges = {
-        "InRegion": edge_table(nation, "n_nationkey", "n_regionkey"),
-        "CustomerIn": edge_table(table("customer"), "c_custkey", "c_nationkey"),
-        "SupplierIn": edge_table(table("supplier"), "s_suppkey", "s_nationkey"),
-        "Placed": edge_table(table("orders"), "o_custkey", "o_orderkey"),
-        "Includes": edge_table(lineitem, "l_orderkey", "l_partkey"),
-        "ShippedBy": edge_table(lineitem, "l_orderkey", "l_suppkey"),
-        "HasLabel": edge_table(table("labels").withColumn("label_id", F.col("doc_id")), "doc_id", "label_id"),
-        "NextTurn": edge_table(later.join(turns.select(F.col("turn_key").alias("next")), "next", "left_semi"), "turn_key", "next"),
-        "Did": edge_table(events.filter("user_id IS NOT NULL"), "user_id", "event_id"),
-        "Borders": edge_table(borders, "n_nationkey", "next"),
+        "InRegion": edge(lambda: table("nation"), "n_nationkey", "n_regionkey"),
+        "CustomerIn": edge(lambda: table("customer"), "c_custkey", "c_nationkey"),
+        "SupplierIn": edge(lambda: table("supplier"), "s_suppkey", "s_nationkey"),
+        "Placed": edge(lambda: table("orders"), "o_custkey", "o_orderkey"),
+        "Includes": edge(lambda: table("lineitem"), "l_orderkey", "l_partkey"),
+        "ShippedBy": edge(lambda: table("lineitem"), "l_orderkey", "l_suppkey"),
+        "HasLabel": edge(lambda: table("labels").withColumn("label_id", F.col("doc_id")), "doc_id", "label_id"),
+        "NextTurn": edge(next_turns, "turn_key", "next"),
+        "Did": edge(lambda: table("events").filter("user_id IS NOT NULL"), "user_id", "event_id"),
+        "Borders": edge(borders, "n_nationkey", "next"),
     }
     # keys make these pairs distinct; the others may repeat a pair
     return Graph(spark, catalog, nodes, edges, {"InRegion", "CustomerIn", "SupplierIn", "Placed", "HasLabel", "Did"})
