@@ -8,8 +8,9 @@ standardised structure statistics of the text, and the length bucket as
 metadata.
 
 Training takes a bounded sample of labelled documents (``SAMPLE`` ids by the
-order of a hash), extracts features on the executors and fits on the driver
-with full-batch Adam; scoring takes every document.
+order of a hash, texts of at most ``SAMPLE_CHARS`` characters), extracts
+features on the executors and fits on the driver with full-batch Adam;
+scoring takes every document, whole.
 
 Edge cases: null and empty texts have no words and are scored by the rest;
 labels other than 0 and 1 and null ids are left out, an id with two labels
@@ -34,8 +35,8 @@ from hopline.llm import common
 
 WORDS = 1 << 15
 FACTORS = 6
-#: Labelled documents that train at most.
-SAMPLE = 4000
+#: Labelled documents that train at most, and the length up to which they do.
+SAMPLE, SAMPLE_CHARS = 4000, 50_000
 STEPS, RATE, DECAY = 60, 0.05, 1e-4
 BUCKETS = 16
 BLANKS = common.BLANKS.encode()
@@ -98,7 +99,7 @@ class Sparse:
         sizes = np.array([len(r[0]) for r in rows]) + STATS + 1
         self.n, self.starts = len(rows), np.concatenate(([0], np.cumsum(sizes)))[:-1]
         total = int(sizes.sum())
-        self.places, self.values = np.empty(total, np.int64), np.empty(total)
+        self.places, self.values = np.empty(total, np.int64), np.empty(total, np.float32)
         for at, (words, stats, bucket) in zip(self.starts.tolist(), rows):
             end = at + len(words)
             self.places[at:end], self.values[at:end] = words, 1 / math.sqrt(max(1, len(words)))
@@ -129,7 +130,7 @@ def fit(rows: list[tuple[list[int], list[float], int]], labels: np.ndarray, seed
     random = np.random.default_rng(seed)
     x = Sparse(rows, mean, scale)
     used, x.places = np.unique(x.places, return_inverse=True)  # train only the places that occur
-    m.w, m.v = np.zeros(len(used)), random.normal(0, 0.05, (len(used), FACTORS))
+    m.w, m.v = np.zeros(len(used), np.float32), random.normal(0, 0.05, (len(used), FACTORS)).astype(np.float32)
     m.bias = math.log(share / (1 - share))
     weight = np.where(labels == 1, (0.5 / share) ** 0.5, (0.5 / (1 - share)) ** 0.5)
     weight /= weight.sum()
@@ -138,7 +139,7 @@ def fit(rows: list[tuple[list[int], list[float], int]], labels: np.ndarray, seed
     first, second = [np.zeros(1), np.zeros_like(m.w), np.zeros_like(m.v)], [np.zeros(1), np.zeros_like(m.w), np.zeros_like(m.v)]
     for step in range(1, STEPS + 1):
         margin, sums, vx = x.margin(m)
-        slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels) * weight
+        slope = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels) * weight).astype(np.float32)
         own = (slope[x.row] * x.values)[by_place]
         grad_w = np.add.reduceat(own, cuts) + DECAY * m.w
         grad_v = np.add.reduceat(own[:, None] * (sums[x.row] - vx)[by_place], cuts, axis=0) + DECAY * m.v
@@ -148,7 +149,7 @@ def fit(rows: list[tuple[list[int], list[float], int]], labels: np.ndarray, seed
             second[i] = 0.99 * second[i] + 0.01 * grad * grad
             moved.append(now - RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8))
         m.bias, m.w, m.v = float(moved[0][0]), moved[1], moved[2]
-    w, v = np.zeros(size), np.zeros((size, FACTORS))
+    w, v = np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32)
     w[used], v[used] = m.w, m.v
     return Machine(m.bias, w, v, mean, scale)
 
@@ -163,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, text: str = "text", d
     chosen = fine.groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).cast("int").alias("__label"))
     chosen = common.stage(chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample), "labelled")
     rows = docs.select(F.col(f"`{doc_id}`").alias("__d"), F.col(f"`{text}`").alias("__t")).join(F.broadcast(chosen), F.col("__d") == F.col("__id"))
+    rows = rows.filter(F.coalesce(F.length("__t"), F.lit(0)) <= SAMPLE_CHARS)
 
     def make():
         def work(column: pa.Array) -> list[pa.Array]:
