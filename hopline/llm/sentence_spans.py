@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from hopline.llm import common
 
 SPAN, MIN_WORDS = 2, 12
-LONG, CUT = 64, 8
+LONG, CUT = 24, 8
 #: On UTF-8 bytes; the six ASCII blanks.
 BREAK = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")

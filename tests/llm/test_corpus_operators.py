@@ -196,7 +196,11 @@ def test_sentences():
     assert [x[3].decode() for x in found] == ["One two.", "Three!", "Four five", "?!", "1.5 is no end."]
     assert "".join(text[a:b] for a, b, *_ in found) == text
     long = sentence_spans.sentences(("the " * 300).encode())
-    assert len(long) == 5 and sum(x[2] for x in long) == 300
+    assert len(long) == -(-300 // sentence_spans.LONG) and sum(x[2] for x in long) == 300
+    # without stops, a shared passage is cut alike whatever stands before it
+    words = [f"w{i * i % 97}x{i}" for i in range(60)]
+    cut = [{x[3] for x in sentence_spans.sentences(" ".join(before + words).encode())} for before in (["a"] * 7, ["b", "c"] * 20)]
+    assert sum(len(x.split()) for x in cut[0] & cut[1]) > 25
     assert sentence_spans.sentences(b"") == [] and sentence_spans.sentences(b" \n ") == []
 
 
