@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hopline import config
 from hopline.errors import HoplineError
 from hopline.plans import migration
 from hopline.plans.lint import lint
@@ -19,8 +20,8 @@ from hopline.session import GraphSession
 FORMATS = ("table", "kv", "csv", "jsonl", "json")
 
 
-def show(df: DataFrame, form: str, out=None) -> None:
-    """Print a result; rows are streamed one partition at a time."""
+def show(df: DataFrame, form: str, out=None, width: int = 0) -> None:
+    """Print a result; rows are streamed one partition at a time.  ``width`` cuts the cells of a table."""
     out = out or sys.stdout
     names = df.columns
     if form in ("json", "jsonl"):
@@ -43,6 +44,9 @@ def show(df: DataFrame, form: str, out=None) -> None:
         for r in rows:
             print(*(f"{n}: {v}" for n, v in zip(names, r)), "", sep="\n", file=out)
         return
+    if width:
+        flat = [[" ".join(v.split()) for v in r] for r in rows]
+        rows = [[v if len(v) <= width else v[: width - 1] + "…" for v in r] for r in flat]
     widths = [max(map(len, [n, *(r[i] for r in rows)])) for i, n in enumerate(names)]
     for r in [names, ["-" * w for w in widths], *rows]:
         print(" | ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip(), file=out)
@@ -67,6 +71,11 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--name")
     v.add_argument("--param", action="append", default=[], metavar="NAME=JSON")
     v.add_argument("--format", choices=FORMATS, default="table")
+    v = verb("alias", "alias")
+    v.add_argument("words", nargs="*")
+    v.add_argument("--config", default=config.NAME)
+    v.add_argument("--param", action="append", default=[], metavar="NAME=JSON")
+    v.add_argument("--format", choices=FORMATS)
     v = verb("delete", "graph", "type", "where")
     v = verb("export", "graph", "out")
     v.add_argument("--ids", action="store_true")
@@ -130,6 +139,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.verb == "init":
             GraphSession.init(spark, a.graph, text(a.schema))
             return 0
+        if a.verb == "alias":
+            project = config.load(a.config)
+            if a.alias not in project.aliases:
+                raise HoplineError(f"no alias {a.alias}; there are {', '.join(project.aliases) or 'none'}")
+            if project.graph is None:
+                raise HoplineError("the config names no graph: db.default_path")
+            alias = project.aliases[a.alias]
+            values = {**{k: given([f"{k}={v}"])[k] for k, v in project.params(alias, a.words).items()}, **given(a.param)}
+            g = GraphSession.open(spark, str(project.folder / project.graph))
+            query = g.graph().find(project.find(alias.query).read_text(), alias.name)
+            strings = {p.name for p in query.params if p.type == "String"}  # a word that looks like a number stays text
+            values = {k: a.words[alias.args.index(k)] if k in strings and k in alias.args[: len(a.words)] and k not in given(a.param) else v for k, v in values.items()}
+            show(g.run(query, values), a.format or alias.format or project.format, width=project.width)
+            return 0
         g = GraphSession.open(spark, a.graph)
         if a.verb == "describe":
             print(json.dumps(g.describe(), indent=1))

@@ -47,7 +47,7 @@ def _noise(key: str, dim: int) -> np.ndarray:
         state ^= state << 13 & MASK
         state ^= state >> 7
         state ^= state << 17 & MASK
-        out[i] = np.float32(np.float32(state / MASK) * np.float32(2.0)) - np.float32(1.0)
+        out[i] = np.float32(float(state) / float(MASK)) * np.float32(2.0) - np.float32(1.0)
     return _unit(out)
 
 

@@ -253,6 +253,10 @@ def test_types_round_trip(spark):
             g.load(['{"type":"T","data":{"k":"3",%s}}' % bad])
     assert names(g, 'match { $t: T  $t.t >= datetime("2024-02-29T10:00:00Z") } return { $t.k }') == ["1", "2"]
     assert names(g, "match { $t: T  $t.t < now() } return { $t.k }") == ["1", "2"]
+    assert names(g, 'match { $t: T  $t.d = date("2024-02-29") } return { $t.k }') == ["1", "2"]
+    assert names(g, "match { $t: T { d: $d } } return { $t.k }", {"d": "2024-03-01"}, "$d: Date") == []
+    assert names(g, "match { $t: T  $t.l contains 2 } return { $t.k }") == ["1"]
+    assert names(g, "match { $t: T  $t.w > $w } return { $t.k }", {"w": 2**63}, "$w: U64") == ["1"]
 
 
 def test_embedding_on_load_and_backfill(spark):

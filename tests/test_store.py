@@ -93,3 +93,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("export", graph, tmp_path / "out")[0] == 0
     assert run("describe", graph)[0] == 0 and run("compact", graph)[0] == 0 and run("cleanup", graph, "--keep", 1)[0] == 0
     assert json.loads(run("schema-diff", schema, schema)[1] or "[]") == []
+
+
+def test_aliases(spark, tmp_path, capsys):
+    (tmp_path / "queries").mkdir()
+    (tmp_path / "queries" / "q.gq").write_text("query by_name($n: String) { match { $u: User { name: $n } } return { $u.name, $u.code } }")
+    (tmp_path / "hopline.toml").write_text('[db]\ndefault_path = "g"\n[query]\nroots = ["queries"]\n[cli]\noutput_format = "csv"\n[query_aliases.who]\nquery = "q.gq"\nname = "by_name"\nargs = ["n"]\n')
+    g = GraphSession.init(spark, str(tmp_path / "g"), USERS)
+    g.load(['{"type":"User","data":{"name":"7","code":"seven"}}'])
+
+    def run(*args):
+        code = main(["alias", *args, "--config", str(tmp_path / "hopline.toml")], spark)
+        return code, capsys.readouterr().out.split()
+
+    assert run("who", "7") == (0, ["name,code", "7,seven"])
+    assert run("who", "x", "--param", 'n="7"') == (0, ["name,code", "7,seven"])
+    assert run("who", "7", "--format", "kv") == (0, ["name:", "7", "code:", "seven"])
+    assert run("who", "7", "8")[0] == 1 and run("nobody")[0] == 1
