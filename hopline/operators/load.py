@@ -118,6 +118,14 @@ def merge_edges(edge: EdgeType, old: DataFrame | None, new: DataFrame, next_id:
     return kept.select(*[f"`{c}`" for c in columns]).unionByName(came.select(*[f"`{c}`" for c in columns]))
 
 
+def known_pairs(old: DataFrame | None, new: DataFrame) -> bool:
+    """Whether some pair of ``new`` is in the table already."""
+    if old is None:
+        return False
+    pair = new.select(F.col(SRC).alias("__s"), F.col(DST).alias("__d"))
+    return old.join(pair, (F.col(SRC) == F.col("__s")) & (F.col(DST) == F.col("__d")), "left_semi").limit(1).count() > 0
+
+
 def diff(kind: str, entity: str, version: int, old: DataFrame | None, new: DataFrame, key: str | None) -> DataFrame:
     """The change rows between two tables of a type, matched by id."""
 

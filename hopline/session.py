@@ -7,7 +7,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Iterable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,29 +93,46 @@ class GraphSession:
 
     # writing
 
-    def _commit(self, base: Manifest, tables: dict[str, DataFrame], next_node: int | None = None, next_edge: int | None = None, schema: str | None = None, drop: Iterable[str] = ()) -> Manifest:
-        """Write the tables that changed, what changed in them, and the next manifest."""
+    def _commit(
+        self,
+        base: Manifest,
+        tables: dict[str, DataFrame],
+        next_node: int | None = None,
+        next_edge: int | None = None,
+        schema: str | None = None,
+        drop: Iterable[str] = (),
+        added: dict[str, DataFrame] | None = None,
+    ) -> Manifest:
+        """Write what changed and the next manifest.
+
+        ``tables`` replace those of their types; ``added`` rows go beside the
+        rows there are, which are not read or written again.
+        """
+        added = added or {}
         m = Manifest(**json.loads(json.dumps(base.__dict__)))
-        m.version, m.changed = base.version + 1, sorted(tables)
+        m.version, m.changed = base.version + 1, sorted({*tables, *added})
         m.schema = schema or base.schema
         catalog = m.catalog
         logs = []
-        for kind, df in tables.items():
+        for kind, df in [*tables.items(), *added.items()]:
             owner = catalog.nodes.get(kind) or catalog.edges[kind]
             ordered = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in owner.schema()])
-            m.tables[kind] = self.store.write(ordered, f"tables/{kind}")
-            written = self.store.table(m, kind)
-            m.rows[kind] = written.count()
+            folder = self.store.write(ordered, f"tables/{kind}")
+            written = self.store.rows(m, kind, folder)
+            old, known = None, 0
+            if kind in added:
+                m.tables[kind] = [*base.tables.get(kind, ()), folder]
+                known = base.rows.get(kind, 0)
+            else:
+                m.tables[kind] = [folder]
+                old = self.store.table(base, kind) if schema is None else None
+            m.rows[kind] = known + written.count()
             entity = "node" if kind in catalog.nodes else "edge"
-            old = self.store.table(base, kind) if kind in base.tables and schema is None else None
             logs.append(L.diff(kind, entity, m.version, old, written, catalog.nodes[kind].key if entity == "node" else None))
         for kind in drop:
             m.tables.pop(kind, None), m.rows.pop(kind, None)
         if logs and schema is None:
-            whole = logs[0]
-            for more in logs[1:]:
-                whole = whole.unionByName(more)
-            m.changes.append(self.store.write(whole, "changes"))
+            m.changes.append(self.store.write(reduce(DataFrame.unionByName, logs), "changes"))
         m.next_node = base.next_node if next_node is None else next_node
         m.next_edge = base.next_edge if next_edge is None else next_edge
         self.store.publish(m, base.version)
@@ -137,12 +154,23 @@ class GraphSession:
         parsed = jsonl.Parsed(self.spark, catalog, source)
         parsed.check()
         scratch = f"scratch/{uuid.uuid4().hex}"
-        tables: dict[str, DataFrame] = {}
+        tables: dict[str, DataFrame] = {}  # whole new tables
+        added: dict[str, DataFrame] = {}  # rows beside those there are
         next_node, next_edge = base.next_node, base.next_edge
 
         def old(kind: str) -> DataFrame | None:
             return None if mode == "overwrite" else self.store.table(base, kind)
 
+        def now(kind: str) -> DataFrame:
+            """A type's rows once the load is done."""
+            if kind in tables:
+                return tables[kind]
+            before = old(kind)
+            if kind in added:
+                return added[kind] if before is None else before.unionByName(added[kind])
+            owner = catalog.nodes.get(kind) or catalog.edges[kind]
+            return self.spark.createDataFrame([], owner.schema()) if before is None else before
+
         def staged(df: DataFrame) -> DataFrame:
             return self.spark.read.schema(df.schema).parquet(f"{self.store.path}/{self.store.write(df, scratch)}")
 
@@ -159,33 +187,34 @@ class GraphSession:
                         blobs.write.mode("append").parquet(f"{self.store.path}/blobs")
                 rows = staged(L.fill_embeddings(rows, n).sort(jsonl.LINE))
                 count = rows.count()
-                tables[n.name] = L.merge_nodes(n, old(n.name), rows, mode, next_node)
+                if mode == "append":
+                    added[n.name] = L.merge_nodes(n, None, rows, mode, next_node)
+                else:
+                    tables[n.name] = L.merge_nodes(n, old(n.name), rows, mode, next_node)
                 next_node += count
-                L.check_unique(n, tables[n.name])
+                L.check_unique(n, now(n.name))
             replaced = [n for n in tables if mode == "merge" and catalog.nodes[n].key is None]
-
-            def node_table(kind: str) -> DataFrame:
-                found = tables.get(kind) if kind in tables else old(kind)
-                return self.spark.createDataFrame([], catalog.nodes[kind].schema()) if found is None else found
-
             for e in catalog.edges.values():
                 before = old(e.name)
                 for column, kind in ((SRC, e.source), (DST, e.target)):
                     if before is not None and kind in replaced:  # ids of an unkeyed type are all new
-                        before = before.join(node_table(kind).select(F.col(ID).alias("__there")), F.col(column) == F.col("__there"), "left_semi")
+                        before = before.join(now(kind).select(F.col(ID).alias("__there")), F.col(column) == F.col("__there"), "left_semi")
                         tables[e.name] = before
                 if e.name in parsed.present:
                     rows = jsonl.sure(parsed.edges(e), e.name)
-                    rows = staged(L.resolve_ends(e, rows, catalog, node_table).sort(jsonl.LINE))
+                    rows = staged(L.resolve_ends(e, rows, catalog, now).sort(jsonl.LINE))
                     count = rows.count()
-                    tables[e.name] = L.merge_edges(e, before, rows, next_edge)
+                    if e.name not in tables and mode != "overwrite" and not L.known_pairs(before, rows):
+                        added[e.name] = L.merge_edges(e, None, rows, next_edge)
+                    else:
+                        tables[e.name] = L.merge_edges(e, before, rows, next_edge)
                     next_edge += count
                 elif mode == "overwrite" and e.name in base.tables:
                     tables[e.name] = self.spark.createDataFrame([], e.schema())
-            m = self._commit(base, tables, next_node, next_edge)
+            m = self._commit(base, tables, next_node, next_edge, added=added)
         finally:
             self.store.delete(scratch)
-        return {k: m.rows[k] for k in tables}
+        return {k: m.rows[k] for k in (*tables, *added)}
 
     def _mutate(self, q: A.Query, values: dict, now: dt.datetime) -> tuple[int, int]:
         mu, base = q.mutation, self.store.manifest()
@@ -306,7 +335,7 @@ class GraphSession:
             key = ID if kind in base.catalog.nodes else SRC
             table = self.store.table(base, kind)
             # sorted ranges: key lookups then prune files and row groups by their bounds
-            m.tables[kind] = self.store.write(table.repartitionByRange(files, key).sortWithinPartitions(key).select(*[f"`{f.name}`" for f in owner.schema()]), f"tables/{kind}")
+            m.tables[kind] = [self.store.write(table.repartitionByRange(files, key).sortWithinPartitions(key).select(*[f"`{f.name}`" for f in owner.schema()]), f"tables/{kind}")]
             out[kind] = files
         self.store.publish(m, base.version)
         return out
@@ -319,7 +348,7 @@ class GraphSession:
         live = set()
         for v in self.store.versions():
             m = self.store.manifest(v)
-            live |= {*m.tables.values(), *m.changes}
+            live |= {*m.changes, *(folder for folders in m.tables.values() for folder in folders)}
         gone = 0
         for folder in [f"tables/{k}" for k in self.store.names("tables")] + ["changes"]:
             for name in self.store.names(folder):
@@ -331,7 +360,7 @@ class GraphSession:
     def doctor(self) -> DataFrame:
         """(type, problem, n) of everything that is wrong; no rows if nothing is."""
         m = self.store.manifest()
-        missing = [k for k, folder in m.tables.items() if not self.store.exists(folder)]
+        missing = [k for k, folders in m.tables.items() if not all(map(self.store.exists, folders))]
         if missing:
             return self.spark.createDataFrame([(k, "missing folder", 1) for k in missing], "type string, problem string, n bigint")
         return self.graph().validate().filter("n > 0")

@@ -1,10 +1,11 @@
 """Versioned graphs on plain Parquet: immutable table versions, a manifest each, and a change log.
 
 A stored graph is a folder.  ``manifests/<n>.json`` names for version n the
-schema and, for each type, the folder of its rows; ``CURRENT`` names the
-newest version.  A commit writes new folders for the types that changed, the
-change rows, the manifest, and last ``CURRENT`` by rename, so readers see
-either version whole.  A commit that finds ``CURRENT`` moved on fails.  Paths
+schema and, for each type, the folders of its rows; ``CURRENT`` names the
+newest version.  A commit writes new folders for the types that changed (for
+rows that were only added, one folder beside the old ones), the change rows,
+the manifest, and last ``CURRENT`` by rename, so readers see either version
+whole.  A commit that finds ``CURRENT`` moved on fails.  Paths
 go through Hadoop's file systems, so a shared store works as a local disk.
 """
 
@@ -28,7 +29,7 @@ class Manifest:
     schema: str
     next_node: int = 0
     next_edge: int = 0
-    tables: dict[str, str] = field(default_factory=dict)  # type to folder, relative
+    tables: dict[str, list[str]] = field(default_factory=dict)  # type to folders, relative
     rows: dict[str, int] = field(default_factory=dict)
     changes: list[str] = field(default_factory=list)  # folders of change rows, oldest first
     changed: list[str] = field(default_factory=list)  # types that this version wrote
@@ -101,7 +102,12 @@ class Store:
             return None
         catalog = m.catalog
         owner = catalog.nodes.get(kind) or catalog.edges[kind]
-        return self.spark.read.schema(owner.schema()).parquet(f"{self.path}/{m.tables[kind]}")
+        return self.spark.read.schema(owner.schema()).parquet(*[f"{self.path}/{folder}" for folder in m.tables[kind]])
+
+    def rows(self, m: Manifest, kind: str, folder: str) -> DataFrame:
+        """The rows of one folder of a type."""
+        owner = m.catalog.nodes.get(kind) or m.catalog.edges[kind]
+        return self.spark.read.schema(owner.schema()).parquet(f"{self.path}/{folder}")
 
     def write(self, df: DataFrame, folder: str) -> str:
         name = f"{folder}/{uuid.uuid4().hex}"

@@ -284,6 +284,23 @@ def test_upkeep(spark):
     assert {n["name"]: n["rows"] for n in info["nodes"]} == {"Person": 5, "Company": 2}
 
 
+def test_a_commit_writes_only_what_changed(spark):
+    g = GraphSession.in_memory(spark, PEOPLE)
+    g.load([ROWS])
+    before = g.store.manifest().tables
+    assert rows(g, 'insert Person { name: "Eve" }') == [(1, 0)]
+    m = g.store.manifest()
+    assert m.changed == ["Person"] and m.tables["Person"][:-1] == before["Person"] and m.rows["Person"] == 5
+    assert {k: m.tables[k] for k in ("Knows", "WorksAt", "Company")} == {k: before[k] for k in ("Knows", "WorksAt", "Company")}
+    assert rows(g, 'insert Knows { from: "Eve", to: "Bob" }') == [(0, 1)]
+    assert g.store.manifest().changed == ["Knows"] and len(g.store.manifest().tables["Knows"]) == 2
+    assert rows(g, 'insert Knows { from: "Eve", to: "Bob", since: date("2024-01-01") }') == [(0, 1)]  # a known pair: the table is rewritten
+    assert len(g.store.manifest().tables["Knows"]) == 1 and g.store.manifest().rows["Knows"] == 4
+    assert [r.change_kind for r in g.changes(3).collect()] == ["update"]
+    assert rows(g, 'update Person set { age: 9 } where name = "Bob"') == [(1, 0)]
+    assert g.store.manifest().changed == ["Person"] and [r.logical_key for r in g.changes(4).collect()] == ["Bob"]
+
+
 def test_concurrent_commit_is_refused(spark):
     from hopline.errors import StoreError
 
