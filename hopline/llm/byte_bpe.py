@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from hopline.llm import common
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class WordIds(dict):

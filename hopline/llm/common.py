@@ -116,6 +116,8 @@ def map_columns(
             for part in steps(batch, range(n, batch.num_columns), limit):
                 made = work(*part.columns[n:])
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=kept + names)
+                del part, made
+            pa.default_memory_pool().release_unused()  # what a step held is not kept for the next
 
     return source.mapInArrow(run, schema)
 
