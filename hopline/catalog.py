@@ -98,6 +98,8 @@ read("hop_range_cycle", "match { $a: Nation { n_nationkey: 2 }  $a borders{2,4}
         SELECT n_nationkey AS b, n_name FROM nation WHERE n_nationkey IN (SELECT b FROM l2 UNION SELECT b FROM l3 UNION SELECT b FROM l4)""")
 read("hop_reverse_2", "match { $b: Nation { n_nationkey: 5 }  $a borders{1,2} $b } return { $a.n_nationkey as a }",
      f"""WITH e AS {BORDERS} SELECT a::INTEGER AS a FROM e WHERE b = 5 UNION SELECT x.a::INTEGER FROM e x JOIN e y ON x.b = y.a WHERE y.b = 5""")
+read("hop_range_two_types", "match { $c: Customer { c_nationkey: 4 }  $c customerIn{1,3} $n } return { $c.c_custkey, $n.n_name }",
+     "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey = 4")
 read("theta_cross", "match { $a: Nation  $b: Nation  $a.n_regionkey = $b.n_regionkey  $a.n_nationkey < $b.n_nationkey } return { $a.n_name as x, $b.n_name as y }",
      "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 read("cross_pairs", "match { $a: Region  $b: Nation } return { $a.r_name, $b.n_name }", "SELECT r_name, n_name FROM region, nation")

@@ -14,7 +14,7 @@ from hopline.functions import vector as vector_fn
 from hopline.operators import compare, expand
 from hopline.operators.bindings import Rows, key, name, ref, scan
 from hopline.plans import ast as A
-from hopline.plans.check import Checked, NodeValue, literal_type, variables
+from hopline.plans.check import Checked, literal_type, variables
 from hopline.plans.schema import ID
 from hopline.plans.types import PropType
 from hopline.plans.values import column, literal
@@ -180,8 +180,12 @@ class Matcher:
             replace(expand.across(src, at, links, w.dst, dst), src, dst)
 
     def links(self, rows: Rows, at: str, edges: DataFrame, out: bool, distinct: bool, w) -> DataFrame:
+        pairs = expand.pairs(edges, out, distinct)
+        e = self.graph.catalog.edges[w.edge]
+        if e.source != e.target:  # nothing leads on from where the first hop ends
+            return pairs if w.low == 1 else pairs.limit(0)
         origins = rows.df.select(key(at).alias(ID)).distinct() if w.high > 1 else None
-        return expand.reach(expand.pairs(edges, out, distinct), w.low, w.high, origins)
+        return expand.reach(pairs, w.low, w.high, origins)
 
     def step(self, rows: Rows, at: str, edges, out, distinct, w, new: str, kind: str, replace) -> None:
         links = self.links(rows, at, edges, out, distinct, w)
@@ -219,7 +223,3 @@ def _in_order(n: A.Negation) -> list[str]:
         named = [c.src, c.dst] if isinstance(c, A.Traversal) else _in_order(c) if isinstance(c, A.Negation) else sorted(variables(c))
         seen += [v for v in named if v not in seen]
     return seen
-
-
-def is_node(kind) -> bool:
-    return isinstance(kind, NodeValue)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from hopline.functions import rank
 from hopline.operators.bindings import Rows, key, name
-from hopline.operators.match import Scope, is_node
+from hopline.operators.match import Scope
 from hopline.plans import ast as A
-from hopline.plans.check import has_aggregate
+from hopline.plans.check import NodeValue, has_aggregate
 from hopline.plans.schema import ID
 
 AGGREGATES = {"count": F.count, "sum": F.sum, "avg": lambda c: F.avg(c.cast("double")), "min": F.min, "max": F.max}
@@ -59,7 +59,7 @@ class Tail:
 
     def value(self, e: A.Expr) -> Column:
         kind = self.scope.checked.type_of(e)
-        if is_node(kind):
+        if isinstance(kind, NodeValue):
             return self.rows.struct(e.name, list(self.graph.props(kind.type)))
         if isinstance(e, A.Call) and e.name in ("bm25", "rrf", "nearest"):
             return self.score(e)
@@ -67,7 +67,7 @@ class Tail:
 
     def aggregate(self, e: A.Call) -> Column:
         kind = self.scope.checked.type_of(e.args[0])
-        arg = key(e.args[0].name) if is_node(kind) else self.value(e.args[0])
+        arg = key(e.args[0].name) if isinstance(kind, NodeValue) else self.value(e.args[0])
         out = AGGREGATES[e.name](arg)
         wide = self.scope.checked.type_of(e)
         return out.cast(wide.spark()) if e.name in ("sum", "avg") else out
