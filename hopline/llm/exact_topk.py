@@ -1,7 +1,9 @@
 """Exact top-k by inner product over norm-sorted vectors.
 
 Components become the integers floor(scale * x).  Candidates are dealt out by
-descending length; each task takes its tiles in that order.  A query is live
+descending length, a file for each range of lengths.  Spark packs files into
+tasks by their size, so lengths fall within a file only; every tile is looked
+at, in whatever order it comes.  A query is live
 for a tile while its length times the tile's greatest length can still reach
 the query's k-th best score (Cauchy-Schwarz).  For live queries the vectors,
 rotated onto the singular directions of a bounded sample, are multiplied over
@@ -92,7 +94,7 @@ class Search:
         self.pairs_scored = self.tiles_skipped = 0
 
     def tile(self, ids: np.ndarray, rows: np.ndarray) -> bool:
-        """Take a tile; false if no query was live, so that no shorter vector can matter.
+        """Take a tile; false if no query was live, so that none of its vectors, nor any shorter one, can matter.
 
         Tests are written as "not less than", so that bounds lost to overflow keep a pair.
         """
@@ -158,14 +160,11 @@ def _block_topk(candidates: DataFrame, ids: np.ndarray, rows: np.ndarray, turn:
     d = rows.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, live = Search(*sent.value, k), True
+        search = Search(*sent.value, k)
         for batch in batches:
-            if not live:
-                continue  # the rest of the task is shorter still
             own, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), d)
             for at in range(0, len(own), TILE):
-                if not (live := search.tile(own[at : at + TILE], x[at : at + TILE])):
-                    break
+                search.tile(own[at : at + TILE], x[at : at + TILE])  # a later file of the task may hold longer vectors
         q, v, s = zip(*rows) if (rows := search.found()) else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (q, v, s)], names=["query_id", "vec_id", "score"])
 
@@ -184,7 +183,7 @@ def topk(
     spark = vectors.sparkSession
     rows = whole_vectors(vectors, vec_id, vector, scale)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # by length, longest first: a task holds a range of lengths and meets the longest first;
+    # by length, longest first: a file holds a range of lengths, the longest first;
     # the id splits what has one length (copies of a common vector)
     order = [F.col("d"), F.col("length").desc(), F.col("vec_id")]
     rows = common.stage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), "vectors")

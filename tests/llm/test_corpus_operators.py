@@ -246,6 +246,22 @@ def test_topk_against_brute_force(spark, monkeypatch, kind):
     assert got == sorted(brute_topk(vectors))
 
 
+def test_topk_reads_every_file_of_a_task(spark, monkeypatch):
+    # long vectors of one component make the smallest files, which Spark packs behind those of short vectors
+    monkeypatch.setattr(exact_topk, "SEED", 20)
+    monkeypatch.setattr(exact_topk, "TILE", 16)
+    rng = np.random.default_rng(3)
+    vectors = {i: ([0.0] * (i % 8) + [float(rng.integers(400, 404))] + [0.0] * (7 - i % 8) if i % 2 else (rng.normal(size=8) * rng.lognormal()).tolist()) for i in range(3000)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        got = sorted(tuple(r) for r in exact_topk.topk(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted(brute_topk(vectors))
+
+
 def test_topk_of_several_dimensions_and_none(spark):
     rows = [(0, [1.0, 2.0]), (1, [3.0, 4.0]), (100, [1.0]), (101, [2.0]), (200, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
