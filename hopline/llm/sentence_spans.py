@@ -11,15 +11,23 @@ One of more than ``LONG`` words is cut further behind words whose CRC-32 is
 divisible by ``CUT``, and after ``LONG`` words without one, so that passages
 without stops still align.
 
-Shuffles: 64-bit run hashes, once summed by hash with map-side combine and once
+A passage that starts and ends within sentences may hold too few whole ones.
+So each text also has anchored spans of ``GRAM`` words, wherever they lie: of
+every ``PASSAGE`` words in a row those whose hash is the least (winnowing).
+Equal passages of ``PASSAGE`` words have equal anchored spans, whatever stands
+around them.  They meet like runs, and the words of a non-first one are removed.
+Neighbouring ones are at most ``PASSAGE - GRAM + 1`` words apart, so they cover a longer
+repeated passage but for fewer than that many words at either end.
+
+Shuffles: 64-bit run and span hashes, once summed by hash with map-side combine and once
 joined, from staged tables, to the hashes that occur twice or more (so
 adaptive execution can split a hot hash); then texts by id, to meet what is
 removed from them.
 
 Edge cases: null and empty texts have no sentences and stay as they are; rows
 that repeat an id are one document, so their equal positions are not repeats
-of each other; rows without an id are told apart by their text; empty tables
-give empty tables; input columns named like an added one are replaced.
+of each other; rows without an id are told apart by their text; ``n_removed``
+counts a sentence of which some words are removed; empty tables give empty tables; input columns named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -38,6 +46,10 @@ from hopline.llm import common
 
 SPAN, MIN_WORDS = 2, 12
 LONG, CUT = 24, 8
+#: Words of the passages that are always found, and of an anchored span.
+PASSAGE, GRAM = 51, 28
+#: Odd, so it has an inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
 #: On UTF-8 bytes; the six ASCII blanks.
 BREAK = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -89,6 +101,55 @@ def hashes(raw: bytes, span: int, min_words: int) -> list[int]:
     return np.array([digest(b"\n".join(forms[i:end])) for i, end in enumerate(runs(found, span, min_words))], dtype=np.uint64).view(np.int64).tolist()
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word, 1)
+        return found
+
+
+def _extreme(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """Least or greatest of every ``width`` neighbours."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = pick(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, signed hash) of the anchored spans of all texts, in order."""
+    known = _WordHashes()
+    parts, sizes = [], []
+    for raw in raws:
+        words = raw.split()
+        sizes.append(len(words))
+        if len(words) >= PASSAGE:
+            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    sizes = np.array(sizes, dtype=np.int64)
+    of = np.flatnonzero(sizes >= PASSAGE)
+    if not len(of):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words, text = np.concatenate(parts), np.repeat(of, sizes[of])
+    n = len(words)
+    powers, inverse = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+    powers[0] = inverse[0] = 1
+    powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(words * powers)))
+    grams = (sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        grams = (grams ^ (grams >> np.uint64(shift))) * np.uint64(factor)
+    grams ^= grams >> np.uint64(31)
+    width = PASSAGE - GRAM + 1
+    least = _extreme(grams, width, np.minimum)
+    least[text[: n - PASSAGE + 1] != text[PASSAGE - 1 :]] = 0  # of two texts
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero((_extreme(np.concatenate((edge, least, edge)), width, np.maximum) == grams) & (grams > 0))
+    starts = np.zeros(len(sizes), np.int64)
+    starts[of] = np.cumsum(sizes[of]) - sizes[of]
+    return text[at], at - starts[text[at]], grams[at].view(np.int64)
+
+
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """Add ``__id`` and, for rows without one, ``__h`` from the text."""
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -96,18 +157,32 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, __h, __at): for each document the sentences at which a non-first repeated run begins."""
+    """(__id, __h, __at): for each document where a non-first repeated run or anchored span begins.
+
+    That is twice the sentence of a run, and twice the first word of a span and one more.
+    """
+    held = T.ArrayType(T.StructType([T.StructField("p", T.LongType()), T.StructField("run", T.LongType())]))
 
     def make():
         def work(column: pa.Array) -> list[pa.Array]:
-            return [pa.array([hashes(x, span, min_words) for x in common.blobs(column)], type=pa.list_(pa.int64()))]
+            raws = common.blobs(column)
+            own = [hashes(x, span, min_words) for x in raws]
+            sizes = np.array([len(x) for x in own], dtype=np.int64)
+            text, at, gram = anchors(raws)
+            rows = np.concatenate((np.repeat(np.arange(len(raws)), sizes), text))
+            places = np.concatenate([*(np.arange(x) * 2 for x in sizes.tolist()), at * 2 + 1])
+            order = np.argsort(rows, kind="stable")
+            runs_and_spans = np.concatenate((np.array([x for y in own for x in y], dtype=np.int64), gram))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(raws)))))
+            both = pa.StructArray.from_arrays([pa.array(places[order]), pa.array(runs_and_spans[order])], names=["p", "run"])
+            return [pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), both)]
 
         return work
 
     keyed = _keyed(docs.select(doc_id, text), text, doc_id).select("__id", "__h", F.col(f"`{text}`").alias("__t"))
-    hashed = common.map_columns(keyed, ["__t"], T.StructType([T.StructField("__runs", T.ArrayType(T.LongType()))]), make, ["__id", "__h"])
+    hashed = common.map_columns(keyed, ["__t"], T.StructType([T.StructField("__runs", held)]), make, ["__id", "__h"])
     hashed = common.stage(hashed, "runs")
-    each = hashed.select("__id", "__h", F.posexplode("__runs").alias("__p", "__run"))
+    each = hashed.select("__id", "__h", F.inline("__runs").alias("__p", "__run"))
     place = F.struct(F.col("__id").isNull().alias("none"), "__id", "__h", "__p")
     twice = each.groupBy("__run").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("__run").alias("__r"), "first")
     twice = common.stage(twice, "twice")
@@ -143,19 +218,34 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int
                     rows.append((len(found), 0, 0, [], whole))
                     continue
                 ends, gone = runs(found, span, min_words), bytearray(len(found))
-                for at in marked:
+                for at in (x // 2 for x in marked if x % 2 == 0):
                     if at < len(ends):  # of rows that repeat an id, marks of another text may lie outside
                         gone[at : ends[at]] = b"\1" * (ends[at] - at)
+                pieces = [(start, end) for (start, end, _, _), away in zip(found, gone) if away]
+                words = sum(x[2] for x, away in zip(found, gone) if away)
+                removed = sum(gone)
+                if grams := [x // 2 for x in marked if x % 2]:
+                    spots = [m.span() for m in WORD.finditer(raw)]
+                    lost = bytearray(len(spots))
+                    for at in grams:
+                        if at + GRAM <= len(spots):
+                            lost[at : at + GRAM] = b"\1" * GRAM
+                            pieces.append((spots[at][0], spots[at + GRAM - 1][1]))
+                    first = 0
+                    for (_, _, n, _), away in zip(found, gone):
+                        own = sum(lost[first : first + n])
+                        first += n
+                        if own and not away:
+                            removed, words = removed + 1, words + own
                 cuts: list[list[int]] = []
-                for (start, end, _, _), away in zip(found, gone):
-                    if away and cuts and cuts[-1][1] == start:
-                        cuts[-1][1] = end
-                    elif away:
+                for start, end in sorted(pieces):
+                    if cuts and cuts[-1][1] >= start:
+                        cuts[-1][1] = max(cuts[-1][1], end)
+                    else:
                         cuts.append([start, end])
                 edges = [0, *[x for cut in cuts for x in cut], len(raw)]
                 clean = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
-                words = sum(x[2] for x, away in zip(found, gone) if away)
-                rows.append((len(found), sum(gone), words, [{"start": a, "end": b} for a, b in cuts], clean))
+                rows.append((len(found), removed, words, [{"start": a, "end": b} for a, b in cuts], clean))
             n, removed, words, spans, clean = zip(*rows) if rows else ([],) * 5
             return [*(pa.array(x, type=pa.int64()) for x in (n, removed, words)), pa.array(spans, type=ranges), pa.array(clean, type=pa.string())]
 

@@ -204,6 +204,46 @@ def test_sentences():
     assert sentence_spans.sentences(b"") == [] and sentence_spans.sentences(b" \n ") == []
 
 
+def test_anchored_spans_of_any_texts():
+    rnd = random.Random(6)
+    raws = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, n) for _ in range(size)).encode() for n, size in ((1, 0), (3, 50), (3, 51), (1, 300), (4, 700), (1, 51), (3, 52))] + [b"the " * 120]
+    text, at, gram = (x.tolist() for x in sentence_spans.anchors(raws))
+    size, all_words = sentence_spans.GRAM, sentence_spans.PASSAGE
+    by, of = {}, {}
+    for t, p, g in zip(text, at, gram):
+        by.setdefault(t, {})[p] = g
+        words = tuple(raws[t].split()[p : p + size])
+        assert len(words) == size and of.setdefault(words, g) == g
+    assert len(set(of.values())) == len(of)
+    for t, raw in enumerate(raws):
+        for i in range(len(raw.split()) - all_words + 1):
+            assert any(p in by[t] for p in range(i, i + all_words - size + 1))
+    assert 0 not in by and 1 not in by and len(by[7]) == 120 - size + 1
+
+
+@pytest.mark.parametrize("stops", [True, False])
+def test_every_unaligned_passage_is_caught(spark, stops):
+    rnd = random.Random(9)
+
+    def prose(n):
+        return ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) + ("." if stops and rnd.random() < 0.06 else "") for _ in range(n)]
+
+    rows, shared = [], {}
+    for i in range(300):
+        shared[i] = passage = prose(51)
+        for doc in (i, 1000 + i):
+            rows.append((doc, " ".join(prose(rnd.randint(5, 90)) + passage + prose(rnd.randint(5, 90))), "en", "s", 1))
+    out = {r.doc_id: r for r in sentence_spans.dedup(docs(spark, rows)).collect()}
+    whole = {r[0]: r[1] for r in rows}
+    for i, passage in shared.items():
+        a, b = out[i], out[1000 + i]
+        assert a.n_removed == 0 and a.clean_text == whole[i]
+        gone = whole[1000 + i].split()
+        left = b.clean_text.split()
+        assert b.n_removed > 0 and len(gone) - len(left) == b.words_removed >= sentence_spans.GRAM
+        assert all(w in set(passage) for w in gone if w not in set(left))  # nothing but the passage goes
+
+
 def test_span_query_on_awkward_rows(spark, awkward):
     got = queries.op4_sentence_spans(spark, awkward).collect()
     assert len(got) == len(AWKWARD)
