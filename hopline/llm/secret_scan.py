@@ -6,7 +6,9 @@ digits that stands behind a sensitive word is compressed by zstandard primed
 with common identifiers and the code around it.  The marginal bytes are what
 the candidate adds to an empty frame; a string that its surroundings and the
 identifiers explain costs little, and one whose marginal bytes reach
-``NOVELTY`` of its length is reported.
+``NOVELTY`` of its length is reported.  zstandard also codes the characters of
+longer strings by how often they occur, so from ``CODED`` characters on one is
+reported too whose marginal bytes reach ``NEAR`` of what that alone would cost.
 
 Edge cases: null and empty texts have no spans; offsets are code points, ends
 exclusive; a candidate that overlaps a pattern's span is not reported again;
@@ -16,7 +18,9 @@ named like an added one are replaced.  Texts are scanned whole.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -41,6 +45,8 @@ REACH = 80
 AROUND = 512
 #: Least marginal bytes per character.
 NOVELTY = 0.8
+#: Characters from which literals may be entropy-coded; least marginal bytes per byte of the candidate's own entropy; least marginal bytes then.
+CODED, NEAR, LEAST = 48, 0.9, 16
 IDENTIFIERS = (
     "abstract argument array assert async await base64 boolean break buffer bytes callback catch char class client config "
     "connection const constructor context continue count data database date debug decode default delete describe dict double "
@@ -62,6 +68,19 @@ def marginal_bytes(candidate: bytes, around: bytes) -> int:
     return len(press.compress(candidate)) - len(press.compress(b""))
 
 
+def entropy_bytes(candidate: str) -> float:
+    """Bytes that the characters cost by their own frequencies alone."""
+    n = len(candidate)
+    return sum(c * math.log2(n / c) for c in Counter(candidate).values()) / 8
+
+
+def is_novel(candidate: str, around: str) -> bool:
+    marginal = marginal_bytes(candidate.encode(), around.encode())
+    if marginal >= NOVELTY * len(candidate):
+        return True
+    return len(candidate) >= CODED and marginal >= max(LEAST, NEAR * entropy_bytes(candidate))
+
+
 def base_spans(text: str, raw: bytes, low: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns; ``raw`` and ``low`` are the bytes and their lower case, to skip patterns that can't match."""
     found = []
@@ -89,7 +108,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
             if not (re.search("[0-9]", own) and re.search("[A-Za-z]", own)) or any(start < e and s < stop for s, _, e in known):
                 continue
             around = text[max(0, start - AROUND) : start] + "\n" + text[stop : stop + AROUND]
-            if marginal_bytes(own.encode(), around.encode()) >= NOVELTY * len(own):
+            if is_novel(own, around):
                 found.append((start, 3, stop))
     return found
 

@@ -164,6 +164,21 @@ def test_novelty():
     assert secret_scan.marginal_bytes(b"aZ3kd92jsQ0plm48xNvb", b"") >= 16
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_random_keys_are_novel_at_any_length(alphabet):
+    import random
+
+    rnd = random.Random(7)
+    for n in (16, 32, 48, 64, 100, 256, 512, 1000, 2000, 4096):
+        for _ in range(20):
+            own = "A1" + "".join(rnd.choice(alphabet) for _ in range(n - 2))
+            text = f"bearer {own} and so on"
+            assert (7, 3, 7 + n) in secret_scan.spans_of(text, text.encode()) or any(k < 3 for _, k, _ in secret_scan.spans_of(text, text.encode()))
+    # what the code around explains stays unreported at any length
+    path = "configuration_settings_1/" * 8
+    assert not secret_scan.is_novel(path, path) and not secret_scan.is_novel("a1" * 500, "")
+
+
 def test_scan_query_and_redaction(spark, tmp_path):
     rows = [*AWKWARD, (20, SECRETS, "en", "s", 1), (21, SECRETS, "en", "s", 1)]
     write(spark, str(tmp_path), rows)
