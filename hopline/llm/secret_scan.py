@@ -35,12 +35,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the maximal runs that are long enough
 #: Words that make what follows sensitive; lower case, sought in any case.
-SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "credential", "bearer", "private_key", "access_key", "authorization")
+SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "credential", "bearer", "private_key", "private key", "private-key", "access_key", "access key", "access-key", "authorization")
 ASSIGNED = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 SENSITIVE_RE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: A candidate begins at most so many code points behind a sensitive word.
-REACH = 80
+#: A candidate begins at most so many code points behind a sensitive word, and has no fewer characters.
+REACH, SHORTEST = 80, 16
+#: What may stand between the lines of one key, written out or in quotes: a line break, or an escaped one.
+NEXT_LINE = re.compile(r"""[\x20\t"',+]*+(?:\\r)?(?:\\n)?[\x20\t"',+\\]*+\r?\n[\x20\t"',+#*>]*+|(?:\\r)?\\n""")
+#: The end of a key block, a line too short for a candidate.
+LAST_LINE = re.compile(r"""[A-Za-z0-9+/_=-]{1,15}+(?=(?:[\x20\t"',+\r\n]|\\[rn])++-----END)""")
 #: Code points on either side of a candidate that prime the dictionary.
 AROUND = 512
 #: Least marginal bytes per character.
@@ -93,23 +97,38 @@ def base_spans(text: str, raw: bytes, low: bytes) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of candidates behind a sensitive word that stay novel."""
+    """(start, kind, end) of candidates behind a sensitive word that stay novel, and of the lines that go on after one."""
     ends = [m.end() for m in SENSITIVE_RE.finditer(text)]
     found, done = [], 0
+
+    def look(start: int, stop: int, goes_on: bool) -> bool:
+        """Report the candidate if it is novel; a line of a key that goes on needs no digit."""
+        own = text[start:stop]
+        mixed = re.search("[0-9]", own) and re.search("[A-Za-z]", own)
+        if not (mixed or goes_on) or any(start < e and s < stop for s, _, e in known):
+            return False
+        around = text[max(0, start - AROUND) : start] + "\n" + text[stop : stop + AROUND]
+        if not is_novel(own, around):
+            return False
+        found.append((start, 3, stop))
+        return True
+
     for end in ends:
-        for m in CANDIDATE.finditer(text, max(end, done), min(len(text), end + REACH)):
-            start, stop = m.start(), m.end()
-            if stop == end + REACH:  # the window cut it
-                stop = CANDIDATE.match(text, start).end()
-            if start < done:
-                continue
-            done = stop
-            own = text[start:stop]
-            if not (re.search("[0-9]", own) and re.search("[A-Za-z]", own)) or any(start < e and s < stop for s, _, e in known):
-                continue
-            around = text[max(0, start - AROUND) : start] + "\n" + text[stop : stop + AROUND]
-            if is_novel(own, around):
-                found.append((start, 3, stop))
+        at = max(end, done)
+        # every start up to the reach is seen; what begins there is taken whole
+        while at <= end + REACH and (m := CANDIDATE.search(text, at, end + REACH + SHORTEST)):
+            start, done = m.start(), CANDIDATE.match(text, m.start()).end()
+            novel = look(start, done, False)
+            while gap := NEXT_LINE.match(text, done):
+                if line := CANDIDATE.match(text, gap.end()):
+                    done = line.end()
+                    novel = look(line.start(), done, novel)
+                    continue
+                if novel and (line := LAST_LINE.match(text, gap.end())) and not any(line.start() < e and s < line.end() for s, _, e in known):
+                    done = line.end()
+                    found.append((line.start(), 3, done))
+                break
+            at = done
     return found
 
 
