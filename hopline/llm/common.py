@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hopline.sources.staging import clear, drop, shared_dir, stage
+
+__all__ = ["clear", "drop", "shared_dir", "stage"]
+
 #: The word of every contract: a run of anything but the six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of text that one Python step handles at once; a longer text is a step of its own.
@@ -25,40 +25,21 @@ BROADCAST_BYTES = 8 << 20
 _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        return spark.conf.get("spark.sql.warehouse.dir") + "/_staging"
-    named = tempfile.mkdtemp(prefix="hopline-")
-    atexit.register(shutil.rmtree, named, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+#: Rows that the Parquet reader and the way to Python hold at once, for rows that carry whole texts; Spark's own
+#: defaults are meant for narrow rows, and a batch of them can take a large part of an executor.
+BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048")}
 
 
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/hopline-{spark.sparkContext.applicationId}"
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch sizes for tables of texts where they are at Spark's defaults; a size set by hand stays."""
+    for key, (default, own) in BATCH_ROWS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, own)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete what this application has staged; no result that still reads it may be in use."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def broadcast_if_small(staged: DataFrame, row_bytes: int) -> DataFrame:
@@ -102,6 +83,7 @@ def map_columns(
     input column whose name clashes with an output is replaced.
     """
     spark = df.sparkSession
+    small_batches(spark)
     spark.sparkContext.environment.setdefault("PYTHONPATH", _PACKAGE_ROOT)
     names = [f.name for f in outputs.fields]
     clash = {n.lower() for n in names}

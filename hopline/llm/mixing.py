@@ -172,32 +172,33 @@ def mix(
     mixed stream is the rows in the order of ``order_key`` (no order is
     imposed here, for that would shuffle the texts).
     """
+    common.small_batches(docs.sparkSession)
     docs = common.without(docs, ADDED)
     planned = plan(docs, text, source, doc_id, target_entropy, max_repeats, budget, seed)
     planned = common.stage(planned.select(F.col("src").alias("__src"), "epochs", "rest", "cut_block", "cut_cell", "cut_cell_left"), "plan")
     small = common.broadcast_if_small(planned, 256)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    row = F.struct(*columns).alias("__row")
-    placed = docs.select(row, F.col(f"`{source}`").alias("__s"), F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__t"))
-    placed = placed.join(small, F.col("__s").eqNullSafe(F.col("__src"))).withColumns({"block": _part(F.col("__id"), 1), "__cell": _part(F.col("__id"), 9)})
-    last = [F.lit(seed), F.col("epochs") + 1, F.col("__s"), F.col("block")]
+    # positions stand for names, which might clash; each row carries its text once
+    own = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    s, i, t = (F.col(own[c]) for c in (source, doc_id, text))
+    placed = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()])
+    placed = placed.withColumns({"n_tokens": tokens(t), "block": _part(i, 1), "__cell": _part(i, 9)}).join(small, s.eqNullSafe(F.col("__src")))
+    last = [F.lit(seed), F.col("epochs") + 1, s, F.col("block")]
     placed = placed.withColumns({"__b": _key(*last), "__c": _key(*last, F.col("__cell"))})
     none = F.array().cast("array<int>")
     full = F.when(F.col("epochs") > 0, F.sequence(F.lit(1), F.col("epochs"))).otherwise(none)
     before = (F.col("__b") < F.col("cut_block")) | (F.col("__b") == F.col("cut_block")) & (F.col("__c") < F.col("cut_cell"))
     inside = F.when((F.col("rest") > 0) & (F.col("cut_block").isNull() | before), F.array(F.col("epochs") + 1)).otherwise(none)
-    out = [F.col("__row"), F.col("__s"), F.col("__id"), F.col("__t"), F.col("block")]
+    out = [*own.values(), "n_tokens", "block"]
     passed = placed.select(*out, F.explode(F.concat(full, inside)).alias("epoch"))
     # the texts of the one cut cell of each source, in their own order up to the quota
-    edge = placed.filter("rest > 0 AND __b = cut_block AND __c = cut_cell").withColumn("__n", tokens(F.col("__t")))
-    order = [_key(F.lit(seed), F.col("epochs") + 1, F.col("__id")), F.col("__id"), F.md5(F.coalesce(F.col("__t"), F.lit("")).cast("binary"))]
-    upto = F.sum("__n").over(Window.partitionBy("__src").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    edge = placed.filter("rest > 0 AND __b = cut_block AND __c = cut_cell")
+    order = [_key(F.lit(seed), F.col("epochs") + 1, i), i, F.md5(F.coalesce(t, F.lit("")).cast("binary"))]
+    upto = F.sum("n_tokens").over(Window.partitionBy("__src").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("__upto", upto).filter("__upto <= cut_cell_left").select(*out, (F.col("epochs") + 1).alias("epoch"))
-    both = passed.unionByName(edge)
-    return both.select(
-        "__row.*",
-        tokens(F.col("__t")).alias("n_tokens"),
+    return passed.unionByName(edge).select(
+        *[F.col(o).alias(c) for c, o in own.items()],
+        "n_tokens",
         "epoch",
         "block",
-        F.concat(_key(F.lit(seed), F.col("epoch"), F.col("__s"), F.col("block")), _key(F.lit(seed), F.col("epoch"), F.col("__id"))).alias("order_key"),
+        F.concat(_key(F.lit(seed), F.col("epoch"), s, F.col("block")), _key(F.lit(seed), F.col("epoch"), i)).alias("order_key"),
     )
