@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,31 +17,51 @@ from hopline.functions.text import times, tokens_of
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def bm25(df: DataFrame, field: Column, query: str, out: str, corpus: tuple[DataFrame, Column] | None = None) -> DataFrame:
-    """Add ``out``: the BM25 score of ``field`` among the rows of ``df`` (or of ``corpus``).
+@dataclass(frozen=True)
+class Statistics:
+    """One row of sums over a corpus, for any number of queries on one field."""
 
-    The statistics (documents, mean length, documents with each term) are one
-    aggregation to one row, which is joined back by broadcast; no tokens are
-    exploded or shuffled.
+    row: DataFrame
+    mean: str
+    n: str
+    held: dict[str, str]  # column of each term
+
+
+def statistics(rows: DataFrame, field: Column, terms: list[str], label: str) -> Statistics:
+    """The texts that are not null, their mean length, and how many hold each term: one aggregation to one row."""
+    held = {t: f"__df{label}_{i}" for i, t in enumerate(terms)}
+    mean, n = f"__mean{label}", f"__n{label}"
+    row = rows.agg(F.count(field).alias(n), F.avg(token_count(field)).alias(mean), *[F.count(F.when(times(field, t) > 0, 1)).alias(c) for t, c in held.items()])
+    return Statistics(row, mean, n, held)
+
+
+def bm25(df: DataFrame, field: Column, queries: dict[str, str], corpus: tuple[DataFrame, Column] | None = None, label: str = "") -> DataFrame:
+    """Add for each name of ``queries`` the BM25 score of ``field`` among the rows of ``df`` (or of ``corpus``).
+
+    The statistics of all queries are one aggregation, which is joined back by
+    broadcast; no tokens are exploded or shuffled.  A row's length is counted
+    only where one of the terms stands.
     """
-    asked = sorted(Counter(tokens_of(query or "")).items())
-    if not asked:
-        return df.withColumn(out, F.lit(0.0))
-    rows, text = corpus or (df, field)
-    terms = [f"__df{i}" for i in range(len(asked))]
-    counted = rows.agg(
-        F.count(text).alias("__n"),
-        F.avg(token_count(text)).alias("__mean"),  # over the texts that are not null
-        *[F.count(F.when(times(text, t) > 0, 1)).alias(c) for (t, _), c in zip(asked, terms)],
-    )
-    joined = df.withColumn("__size", token_count(field)).join(F.broadcast(counted))
-    norm = F.when(F.col("__mean") > 0, K1 * (1 - B + B * F.col("__size") / F.col("__mean"))).otherwise(F.lit(K1))
-    score = F.lit(0.0)
-    for (term, asked_times), c in zip(asked, terms):
-        tf = times(field, term).cast("double")
-        idf = F.log(1 + (F.col("__n") - F.col(c) + 0.5) / (F.col(c) + 0.5))
-        score = score + F.when(tf > 0, idf * (tf * (K1 + 1) / (tf + norm)) * asked_times).otherwise(0.0)
-    return joined.withColumn(out, F.coalesce(score, F.lit(0.0))).drop("__size", "__n", "__mean", *terms)
+    asked = {out: sorted(Counter(tokens_of(query or "")).items()) for out, query in queries.items()}
+    terms = sorted({t for own in asked.values() for t, _ in own})
+    if not terms:
+        return df.withColumns({out: F.lit(0.0) for out in queries})
+    stats = statistics(*(corpus or (df, field)), terms, label)
+    own = df.withColumns({f"__tf{label}_{i}": times(field, t).cast("double") for i, t in enumerate(terms)})
+    tf = {t: F.col(f"__tf{label}_{i}") for i, t in enumerate(terms)}
+    some = reduce(Column.__or__, [c > 0 for c in tf.values()])
+    joined = own.withColumn(f"__size{label}", F.when(some, token_count(field))).join(F.broadcast(stats.row))
+    mean = F.col(stats.mean)
+    norm = F.when(mean > 0, K1 * (1 - B + B * F.col(f"__size{label}") / mean)).otherwise(F.lit(K1))
+    scores = {}
+    for out, pairs in asked.items():
+        score = F.lit(0.0)
+        for term, repeats in pairs:
+            n, held = F.col(stats.n), F.col(stats.held[term])
+            idf = F.log(1 + (n - held + 0.5) / (held + 0.5))
+            score = score + F.when(tf[term] > 0, idf * (tf[term] * (K1 + 1) / (tf[term] + norm)) * repeats).otherwise(0.0)
+        scores[out] = F.coalesce(score, F.lit(0.0))
+    return joined.withColumns(scores).drop(f"__size{label}", stats.n, stats.mean, *stats.held.values(), *[f"__tf{label}_{i}" for i in range(len(terms))])
 
 
 #: Steps of a score that share a bucket, and node ids that share a slice, when positions are counted in parts.
@@ -77,16 +98,29 @@ def positions(df: DataFrame, score: str, down: bool, ties: list[str], out: str)
     return placed.withColumn(out, F.col("__p") + F.col("__at")).drop("__b", "__s", "__i", "__p", "__at")
 
 
-def rrf(df: DataFrame, ranks: list[tuple[str, bool]], ties: list[str], k: int, out: str, parts: bool = False) -> DataFrame:
+#: Rows that Catalyst expects to be smaller than this are numbered in one sequence, others in parts.
+ONE_SEQUENCE_BYTES = 64 << 20
+
+
+def in_parts(df: DataFrame, columns: list[str]) -> bool:
+    """Whether the optimiser expects more rows than one task should sort; it guesses high, never by running anything."""
+    plan = df.select(*[f"`{c}`" for c in columns])._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) > ONE_SEQUENCE_BYTES
+
+
+def rrf(df: DataFrame, ranks: list[tuple[str, bool]], ties: list[str], k: int, out: str, parts: bool | None = None) -> DataFrame:
     """Add ``out``: the sum of 1 / (k + position) over the score columns ``ranks`` (name, descending).
 
     A position is that among all rows, equal scores in the order of the
-    columns ``ties``.  By default each is a row number over one sorted
-    sequence; with ``parts`` it is counted in parts (see ``positions``).
+    columns ``ties``.  With ``parts`` it is counted in parts (see
+    ``positions``), without it is a row number over one sorted sequence; by
+    default the expected size of the rows decides.
     """
     if k <= 0:
         raise ValueError("rrf() needs a k above 0")
     total = F.lit(0.0)
+    if parts is None:
+        parts = in_parts(df, [*ties, *[name for name, _ in ranks]])
     for i, (name, down) in enumerate(ranks):
         sure = F.when(F.col(name).isNull(), F.raise_error(F.lit("rrf(): a rank score is null")).cast("double")).otherwise(F.col(name))
         df = df.withColumn(name, sure)
@@ -97,8 +131,3 @@ def rrf(df: DataFrame, ranks: list[tuple[str, bool]], ties: list[str], k: int, o
             df = df.withColumn(f"__rank{i}", F.row_number().over(Window.orderBy(order, *[f"`{t}`" for t in ties])))
         total = total + 1.0 / (k + F.col(f"__rank{i}"))
     return df.withColumn(out, total).drop(*[f"__rank{i}" for i in range(len(ranks))])
-
-
-def idf(n: int, df: int) -> float:
-    """The weight of a term in ``df`` of ``n`` documents."""
-    return math.log(1 + (n - df + 0.5) / (df + 0.5))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import regex
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,15 @@ EDITS = ((2, 0), (5, 1))
 MOST_EDITS = 2
 
 
+#: What stands between tokens, for the regular expressions of Java and, where no JVM runs yet, of Python's ``regex``.
+BETWEEN, BETWEEN_PY = r"[^\p{IsAlphabetic}\p{N}]+", regex.compile(r"[^\p{Alphabetic}\p{N}]+")
+
+
 def tokens_of(text: str) -> list[str]:
-    """The tokens of a driver-side text."""
-    return "".join(c if c.isalnum() else " " for c in text).translate(_FOLD).split()
+    """The tokens of a driver-side text, cut by the expression that cuts columns, in the same JVM if there is one."""
+    sc = SparkContext._active_spark_context
+    cut = sc._jvm.java.util.regex.Pattern.compile(BETWEEN).split(text) if sc is not None and sc._jvm is not None else BETWEEN_PY.split(text)
+    return [t.translate(_FOLD) for t in cut if t]
 
 
 def tokens(text: Column) -> Column:
@@ -26,7 +34,7 @@ def tokens(text: Column) -> Column:
     A-Z, so it serves the texts that have none.
     """
     folded = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.filter(F.split(folded, r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(folded, BETWEEN), lambda t: t != "")
 
 
 def count(text: Column) -> Column:

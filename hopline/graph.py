@@ -111,25 +111,39 @@ class Graph:
         *,
         negation: str = "all_vars",
         corpus: str = "match",
-        ranks: str = "window",
+        ranks: str = "auto",
+        dangling: str = "drop",
         now: dt.datetime | None = None,
     ) -> DataFrame:
         """The lazy result of a read query.
 
         ``negation="first_var"`` lets only the first outer variable of a
         negated block decide; ``corpus="type"`` takes BM25 statistics from the
-        whole node table instead of the matched rows; ``ranks="parts"`` counts
-        the positions that rrf() needs in parts, for results of many millions
-        of rows.
+        whole node table instead of the matched rows; ``ranks`` says how
+        rrf() finds positions: in one sorted sequence ("window"), counted in
+        parts ("parts"), or by the size that the optimiser expects ("auto").
+        ``dangling="error"`` looks first whether every edge that the query may
+        walk has both ends; by default edges without one lead nowhere (stored
+        graphs have none).
         """
         q = self.find(text, name)
         if q.mutation:
             raise HoplineError(f"query {q.name} is a mutation; run it on a stored graph")
         checked = check(self.catalog, q)
+        if dangling == "error":
+            self._sure_of_ends({w.edge for w in checked.walks.values()})
         scope = Scope(checked, bind_params(q, params), now or utc_now(), self.embedder)
         rows = Matcher(self, scope, negation).run(q.match, checked.bindings)
         return Tail(self, scope, rows, corpus, ranks).run()
 
+    def _sure_of_ends(self, kinds: set[str]) -> None:
+        for kind in sorted(kinds):
+            e, (table, _) = self.catalog.edges[kind], self.edge(kind)
+            for end, owner in ((SRC, e.source), (DST, e.target)):
+                lost = table.join(self.node(owner).select(F.col(ID).alias("__there")), F.col(end) == F.col("__there"), "left_anti").select(end).limit(1).collect()
+                if lost:
+                    raise HoplineError(f"edge {kind}: there is no {owner} with id {lost[0][0]}")
+
     def validate(self) -> DataFrame:
         """(type, problem, n): dangling edge ends, repeated pairs, repeated ids and keys."""
         parts = []

@@ -25,10 +25,11 @@ def key(var: str) -> Column:
 
 @dataclass
 class Rows:
-    """The rows of some bound variables (name to node type)."""
+    """The rows of some bound variables (name to node type); ``whole`` if they are all nodes of one type."""
 
     df: DataFrame
     vars: dict[str, str]
+    whole: bool = False
 
     def struct(self, var: str, props: list[str]) -> Column:
         """A whole node: its id and its properties."""
@@ -38,4 +39,4 @@ class Rows:
 
 def scan(table: DataFrame, var: str, kind: str) -> Rows:
     """Every node of a type, as rows of one variable; the optimiser prunes what nothing asks for."""
-    return Rows(table.select(*[F.col(f"`{c}`").alias(name(var, c)) for c in table.columns]), {var: kind})
+    return Rows(table.select(*[F.col(f"`{c}`").alias(name(var, c)) for c in table.columns]), {var: kind}, whole=True)

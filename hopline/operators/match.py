@@ -204,10 +204,10 @@ class Matcher:
         if len(own) == len(n.clauses) and all((variables(c) & set(bound)) <= set(rows.vars) for c in own):
             hit = reduce(Column.__and__, [F.coalesce(self.scope.condition(c, bound), F.lit(False)) for c in own])
             return Rows(rows.df.filter(~hit), rows.vars)
-        if len(outer) == 1:
+        if len(outer) == 1 and rows.whole:  # the block starts from all nodes anyway
             kind = rows.vars[outer[0]]
             seed = scan(self.graph.node(kind), outer[0], kind)
-        else:
+        else:  # only from what the match has reached
             held = [name(v, c) for v in outer for c in (ID, *self.graph.props(rows.vars[v]))]
             seed = Rows(rows.df.select(*[f"`{c}`" for c in held]).dropDuplicates([name(v, ID) for v in outer]), {v: rows.vars[v] for v in outer})
         hits = self.run(n.clauses, bound, seed).df

@@ -37,12 +37,15 @@ def condition(where: A.Predicate, kind: PropType, values: dict, now) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def update(table: DataFrame, sets: list[tuple[str, PropType, object]], cond: Column) -> DataFrame:
-    """Set the properties where the condition held before."""
-    hit = table.withColumn("__hit", cond)
-    for prop, kind, value in sets:
-        hit = hit.withColumn(prop, F.when(F.col("__hit"), as_column(value, kind)).otherwise(F.col(f"`{prop}`")))
-    return hit.drop("__hit")
+HIT = "__hit"
+
+
+def update(table: DataFrame, sets: list[tuple[str, PropType, object]], cond: Column, stale: list[str] | None = None) -> DataFrame:
+    """Set the properties where the condition held before; with ``stale`` null those there too, and keep ``HIT``."""
+    changed = {p: as_column(value, kind) for p, kind, value in sets} | {p: F.lit(None) for p in stale or ()}
+    hit = table.withColumn(HIT, cond)
+    hit = hit.withColumns({p: F.when(F.col(HIT), new).otherwise(F.col(f"`{p}`")) for p, new in changed.items()})
+    return hit.drop(HIT) if stale is None else hit
 
 
 def delete_nodes(catalog: Catalog, kind: str, table: DataFrame, edges: dict[str, DataFrame], cond: Column) -> dict[str, DataFrame]:

@@ -23,7 +23,7 @@ class Tail:
     before order and limit.
     """
 
-    def __init__(self, graph, scope: Scope, rows: Rows, corpus: str = "match", ranks: str = "window"):
+    def __init__(self, graph, scope: Scope, rows: Rows, corpus: str = "match", ranks: str = "auto"):
         self.graph, self.scope, self.rows, self.corpus, self.ranks = graph, scope, rows, corpus, ranks
         self.df, self.scores = rows.df, {}
 
@@ -34,25 +34,52 @@ class Tail:
         """The column of a score expression, made on first use."""
         if e in self.scores:
             return F.col(self.scores[e])
-        out = f"__score{len(self.scores)}"
         if e.name == "bm25":
-            known, query = self.scope.constant(e.args[1])
-            if not known:
-                raise ValueError("bm25() needs a constant query")
-            corpus = None
-            if self.corpus == "type" and isinstance(e.args[0], A.Access):
-                table = self.graph.node(self.bound()[e.args[0].var])
-                corpus = (table, F.col(f"`{e.args[0].prop}`"))
-            self.df = rank.bm25(self.df, self.scope.column(e.args[0], self.bound())[0], query, out, corpus)
-        elif e.name == "rrf":
-            ranks = [(self._named(r), r.name == "bm25") for r in e.args[:2]]
+            self.texts(e)
+            return F.col(self.scores[e])
+        ranks = [(self._named(r), r.name == "bm25") for r in e.args[:2]] if e.name == "rrf" else []
+        out = f"__score{len(self.scores)}"
+        if e.name == "rrf":
             k = self.scope.constant(e.args[2])[1] if len(e.args) == 3 else rank.RRF_K
-            self.df = rank.rrf(self.df, ranks, [name(v, ID) for v in sorted(self.rows.vars)], rank.RRF_K if k is None else k, out, self.ranks == "parts")
+            parts = {"window": False, "parts": True}.get(self.ranks)
+            self.df = rank.rrf(self.df, ranks, [name(v, ID) for v in sorted(self.rows.vars)], rank.RRF_K if k is None else k, out, parts)
         else:
             self.df = self.df.withColumn(out, self.scope.call(e, self.bound()))
         self.scores[e] = out
         return F.col(out)
 
+    def texts(self, e: A.Call) -> None:
+        """The columns of all bm25 scores of the query on the field of ``e``, from one set of statistics."""
+        alike = [c for c in dict.fromkeys(self.bm25_calls()) if c.args[0] == e.args[0]]
+        queries = {}
+        for call in alike:
+            known, query = self.scope.constant(call.args[1])
+            if not known:
+                raise ValueError("bm25() needs a constant query")
+            self.scores[call] = f"__score{len(self.scores)}"
+            queries[self.scores[call]] = query
+        corpus = None
+        if self.corpus == "type" and isinstance(e.args[0], A.Access):
+            corpus = (self.graph.node(self.bound()[e.args[0].var]), F.col(f"`{e.args[0].prop}`"))
+        field = self.scope.column(e.args[0], self.bound())[0]
+        self.df = rank.bm25(self.df, field, queries, corpus, str(len(self.scores)))
+
+    def bm25_calls(self) -> list[A.Call]:
+        """Every bm25() that the query returns or orders by, those inside rrf() too."""
+        q, checked = self.scope.checked.query, self.scope.checked
+        found: list[A.Call] = []
+
+        def look(e) -> None:
+            if isinstance(e, A.Call):
+                if e.name == "bm25":
+                    found.append(e)
+                for x in e.args:
+                    look(x)
+
+        for e in [*(p.expr for p in q.returns), *(checked.aliases[o.expr.name] if isinstance(o.expr, A.Alias) else o.expr for o in q.order)]:
+            look(e)
+        return found
+
     def _named(self, e: A.Call) -> str:
         self.score(e)
         return self.scores[e]

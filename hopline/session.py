@@ -9,8 +9,10 @@ import uuid
 from collections.abc import Iterable
 from functools import partial, reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hopline.errors import HoplineError, LoadError, StoreError
 from hopline.graph import Graph, bind_params, utc_now
@@ -91,6 +93,13 @@ class GraphSession:
     def run_arrow(self, text: str, params: dict | None = None, name: str | None = None):
         return self.run(text, params, name).toArrow()
 
+    def run_ipc(self, text: str, params: dict | None = None, name: str | None = None) -> bytes:
+        """The result as one Arrow IPC stream."""
+        table, sink = self.run_arrow(text, params, name), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
     # writing
 
     def _commit(
@@ -138,9 +147,10 @@ class GraphSession:
         self.store.publish(m, base.version)
         return m
 
-    def load(self, source: str | list[str], mode: str | None = None, media_base: str | None = None) -> dict[str, int]:
+    def load(self, source: str | list[str], mode: str | None = None, media_base: str | None = None, chunk: int = 0, overlap: int = 128) -> dict[str, int]:
         """Load JSON lines from a path, or a list of lines, and return the rows of each loaded type.
 
+        ``chunk`` and ``overlap`` are those of ``load.fill_embeddings``.
         ``overwrite`` replaces the graph, ``append`` adds nodes, ``merge``
         (the default with any key) upserts by key.  Edges are one row a pair.
         """
@@ -172,7 +182,7 @@ class GraphSession:
             return self.spark.createDataFrame([], owner.schema()) if before is None else before
 
         def staged(df: DataFrame) -> DataFrame:
-            return self.spark.read.schema(df.schema).parquet(f"{self.store.path}/{self.store.write(df, scratch)}")
+            return L.placed(self.spark.read.schema(df.schema).parquet(f"{self.store.path}/{self.store.write(df, scratch)}"))
 
         try:
             for n in catalog.nodes.values():
@@ -183,16 +193,20 @@ class GraphSession:
                 rows = jsonl.sure(parsed.nodes(n).sort(jsonl.LINE), n.name)
                 for p in n.props.values():
                     if p.media:
-                        rows, blobs = media.resolve(rows, p, media_base)
+                        rows, blobs = media.resolve(rows, p, media_base, n.name)
                         blobs.write.mode("append").parquet(f"{self.store.path}/blobs")
-                rows = staged(L.fill_embeddings(rows, n).sort(jsonl.LINE))
+                rows = staged(L.fill_embeddings(rows, n, chunk=chunk, overlap=overlap).sort(jsonl.LINE))
                 count = rows.count()
                 if mode == "append":
                     added[n.name] = L.merge_nodes(n, None, rows, mode, next_node)
                 else:
                     tables[n.name] = L.merge_nodes(n, old(n.name), rows, mode, next_node)
                 next_node += count
-                L.check_unique(n, now(n.name))
+                before = old(n.name)
+                if n.name in added and before is not None:
+                    L.check_added(n, before, added[n.name])
+                else:
+                    L.check_unique(n, now(n.name))
             replaced = [n for n in tables if mode == "merge" and catalog.nodes[n].key is None]
             for e in catalog.edges.values():
                 before = old(e.name)
@@ -250,12 +264,10 @@ class GraphSession:
                 for p, kind, v in sets:
                     if v is None and not kind.nullable:
                         raise LoadError(f"{mu.type}.{p} is required")
-                new = M.update(table, sets, cond)
-                # a changed source makes its embedding stale
+                # a changed source makes its embedding stale, in the rows that were hit
                 stale = [p.name for p in node.props.values() if p.embed in dict(mu.sets) and p.name not in dict(mu.sets)]
-                for p in stale:
-                    new = new.withColumn(p, F.when(~cond if mu.where.prop not in dict(mu.sets) else F.lit(False), F.col(f"`{p}`")))
-                new = L.fill_embeddings(new, node, stale) if stale else new
+                new = M.update(table, sets, cond, stale)
+                new = L.fill_embeddings(new, node, stale, where=F.col(M.HIT)).drop(M.HIT)
                 L.check_unique(node, new)
                 self._commit(base, {mu.type: new})
             return hit, 0
@@ -274,11 +286,15 @@ class GraphSession:
 
     # the change log
 
-    def changes(self, after: int = 0, upto: int | None = None) -> DataFrame:
-        """Change rows of the versions in (after, upto], in the log's order."""
+    def changes(self, after: int = 0, upto: int | None = None, vectors: bool = True) -> DataFrame:
+        """Change rows of the versions in (after, upto], in the log's order; ``vectors=False`` leaves vectors out of ``row``."""
         rows = self.store.changes(self.store.manifest()).filter(F.col("graph_version") > after)
         if upto is not None:
             rows = rows.filter(F.col("graph_version") <= upto)
+        if not vectors:
+            for n in self.catalog.nodes.values():
+                shape = T.StructType([f for f in n.schema() if f.name not in n.props or not n.props[f.name].type.is_vector])
+                rows = rows.withColumn("row", F.when(F.col("type_name") == n.name, F.to_json(F.from_json("row", shape))).otherwise(F.col("row")))
         return rows.orderBy("graph_version", "entity_kind", "type_name", "entity_id", "logical_key", "change_kind")
 
     def materialize_changes(self, least_new: int = 1) -> int:
@@ -325,30 +341,47 @@ class GraphSession:
         return filled
 
     def compact(self, rows_per_file: int = 1_048_576) -> dict[str, int]:
-        """Rewrite each table into files of about ``rows_per_file`` rows; the files that each then has."""
+        """Rewrite tables of more files than ``rows_per_file`` asks for; the files that each then has.
+
+        Deleted rows never stay in a table, so there are none to purge.
+        """
         base, out = self.store.manifest(), {}
         m = Manifest(**json.loads(json.dumps(base.__dict__)))
         m.version, m.changed = base.version + 1, []
         for kind in base.tables:
             files = max(1, -(-base.rows[kind] // rows_per_file))
+            if len(self.store.files(base, kind)) <= files:
+                out[kind] = len(self.store.files(base, kind))
+                continue
             owner = base.catalog.nodes.get(kind) or base.catalog.edges[kind]
             key = ID if kind in base.catalog.nodes else SRC
             table = self.store.table(base, kind)
             # sorted ranges: key lookups then prune files and row groups by their bounds
             m.tables[kind] = [self.store.write(table.repartitionByRange(files, key).sortWithinPartitions(key).select(*[f"`{f.name}`" for f in owner.schema()]), f"tables/{kind}")]
             out[kind] = files
-        self.store.publish(m, base.version)
+        if m.tables != base.tables:
+            self.store.publish(m, base.version)
         return out
 
-    def cleanup(self, keep: int = 128) -> int:
-        """Forget versions but the newest ``keep``, and delete folders that none names; the folders deleted."""
+    def cleanup(self, keep: int = 128, tables: int | None = None) -> int:
+        """Forget versions but the newest ``keep``, and delete folders that none names; the folders deleted.
+
+        With ``tables`` only so many newest states of each table stay, though
+        the change log goes back further; older versions can't be read then.
+        """
         versions = self.store.versions()
         for v in versions[: max(0, len(versions) - keep)]:
             self.store.delete(f"manifests/{v}.json")
-        live = set()
-        for v in self.store.versions():
+        live: set[str] = set()
+        states: dict[str, list[list[str]]] = {}
+        for v in reversed(self.store.versions()):
             m = self.store.manifest(v)
-            live |= {*m.changes, *(folder for folders in m.tables.values() for folder in folders)}
+            live |= set(m.changes)
+            for kind, folders in m.tables.items():
+                known = states.setdefault(kind, [])
+                if folders not in known and (tables is None or len(known) < tables):
+                    known.append(folders)
+        live |= {folder for known in states.values() for folders in known for folder in folders}
         gone = 0
         for folder in [f"tables/{k}" for k in self.store.names("tables")] + ["changes"]:
             for name in self.store.names(folder):
@@ -357,6 +390,14 @@ class GraphSession:
                     gone += 1
         return gone
 
+    def storage(self) -> list[dict]:
+        """Rows, files and bytes of each table of the newest version."""
+        m, out = self.store.manifest(), []
+        for kind in m.tables:
+            sizes = self.store.files(m, kind)
+            out.append({"type": kind, "rows": m.rows[kind], "folders": len(m.tables[kind]), "files": len(sizes), "bytes": sum(sizes)})
+        return out
+
     def doctor(self) -> DataFrame:
         """(type, problem, n) of everything that is wrong; no rows if nothing is."""
         m = self.store.manifest()

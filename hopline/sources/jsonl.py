@@ -21,13 +21,17 @@ LINE = "__line"
 
 
 def lines(spark: SparkSession, source: str | list[str]) -> DataFrame:
-    """(value, __line) of a path or of driver-side lines; numbered by file and position."""
+    """(value, __line) of a path or of driver-side lines; ``__line`` orders by file, the block in it, and the position.
+
+    Tasks may hold pieces of several files in any order, so a number within
+    the task orders lines of one block only.
+    """
     if isinstance(source, str):
-        raw = spark.read.text(source)
+        raw = spark.read.text(source).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     else:
         text = [line for chunk in source for line in chunk.split("\n")]
-        raw = spark.createDataFrame([(x,) for x in text], "value string").coalesce(1)
-    raw = raw.withColumn(LINE, F.monotonically_increasing_id())
+        raw = spark.createDataFrame([(x,) for x in text], "value string").coalesce(1).select("value", F.lit("").alias("file"), F.lit(0).cast("long").alias("block"))
+    raw = raw.select("value", F.struct("file", "block", F.monotonically_increasing_id().alias("at")).alias(LINE))
     kept = F.trim("value")
     return raw.filter((kept != "") & ~kept.startswith("//"))
 

@@ -13,6 +13,8 @@ from hopline.errors import LoadError
 from hopline.plans.schema import Prop
 
 BLOB_URI = "blob://sha256/"
+#: Prefix of the column with what a media property was given as, by which it is embedded.
+MEDIA_KEY = "__media_"
 #: What a content begins with (offset, bytes), in this order, and its type.
 MAGIC = (
     (((0, b"\x89PNG\r\n\x1a\n"),), "image/png"),
@@ -38,6 +40,8 @@ def mime_of_bytes(content: Column) -> Column:
         cond = F.lit(True)
         for at, mark in marks:
             cond &= F.substring(content, at + 1, len(mark)) == F.lit(bytearray(mark))
+        if mime == "audio/mpeg":  # or frames without a head: eleven set bits
+            cond |= F.hex(F.substring(content, 1, 2)).rlike("^FF[EF]")
         out = F.when(cond, F.lit(mime)).otherwise(out)
     return out
 
@@ -50,10 +54,11 @@ def mime_of_name(name: Column) -> Column:
     return out
 
 
-def resolve(rows: DataFrame, p: Prop, base: str | None = None) -> tuple[DataFrame, DataFrame]:
+def resolve(rows: DataFrame, p: Prop, base: str | None = None, kind: str = "") -> tuple[DataFrame, DataFrame]:
     """The rows with the media property and its MIME property resolved, and the blobs they name.
 
-    Relative files are taken from ``base``.  A given MIME type must not
+    A column ``MEDIA_KEY`` + name has the stem of a file's name, or for an
+    inline value its type ``kind`` and property.  Relative files are taken from ``base``.  A given MIME type must not
     contradict the content's own.
     """
     raw, mime = F.col(f"`{p.name}`"), F.nullif(F.trim(F.col(f"`{p.media}`")), F.lit(""))
@@ -82,5 +87,7 @@ def resolve(rows: DataFrame, p: Prop, base: str | None = None) -> tuple[DataFram
         raise LoadError(f"{p.name}: {bad[0]['r'][:100]} {why}")
     blobs = rows.filter("__content IS NOT NULL").select(F.col("__blob").alias("blob_id"), F.col("__mime").alias("mime"), F.col("__content").alias("content"), F.coalesce("__path", F.lit("inline")).alias("source"))
     uri = F.when(F.col("__content").isNotNull(), F.concat(F.lit(BLOB_URI), F.col("__blob"))).when(raw.startswith("@uri:"), F.trim(F.substring(raw, 6, 1 << 30))).otherwise(raw)
-    columns = [uri.alias(c) if c == p.name else F.col("__mime").alias(c) if c == p.media else F.col(f"`{c}`") for c in rows.columns if not c.startswith("__") or c in ("__id", "__line", "__problem")]
+    columns = [uri.alias(c) if c == p.name else F.col("__mime").alias(c) if c == p.media else F.col(f"`{c}`") for c in rows.columns if not c.startswith("__") or c in ("__id", "__line", "__problem") or c.startswith(MEDIA_KEY)]
+    stem = F.nullif(F.regexp_extract("__path", r"([^/]+?)(?:\.[^./]*)?$", 1), F.lit(""))
+    columns.append(F.coalesce(stem, F.when(raw.startswith("@base64:"), F.lit(f"inline-base64:{kind}:{p.name}"))).alias(f"{MEDIA_KEY}{p.name}"))
     return rows.select(*columns), blobs.dropDuplicates(["blob_id"])

@@ -1,20 +1,23 @@
 """Versioned graphs on plain Parquet: immutable table versions, a manifest each, and a change log.
 
 A stored graph is a folder.  ``manifests/<n>.json`` names for version n the
-schema and, for each type, the folders of its rows; ``CURRENT`` names the
-newest version.  A commit writes new folders for the types that changed (for
-rows that were only added, one folder beside the old ones), the change rows,
-the manifest, and last ``CURRENT`` by rename, so readers see either version
-whole.  A commit that finds ``CURRENT`` moved on fails.  Paths
-go through Hadoop's file systems, so a shared store works as a local disk.
+schema and, for each type, the folders of its rows; the newest version is the
+one of the greatest n.  A commit writes new folders for the types that changed
+(for rows that were only added, one folder beside the old ones), the change
+rows, and last the manifest, whole and only if there is none of its number:
+that is the one step that makes the version, so readers see either version
+whole, and of two writers on the same version the second fails.  Paths go
+through Hadoop's file systems, so a shared store works as a local disk.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from hopline.errors import StoreError
@@ -22,6 +25,9 @@ from hopline.plans.schema import Catalog, parse_schema
 
 CHANGES = "graph_version bigint, change_kind string, entity_kind string, type_name string, entity_id bigint, logical_key string, row string"
 
+#: File systems on which a file appears when it is closed, and a create that must not overwrite is checked then.
+WHOLE_FILES = {"s3a", "gs", "abfs", "abfss"}
+
 
 @dataclass
 class Manifest:
@@ -61,17 +67,45 @@ class Store:
             stream.close()
 
     def write_text(self, name: str, text: str) -> None:
-        """Write beside and rename into place."""
-        beside = self._at(f"{self.path}/.{uuid.uuid4().hex}")
-        stream = self._fs.create(beside, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        self._put(self._at(f"{self.path}/{name}"), text, True)
+
+    def _put(self, at, text: str, overwrite: bool) -> None:
+        stream = self._fs.create(at, overwrite)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def put_new(self, name: str, text: str) -> bool:
+        """Make a whole file, unless there is one of this name already; whether it was made.
+
+        Local disks link a finished file into place; object stores make a file
+        as a whole when it is closed, and refuse to if they were told not to
+        overwrite; others rename, which doesn't replace a file there.
+        """
         target = self._at(f"{self.path}/{name}")
-        self._fs.mkdirs(target.getParent())
         if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(beside, target):
-            raise StoreError(f"can't write {name}")
+            return False
+        if self._fs.getUri().getScheme() in WHOLE_FILES:
+            try:
+                self._put(target, text, False)
+            except Py4JJavaError:
+                return False
+            return True
+        beside = self._at(f"{self.path}/.{uuid.uuid4().hex}")
+        self._put(beside, text, True)
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                self._fs.mkdirs(target.getParent())
+                os.link(*(at.toUri().getPath() for at in (beside, target)))
+                return True
+            self._fs.mkdirs(target.getParent())
+            return bool(self._fs.rename(beside, target))
+        except FileExistsError:
+            return False
+        finally:
+            if self._fs.exists(beside):
+                self._fs.delete(beside, False)
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(f"{self.path}/{name}"), True)
@@ -83,9 +117,10 @@ class Store:
     # versions
 
     def current(self) -> int:
-        if not self.exists("CURRENT"):
+        found = self.versions()
+        if not found:
             raise StoreError(f"{self.path} holds no graph")
-        return int(self.read_text("CURRENT"))
+        return found[-1]
 
     def versions(self) -> list[int]:
         return sorted(int(n[:-5]) for n in self.names("manifests") if n.endswith(".json"))
@@ -102,8 +137,17 @@ class Store:
             return None
         catalog = m.catalog
         owner = catalog.nodes.get(kind) or catalog.edges[kind]
+        if m.version < self.current() and not all(map(self.exists, m.tables[kind])):
+            raise StoreError(f"the rows of {kind} in version {m.version} are gone")
         return self.spark.read.schema(owner.schema()).parquet(*[f"{self.path}/{folder}" for folder in m.tables[kind]])
 
+    def files(self, m: Manifest, kind: str) -> list[int]:
+        """The sizes of a table's files."""
+        found = []
+        for folder in m.tables[kind]:
+            found += [s.getLen() for s in self._fs.listStatus(self._at(f"{self.path}/{folder}")) if s.getPath().getName().endswith(".parquet")]
+        return found
+
     def rows(self, m: Manifest, kind: str, folder: str) -> DataFrame:
         """The rows of one folder of a type."""
         owner = m.catalog.nodes.get(kind) or m.catalog.edges[kind]
@@ -115,7 +159,7 @@ class Store:
         return name
 
     def create(self, schema: str) -> Manifest:
-        if self.exists("CURRENT"):
+        if self.versions():
             raise StoreError(f"{self.path} holds a graph already")
         m = Manifest(0, schema)
         m.catalog  # a schema with errors is refused before anything is written
@@ -123,12 +167,10 @@ class Store:
         return m
 
     def publish(self, m: Manifest, base: int | None) -> None:
-        """Make ``m`` the current version if the current one is still ``base``."""
-        now = self.current() if self.exists("CURRENT") else None
-        if now != base:
-            raise StoreError(f"version {base} was changed to {now} meanwhile")
-        self.write_text(f"manifests/{m.version}.json", json.dumps(m.__dict__, indent=1))
-        self.write_text("CURRENT", str(m.version))
+        """Make ``m`` the newest version if ``base`` still is."""
+        now = (self.versions() or [None])[-1]
+        if now != base or not self.put_new(f"manifests/{m.version}.json", json.dumps(m.__dict__, indent=1)):
+            raise StoreError(f"version {base} was changed meanwhile")
 
     def changes(self, m: Manifest) -> DataFrame:
         if not m.changes:
