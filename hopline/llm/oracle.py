@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from hopline.llm.mixing import BLOCKS
-from hopline.llm.quality_rules import BASE_RULES, MAX_HOST_RATE, PRIOR_WEIGHT, RULES
+from hopline.llm.quality_rules import BASE_RULES, MAX_RATE, PRIOR_WEIGHT, RULES, STRICT_RATE
 
 _BASE = " OR ".join(f"({RULES[r]})" for r in BASE_RULES)
 _LOW, _HIGH = PRIOR_WEIGHT
+_RATES = ", ".join(f"v.rate_{r}" for r in RULES)
 
 
 def _shrunk(rule: str) -> str:
-    mean, spread = f"(p.f_{rule} / p.n)", f"(p.q_{rule} / p.n - (p.f_{rule} / p.n) * (p.f_{rule} / p.n))"
-    weight = f"greatest({_LOW}, least({_HIGH}, CASE WHEN {spread} > 1e-12 THEN {mean} * (1 - {mean}) / {spread} - 1 ELSE {_HIGH} END))"
+    mean = f"(p.f_{rule} / p.n)"
+    rho = f"(((p.q_{rule} - p.f_{rule} * {mean}) / ({mean} * (1 - {mean})) - (p.hosts - 1)) / (p.n - p.squares / p.n - (p.hosts - 1)))"
+    known = f"{mean} * (1 - {mean}) > 0 AND p.n - p.squares / p.n - (p.hosts - 1) > 0"
+    weight = f"CASE WHEN {known} THEN CASE WHEN {rho} > 1e-9 THEN least({_HIGH}, greatest({_LOW}, 1 / {rho} - 1)) ELSE {_HIGH} END ELSE {_HIGH} END"
     return f"(h.f_{rule} + {mean} * {weight}) / (h.n + {weight})"
 
 
@@ -43,15 +46,18 @@ WITH d AS (
   SELECT source, count(*)::DOUBLE AS n, {", ".join(f"sum(({q})::INT)::DOUBLE AS f_{r}" for r, q in RULES.items())}
   FROM m WHERE source IS NOT NULL GROUP BY source
 ), p AS (
-  SELECT sum(n) AS n, {", ".join(f"sum(f_{r}) AS f_{r}, sum(f_{r} * f_{r} / n) AS q_{r}" for r in RULES)} FROM h
+  SELECT sum(n) AS n, count(*) AS hosts, sum(n * n) AS squares, {", ".join(f"sum(f_{r}) AS f_{r}, sum(f_{r} * f_{r} / n) AS q_{r}" for r in RULES)} FROM h
 ), v AS (
-  SELECT h.source, greatest({", ".join(_shrunk(r) for r in RULES)}) AS host_rate FROM h, p
+  SELECT h.source, {", ".join(f"{_shrunk(r)} AS rate_{r}" for r in RULES)} FROM h, p
+), j AS (
+  SELECT m.*, coalesce(greatest({_RATES}) > {MAX_RATE}, false) AS host_rejected, ({_BASE}) AS base_failed, greatest({_RATES}) AS host_rate,
+         {" OR ".join(f"(({q}) AND coalesce(rate_{r} >= {STRICT_RATE}, false))" for r, q in RULES.items())} AS rule_failed
+  FROM m LEFT JOIN v ON m.source = v.source
 )
-SELECT m.doc_id, m.n_words::BIGINT AS n_words, m.word_chars::BIGINT AS word_chars, m.n_symbols::BIGINT AS n_symbols,
-       m.n_dup_lines::BIGINT AS n_dup_lines, m.n_repeat_words::BIGINT AS n_repeat_words, ({_BASE}) AS base_failed,
-       NOT ({_BASE}) AND NOT coalesce(v.host_rate > {MAX_HOST_RATE}, false) AS kept, m.source,
-       round(v.host_rate, 6) AS host_rate, coalesce(v.host_rate > {MAX_HOST_RATE}, false) AS host_rejected
-FROM m LEFT JOIN v ON m.source = v.source
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT host_rejected AND NOT rule_failed AS kept, source, round(host_rate, 6) AS host_rate, host_rejected, rule_failed
+FROM j
 """
 
 OP9 = f"""

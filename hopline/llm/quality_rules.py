@@ -1,10 +1,14 @@
 """Quality rules with host verdicts.
 
-``measure`` takes the statistics of each text, ``rule_failures`` names the
-rules that it fails, and ``host_verdicts`` aggregates failures by host,
-shrinks each host's failure rate with a beta prior fitted to all hosts by the
-method of moments, and rejects a host whose shrunk rate passes a limit on any
-rule.  ``judge`` joins the verdicts back to the documents.
+``measure`` takes the statistics of each text, ``RULES`` names what it fails,
+and ``host_verdicts`` aggregates failures by host and shrinks each host's
+failure rate of each rule with a beta prior fitted to all hosts by the method
+of moments, sampling variance taken off.  ``judge`` joins the verdicts back to
+the documents, on two levels: where a rule's shrunk rate passes ``MAX_RATE``
+the whole host is rejected; where it reaches ``STRICT_RATE`` the rule counts
+at this host, so that its documents that fail it are rejected.  (Where a rule
+hardly ever fails, a failure says more of the text's form, say of a table in
+it, than of its quality.)
 
 Edge cases: a null or empty text has no words and fails; a null host has no
 verdict, so only the text counts; repeated rows are judged alike and each
@@ -15,11 +19,12 @@ like an added one are replaced.  Texts of any length are measured whole.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +44,9 @@ RULES = {
 #: A document that fails one of these is rejected whatever its host.
 BASE_RULES = ("few_words", "repeated_words")
 #: A host is rejected if its shrunk failure rate of any rule passes this.
-MAX_HOST_RATE = 0.5
+MAX_RATE = 0.5
+#: A rule counts at a host whose shrunk failure rate of it reaches this.
+STRICT_RATE = 0.05
 #: The prior weighs at least and at most so many documents.
 PRIOR_WEIGHT = (1.0, 1000.0)
 
@@ -82,14 +89,31 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     return common.map_columns(docs, [text], T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]), make, keep)
 
 
-def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per host: documents, failures and shrunk rate of each rule, and whether it is rejected.
+def prior_weight(n: int, hosts: int, squares: float, failures: int, spread: float) -> tuple[float, float]:
+    """(mean, weight) of the beta prior of a rule's failure rate.
 
-    For rule r with pooled rate m, the spread of the hosts' rates around m,
-    weighted by documents, gives the prior weight m(1-m)/spread - 1 and the
-    shrunk rate (failures + m * weight) / (documents + weight).  Counts are
-    summed as integers before any division, map side first; the pooled sums
-    are one row.
+    ``n`` documents, ``squares`` the sum of the hosts' squared sizes, and
+    ``spread`` the sum of failures squared over size.  Rates of hosts with one
+    common chance would spread by m(1-m) for each host but one; what they
+    spread beyond that, in parts of what wholly different hosts would, is the
+    correlation rho within hosts, and the weight is 1/rho - 1.
+    """
+    low, high = PRIOR_WEIGHT
+    mean = failures / n if n else 0.0
+    alike = mean * (1 - mean)
+    room = n - squares / n - (hosts - 1) if n else 0.0
+    if alike <= 0 or room <= 0:
+        return mean, high
+    rho = ((spread - failures * mean) / alike - (hosts - 1)) / room
+    return mean, min(high, max(low, 1 / rho - 1)) if rho > 1e-9 else high
+
+
+def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = MAX_RATE, strict_rate: float = STRICT_RATE) -> DataFrame:
+    """One row per host: documents, failures, shrunk rate and strictness of each rule, and whether it is rejected.
+
+    The shrunk rate is (failures + mean * weight) / (documents + weight).
+    Counts are summed as integers before any division, map side first; the
+    pooled sums are one row.
     """
     counted = (
         measured.filter(F.col(f"`{host}`").isNotNull())
@@ -99,16 +123,16 @@ def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = M
     counted = common.stage(counted, "hosts")
     pooled = counted.agg(
         F.sum("n").alias("n"),
+        F.count("*").alias("hosts"),
+        F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"),
         *chain.from_iterable((F.sum(f"f_{r}").alias(f"f_{r}"), F.sum(F.col(f"f_{r}").cast("double") * F.col(f"f_{r}") / F.col("n")).alias(f"sq_{r}")) for r in RULES),
     ).first()
     rates = []
     for r in RULES:
-        n = pooled["n"] or 1  # no host at all: there are no rows to shrink
-        mean = (pooled[f"f_{r}"] or 0) / n
-        spread = (pooled[f"sq_{r}"] or 0.0) / n - mean * mean
-        weight = min(PRIOR_WEIGHT[1], max(PRIOR_WEIGHT[0], mean * (1 - mean) / spread - 1 if spread > 1e-12 else PRIOR_WEIGHT[1]))
+        mean, weight = prior_weight(pooled["n"] or 0, pooled["hosts"], pooled["squares"] or 0.0, pooled[f"f_{r}"] or 0, pooled[f"sq_{r}"] or 0.0)
         rates.append(((F.col(f"f_{r}") + mean * weight) / (F.col("n") + weight)).alias(f"rate_{r}"))
     out = counted.select("host", "n", *[f"f_{r}" for r in RULES], *rates)
+    out = out.withColumns({f"strict_{r}": F.col(f"rate_{r}") >= strict_rate for r in RULES})
     return out.withColumn("host_rejected", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > max_rate)
 
 
@@ -116,24 +140,27 @@ def base_failed():
     return F.expr(" OR ".join(f"({RULES[r]})" for r in BASE_RULES))
 
 
-def judge(measured: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Add ``base_failed``, ``host_rate`` (the worst rule's shrunk rate), ``host_rejected`` and ``kept``.
+def strictly_failed():
+    """Whether a document fails a rule that counts at its host."""
+    return reduce(Column.__or__, [F.expr(rule) & F.coalesce(f"strict_{r}", F.lit(False)) for r, rule in RULES.items()])
+
+
+VERDICT = ["host_rejected", *[f"strict_{r}" for r in RULES]]
+
+
+def judge(measured: DataFrame, host: str = "source", max_rate: float = MAX_RATE, strict_rate: float = STRICT_RATE) -> DataFrame:
+    """Add ``base_failed``, ``host_rate`` (the worst rule's shrunk rate), ``host_rejected``, ``rule_failed`` and ``kept``.
 
     Join sides: one small row per measured document and one row per host; the
     hosts are broadcast only when their counted number proves the size, and
     else the join shuffles measures, whose hot keys adaptive execution splits.
     """
-    measured = common.without(measured, ["base_failed", "host_rate", "host_rejected", "kept"])
-    verdicts = common.stage(
-        host_verdicts(measured, host, max_rate).select(
-            F.col("host").alias("__host"), F.greatest(*[F.col(f"rate_{r}") for r in RULES]).alias("host_rate"), "host_rejected"
-        ),
-        "verdicts",
-    )
+    measured = common.without(measured, ["base_failed", "host_rate", "rule_failed", "kept", *VERDICT])
+    rate = F.greatest(*[F.col(f"rate_{r}") for r in RULES]).alias("host_rate")
+    verdicts = common.stage(host_verdicts(measured, host, max_rate, strict_rate).select(F.col("host").alias("__host"), rate, *VERDICT), "verdicts")
     joined = measured.join(common.broadcast_if_small(verdicts, 256), F.col(f"`{host}`") == F.col("__host"), "left").drop("__host")
-    return joined.withColumns({"base_failed": base_failed(), "host_rejected": F.coalesce("host_rejected", F.lit(False))}).withColumn(
-        "kept", ~F.col("base_failed") & ~F.col("host_rejected")
-    )
+    joined = joined.withColumns({"base_failed": base_failed(), "host_rejected": F.coalesce("host_rejected", F.lit(False)), "rule_failed": strictly_failed()})
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected") & ~F.col("rule_failed")).drop(*VERDICT[1:])
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
@@ -141,13 +168,14 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
 
     Measures are small and staged for the verdicts; the texts are then read
     once more and filtered where they lie, so no text is shuffled unless the
-    rejected hosts are too many to broadcast.
+    hosts with a verdict are too many to broadcast.
     """
     columns = docs.columns
     verdicts = host_verdicts(measure(docs.select(text, host), text, [host]), host)
-    rejected = common.stage(verdicts.filter("host_rejected").select(F.col("host").alias("__host")), "rejected")
+    some = reduce(Column.__or__, [F.col(v) for v in VERDICT])
+    verdicts = common.stage(verdicts.filter(some).select(F.col("host").alias("__host"), *VERDICT), "verdicts")
     # struct: the documents' own columns stay untouched by added names
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(f"`{text}`").alias("__text"), F.col(f"`{host}`").alias("__h"))
     good = measure(packed, "__text", ["__row", "__h"]).filter(~base_failed())
-    good = good.join(common.broadcast_if_small(rejected, 128), F.col("__h") == F.col("__host"), "left_anti")
-    return good.select("__row.*")
+    good = good.join(common.broadcast_if_small(verdicts, 128), F.col("__h") == F.col("__host"), "left")
+    return good.filter(~F.coalesce("host_rejected", F.lit(False)) & ~strictly_failed()).select("__row.*")

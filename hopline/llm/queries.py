@@ -30,7 +30,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(measured)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source",
-        F.round("host_rate", 6).alias("host_rate"), "host_rejected",
+        F.round("host_rate", 6).alias("host_rate"), "host_rejected", "rule_failed",
     )
 
 

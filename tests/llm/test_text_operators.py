@@ -7,6 +7,7 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -62,21 +63,56 @@ def test_measures_of_any_text(text):
 
 
 def test_hosts_are_shrunk_and_rejected(spark):
-    rows = [(h, f"{h}{i}", 100, 500, s, 5, 0, 0) for h, n, bad in (("good", 200, 4), ("bad", 100, 95), ("tiny", 1, 1), (None, 9, 9)) for i in range(n) for s in [400 if i < bad else 0]]
+    rows = [(h, f"{h}{i}", 100, 500, s, 5, 0, 0) for h, n, bad in (("good", 200, 4), ("some", 200, 14), ("bad", 100, 95), ("tiny", 1, 1), (None, 9, 9)) for i in range(n) for s in [400 if i < bad else 0]]
     m = spark.createDataFrame(rows, "source string, doc_id string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
     v = {r.host: r for r in quality_rules.host_verdicts(m).collect()}
-    assert set(v) == {"good", "bad", "tiny"}
-    assert v["bad"].host_rejected and not v["good"].host_rejected
-    # moments by hand: hosts' rates 0.02, 0.95, 1.0 around the pooled 100/301
-    n, k = {"good": 200, "bad": 100, "tiny": 1}, {"good": 4, "bad": 95, "tiny": 1}
-    mean = 100 / 301
-    spread = sum(k[h] ** 2 / n[h] for h in n) / 301 - mean**2
-    weight = min(1000, max(1, mean * (1 - mean) / spread - 1))
+    n, k = {"good": 200, "some": 200, "bad": 100, "tiny": 1}, {"good": 4, "some": 14, "bad": 95, "tiny": 1}
+    assert set(v) == set(n)
+    # moments by hand
+    whole = sum(n.values())
+    mean = sum(k.values()) / whole
+    spread = sum(n[h] * (k[h] / n[h] - mean) ** 2 for h in n)
+    rho = (spread / (mean * (1 - mean)) - 3) / (whole - sum(x * x for x in n.values()) / whole - 3)
+    weight = max(1, 1 / rho - 1)
     for h in n:
         assert v[h].rate_symbols == pytest.approx((k[h] + mean * weight) / (n[h] + weight))
+        assert v[h].rate_few_words == 0 and not v[h].strict_few_words
+    assert [h for h in n if v[h].host_rejected] == ["bad", "tiny"] and [h for h in n if v[h].strict_symbols] == ["some", "bad", "tiny"]
     judged = quality_rules.judge(m).collect()
-    assert {r.source for r in judged if not r.kept} == {"bad"} | ({"tiny"} if v["tiny"].host_rejected else set())
-    assert len(judged) == len(rows) and all(r.kept for r in judged if r.source is None)
+    gone = [r for r in judged if not r.kept]
+    assert len(judged) == len(rows) and {r.source: sum(x.source == r.source for x in gone) for r in gone} == {"some": 14, "bad": 100, "tiny": 1}
+    assert {(r.source, r.host_rejected) for r in gone} == {("some", False), ("bad", True), ("tiny", True)}
+
+
+@pytest.mark.parametrize("sizes", [[40] * 5000, [5] * 60_000, [2000] * 50 + [30] * 4000])
+def test_prior_is_that_of_the_hosts(sizes):
+    """Hosts that draw their rate from a beta distribution give its weight back; hosts of one rate the greatest weight."""
+    random = np.random.default_rng(len(sizes))
+    sizes = np.array(sizes)
+    for rates, low, high in ((random.beta(2, 38, len(sizes)), 25, 65), (np.full(len(sizes), 0.05), 200, 1000)):
+        bad = random.binomial(sizes, rates)
+        mean, weight = quality_rules.prior_weight(int(sizes.sum()), len(sizes), float((sizes**2).sum()), int(bad.sum()), float((bad**2 / sizes).sum()))
+        assert mean == pytest.approx(0.05, abs=0.01) and low <= weight <= high
+    assert quality_rules.prior_weight(0, 0, 0.0, 0, 0.0) == (0.0, 1000.0) and quality_rules.prior_weight(5, 1, 25.0, 2, 0.8) == (0.4, 1000.0)
+
+
+def test_host_verdicts_reach_the_query(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+
+    def text(i, marks):
+        return " ".join([f"d{i}", *words, *(["|" * 60] if marks else [])])
+
+    rows = [(i, text(i, i % 10 < 8), "en", "spam", 1) for i in range(100)]  # rejected
+    rows += [(i, text(i, i % 10 == 0), "en", "mixed", 1) for i in range(100, 300)]  # marks count here
+    rows += [(i, text(i, i == 300), "en", "clean", 1) for i in range(300, 700)]  # and not here
+    rows += [(700, text(700, True), "en", None, 1)]
+    write(spark, str(tmp_path), rows)
+    got = {r.doc_id: r for r in queries.op1_quality_rules(spark, str(tmp_path)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    kept = {i for i, r in got.items() if r.kept}
+    assert kept == {i for i in range(100, 300) if i % 10} | set(range(300, 701))
+    assert {r.source for r in got.values() if r.host_rejected} == {"spam"}
+    assert {r.doc_id for r in quality_rules.keep_good(docs(spark, rows)).collect()} == kept
 
 
 def test_quality_query_and_stage(spark, awkward):
