@@ -1,26 +1,33 @@
 """Exact top-k by inner product over norm-sorted vectors.
 
-Components become the integers floor(scale * x).  Candidates are dealt out by
-descending length, a file for each range of lengths.  Spark packs files into
-tasks by their size, so lengths fall within a file only; every tile is looked
-at, in whatever order it comes.  A query is live
-for a tile while its length times the tile's greatest length can still reach
-the query's k-th best score (Cauchy-Schwarz).  For live queries the vectors,
-rotated onto the singular directions of a bounded sample, are multiplied over
-the leading dimensions only, and the rest is bounded by the product of the
-residual lengths; pairs whose bound falls short are dropped, the others are
-scored exactly.  The k-th best score starts from the longest ``SEED`` vectors
-of all and rises as a task goes on.  The rotation only affects speed.
-
-Queries are a stated set and go in blocks of ``BLOCK`` (a bounded broadcast),
-each against all rows.
+Components become the integers floor(scale * x).  Candidates are cut into
+ranges of descending length, queries into blocks.  A query is live for a range
+(and within it for a tile) while its length times the greatest length there
+can still reach the query's k-th best score (Cauchy-Schwarz).  For live
+queries the vectors, rotated onto the singular directions of a bounded sample,
+are multiplied over the leading dimensions only, and the rest is bounded by
+the product of the residual lengths; pairs whose bound falls short are
+dropped, the others are scored exactly.  The rotation only affects speed.
+
+The plan: vectors are staged by length, a range a task.  Each query meets the
+longest ``SEED`` vectors first, and the k-th best score from them, staged with
+it, is its floor.  Blocks are joined to the ranges that some floor of theirs
+leaves, a small table of pairs; candidates and queries follow those pairs and
+meet in one group for each, whose size is bounded on both sides.  What the
+groups find is merged for each query.  Nothing but the sample and the seeds,
+both bounded, passes through the driver, and there is no loop over blocks.
+
+Queries are a stated set, each against all rows.  The work is quadratic where
+lengths hardly differ.
 
 Edge cases: vectors that are null or hold null or non-finite components (also
-once scaled), and rows without an id, take no part; an id names one vector (of rows that repeat
-an id the smallest vector stands); only vectors of equal dimension meet; with
-fewer than k candidates all are given; ties go to the smaller id; sums beyond
-2**53 are taken with whole numbers of any size and clipped to 64 bits; empty
-tables give empty tables.
+once scaled), and rows without an id, take no part; every row is a candidate
+of its own, also where an id stands in several, and for a query all rows but
+itself are; query rows that share an id are searched each by itself, and each
+gives its own ranks; only vectors of equal dimension meet; with fewer than k
+candidates all are given; ties go to the smaller id; sums beyond 2**53 are
+taken with whole numbers of any size and clipped to 64 bits; empty tables give
+empty tables.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,16 +46,16 @@ from pyspark.sql.window import Window
 from hopline.llm import common
 
 K, SCALE = 10, 1024
-#: Queries in one block, about; longest vectors that seed the thresholds; rows of a tile; rows that fit the rotation, about.
-BLOCK, SEED, TILE, SAMPLE = 2048, 1024, 1024, 4096
-#: Blocks whose plans are put together before their results are staged.
-PLANS = 16
+#: Queries in one block, about; rows of a range, about; longest vectors that seed the floors; rows of a tile; rows that fit the rotation, about.
+BLOCK, RANGE, SEED, TILE, SAMPLE = 4096, 32_768, 1024, 1024, 4096
+#: Allowance for rounding when bounds are compared, relative and absolute.
+SLACK = (1e-9, 1e-6)
 EXACT = 2.0**53
 LIMIT = 2**63 - 1
 
 
 def whole_vectors(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, x: integers as array<double>, d, length), one row per id."""
+    """(vec_id, x: integers as array<double>, d, length), one row for each that takes part."""
     x = F.col(f"`{vector}`").cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < float("inf")))
     rows = vectors.filter(F.col(f"`{vec_id}`").isNotNull() & F.col(f"`{vector}`").isNotNull()).filter(fine)
@@ -55,9 +64,6 @@ def whole_vectors(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> D
         F.col(f"`{vec_id}`").cast("long").alias("vec_id"),
         F.transform(x, lambda v: F.when(F.abs(v * scale) < big, F.floor(v * scale).cast("double")).otherwise(v * scale)).alias("x"),
     )
-    total, ids = rows.agg(F.count("*"), F.countDistinct("vec_id")).first()
-    if total != ids:
-        rows = rows.groupBy("vec_id").agg(F.min("x").alias("x"))
     return rows.withColumns({"d": F.size("x"), "length": F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))})
 
 
@@ -79,44 +85,54 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """One block of queries of one dimension, with their best scores so far."""
+    """Queries of one dimension, with their best scores so far.  ``rows`` numbers each row of the table; ids may repeat."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, turn: np.ndarray, floor: np.ndarray, k: int):
-        self.ids, self.rows, self.turn, self.k = ids, rows, turn, k
+    def __init__(self, own: np.ndarray, vectors: np.ndarray, turn: np.ndarray, floor: np.ndarray, k: int):
+        self.own, self.vectors, self.turn, self.k = own, vectors, turn, k
         self.floor = floor.astype(np.float64)  # no score below this can be among the best
-        self.lengths = np.linalg.norm(rows, axis=1)
-        d = rows.shape[1]
-        self.lead = max(1, d // 4)
-        turned = rows @ turn
-        self.head = turned[:, : self.lead]
-        self.rest = np.linalg.norm(turned[:, self.lead :], axis=1)
-        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, vec_id)
+        with np.errstate(all="ignore"):
+            self.lengths = np.linalg.norm(vectors, axis=1)
+            d = vectors.shape[1]
+            self.lead = max(1, d // 4)
+            turned = vectors @ turn
+            self.head = turned[:, : self.lead]
+            self.rest = np.linalg.norm(turned[:, self.lead :], axis=1)
+        self.best: list[list[tuple[int, int]]] = [[] for _ in own]  # (-score, vec_id)
         self.pairs_scored = self.tiles_skipped = 0
 
-    def tile(self, ids: np.ndarray, rows: np.ndarray) -> bool:
+    def tile(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> bool:
         """Take a tile; false if no query was live, so that none of its vectors, nor any shorter one, can matter.
 
         Tests are written as "not less than", so that bounds lost to overflow keep a pair.
         """
         with np.errstate(all="ignore"):
-            return self._tile(ids, rows)
+            return self._tile(rows, ids, vectors)
 
-    def _tile(self, ids: np.ndarray, rows: np.ndarray) -> bool:
-        lengths = np.linalg.norm(rows, axis=1)
-        reach = lengths.max() if len(rows) else 0.0
-        slack = 1e-9 * (self.lengths * reach) + 1e-6
+    def all(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Take many rows, longest first, tile by tile."""
+        with np.errstate(all="ignore"):
+            order = np.argsort(-np.linalg.norm(vectors, axis=1), kind="stable")
+        for at in range(0, len(order), TILE):
+            some = order[at : at + TILE]
+            if not self.tile(rows[some], ids[some], vectors[some]):
+                break
+
+    def _tile(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> bool:
+        lengths = np.linalg.norm(vectors, axis=1)
+        reach = lengths.max() if len(vectors) else 0.0
+        slack = SLACK[0] * (self.lengths * reach) + SLACK[1]
         live = np.flatnonzero(~(self.lengths * reach + slack < self.floor))
         if not len(live):
             self.tiles_skipped += 1
             return False
-        turned = rows @ self.turn
+        turned = vectors @ self.turn
         rest = np.linalg.norm(turned[:, self.lead :], axis=1)
         bound = self.head[live] @ turned[:, : self.lead].T + self.rest[live][:, None] * rest[None, :]
-        near = ~(bound + slack[live][:, None] < self.floor[live][:, None]) & (self.ids[live][:, None] != ids[None, :])
+        near = ~(bound + slack[live][:, None] < self.floor[live][:, None]) & (self.own[live][:, None] != rows[None, :])
         q, c = np.nonzero(near)
         for at in range(0, len(q), 65_536):
             own, other = live[q[at : at + 65_536]], c[at : at + 65_536]
-            scores = exact_scores(self.rows[own], rows[other])
+            scores = exact_scores(self.vectors[own], vectors[other])
             self.pairs_scored += len(scores)
             good = scores >= self.floor[own]
             self.add(own[good], ids[other[good]], scores[good])
@@ -137,38 +153,55 @@ class Search:
                 self.floor[i] = max(self.floor[i], kth if abs(kth) < EXACT else np.nextafter(kth, -np.inf))
 
     def found(self) -> list[tuple[int, int, int]]:
-        return [(q, v, -s) for q, best in zip(self.ids.tolist(), self.best) for s, v in best]
+        """(row of the query, vec_id, score)."""
+        return [(q, v, -s) for q, best in zip(self.own.tolist(), self.best) for s, v in best]
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
+def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    flat = pc.list_flatten(column)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), d) if isinstance(flat, pa.Array) else flat.to_numpy().reshape(len(column), d)
 
 
-def _taken(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix) of a bounded selection, on the driver."""
-    batches = [b for b in rows.select("vec_id", "x").toArrow().to_batches() if b.num_rows]
-    if not batches:
-        return np.zeros(0, np.int64), np.zeros((0, d))
-    return np.concatenate([b.column("vec_id").to_numpy() for b in batches]), np.concatenate([_matrix(b.column("x"), d) for b in batches])
+def _taken(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row numbers, ids, matrix) of a bounded selection, on the driver."""
+    table = rows.select("row", "vec_id", "x").toArrow()
+    return table["row"].to_numpy(), table["vec_id"].to_numpy(), _matrix(table["x"], d) if len(table) else np.zeros((0, d))
 
 
-def _block_topk(candidates: DataFrame, ids: np.ndarray, rows: np.ndarray, turn: np.ndarray, floor: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each task's best for one block of queries."""
-    sc = candidates.sparkSession.sparkContext
-    sc.environment.setdefault("PYTHONPATH", common._PACKAGE_ROOT)
-    sent = sc.broadcast((ids, rows, turn, floor))
-    d = rows.shape[1]
+FOUND = "row bigint, vec_id bigint, score bigint"
+
+
+def _with_floors(queries: DataFrame, seeds: Broadcast, k: int) -> DataFrame:
+    """Add ``floor``: the k-th best score among the seeds, -inf where there are fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(*sent.value, k)
+        rows, ids, vectors, turn = seeds.value
         for batch in batches:
-            own, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), d)
-            for at in range(0, len(own), TILE):
-                search.tile(own[at : at + TILE], x[at : at + TILE])  # a later file of the task may hold longer vectors
-        q, v, s = zip(*rows) if (rows := search.found()) else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (q, v, s)], names=["query_id", "vec_id", "score"])
+            if batch.num_rows:
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                first = Search(own, _matrix(batch.column(2), vectors.shape[1]), turn, np.full(len(own), -np.inf), k)
+                first.all(rows, ids, vectors)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first.floor)], names=["row", "vec_id", "x", "length", "floor"])
+
+    return queries.select("row", "vec_id", "x", "length").mapInArrow(run, "row bigint, vec_id bigint, x array<double>, length double, floor double")
 
-    return candidates.select("vec_id", "x").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+
+def _pairs(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(block, range) where some query of the block may find one of its best in the range."""
+    relative, absolute = SLACK
+    reach = F.when(F.col("length") > 0, (F.col("floor") - absolute) / (F.col("length") * (1 + relative))).when(F.col("floor") > absolute, float("inf")).otherwise(float("-inf"))
+    need = blocks.groupBy("block").agg(F.min(F.when(F.col("floor") == float("-inf"), float("-inf")).otherwise(reach)).alias("need"))
+    return common.stage(need.join(ranges, F.col("longest") >= F.col("need")).select("block", "range"), "pairs")
+
+
+def _search(turn: Broadcast, d: int, k: int):
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        search = Search(queries["row"].to_numpy(), _matrix(queries["x"], d), turn.value, queries["floor"].to_numpy(), k)
+        search.all(candidates["row"].to_numpy(), candidates["vec_id"].to_numpy(), _matrix(candidates["x"], d))
+        found = list(zip(*search.found())) or ((), (), ())
+        return pa.table([pa.array(c, type=pa.int64()) for c in found], names=["row", "vec_id", "score"])
+
+    return run
 
 
 def topk(
@@ -181,40 +214,35 @@ def topk(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best other rows of each query row."""
     spark = vectors.sparkSession
+    sc = spark.sparkContext
+    sc.environment.setdefault("PYTHONPATH", common._PACKAGE_ROOT)
     rows = whole_vectors(vectors, vec_id, vector, scale)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # by length, longest first: a file holds a range of lengths, the longest first;
-    # the id splits what has one length (copies of a common vector)
+    shuffled = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(shuffled, -(-vectors.count() // RANGE))
+    # by length, longest first: a task holds a range of lengths; the id splits what has one length (copies of a common vector)
     order = [F.col("d"), F.col("length").desc(), F.col("vec_id")]
-    rows = common.stage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), "vectors")
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = common.stage(rows.withColumns({"range": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "vectors")
     counts = {r["d"]: r for r in rows.groupBy("d").agg(F.count("*").alias("n"), F.count(F.when(F.expr(is_query), 1)).alias("q")).collect()}  # one row a dimension
-    queries = common.stage(rows.filter(is_query).select("vec_id", "d", "x"), "queries")
-    done: list[DataFrame] = []
     found: list[DataFrame] = []
-    for d in sorted(counts):
-        n, asked = counts[d]["n"], counts[d]["q"]
-        if d == 0 or not asked:
-            continue  # no components, or nothing asked: nothing to score
+    asked: list[DataFrame] = []
+    for d in sorted(d for d, c in counts.items() if d and c["q"]):  # no components, or nothing asked: nothing to score
+        n = counts[d]["n"]
         own = rows.filter(F.col("d") == d)
-        part = F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1 << 20)) / (1 << 20)
-        turn = rotation(_taken(own.filter(part < SAMPLE / n).limit(2 * SAMPLE), d)[1])
-        # the longest vectors: first how long they are, then themselves, from the few files that hold such lengths
-        least = own.select("length").orderBy(F.col("length").desc()).limit(SEED).agg(F.min("length")).first()[0]
-        seed_ids, seed_rows = _taken(own.filter(F.col("length") >= least).orderBy(F.col("length").desc(), "vec_id").limit(SEED), d)
-        blocks = -(-asked // BLOCK)
-        for block in range(blocks):
-            mine = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)) == block
-            ids, x = _taken(queries.filter((F.col("d") == d) & mine), d)
-            if not len(ids):
-                continue
-            first = Search(ids, x, turn, np.full(len(ids), -np.inf), k)
-            for begin in range(0, len(seed_ids), TILE):
-                first.tile(seed_ids[begin : begin + TILE], seed_rows[begin : begin + TILE])
-            found.append(_block_topk(own, ids, x, turn, first.floor, k))
-            if len(found) == PLANS:
-                done, found = [*done, common.stage(reduce(DataFrame.unionByName, found), "found")], []
-    if not done and not found:
+        part = F.pmod(F.xxhash64(F.lit("fit"), "row"), F.lit(1 << 20)) / (1 << 20)
+        turn = rotation(_taken(own.filter(part < SAMPLE / n).limit(2 * SAMPLE), d)[2])
+        seeds = _taken(own.orderBy(F.col("length").desc(), "vec_id", "row").limit(SEED), d)
+        queries = common.stage(_with_floors(own.filter(is_query), sc.broadcast((*seeds, turn)), k), "queries")
+        blocks = -(-counts[d]["q"] // BLOCK)
+        queries = queries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "row"), F.lit(blocks)).cast("int"))
+        pairs = _pairs(queries, own.groupBy("range").agg(F.max("length").alias("longest")))
+        left = queries.join(common.broadcast_if_small(pairs, 16), "block").select("block", "range", "row", "x", "floor")
+        right = own.join(common.broadcast_if_small(pairs, 16), "range").select("block", "range", "row", "vec_id", "x")
+        found.append(left.groupBy("block", "range").cogroup(right.groupBy("block", "range")).applyInArrow(_search(sc.broadcast(turn), d, k), FOUND))
+        asked.append(queries.select("row", F.col("vec_id").alias("query_id")))
+    if not found:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    out = reduce(DataFrame.unionByName, done + found)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return out.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = reduce(DataFrame.unionByName, found)
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id"))
+    best = best.withColumn("rank", place).filter(F.col("rank") <= k)
+    return best.join(reduce(DataFrame.unionByName, asked), "row").select("query_id", "rank", "vec_id", "score")

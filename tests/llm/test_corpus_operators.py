@@ -260,46 +260,57 @@ def test_span_query_on_awkward_rows(spark, awkward):
 # exact top-k
 
 
-def brute_topk(vectors, k=10):
-    whole = {i: [int(np.floor(1024 * float(x))) for x in v] for i, v in vectors.items()}
+def brute_topk(rows, k=10):
+    """Every row is a query and a candidate of its own, whatever its id."""
+    whole = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows]
     out = []
-    for q in sorted(whole):
+    for at, (q, asked) in enumerate(whole):
         if q % 100 == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])))[:k]
+            scored = sorted((-sum(a * b for a, b in zip(asked, v)), i) for j, (i, v) in enumerate(whole) if j != at and len(v) == len(asked))[:k]
             out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
-    return out
+    return sorted(out)
 
 
-@pytest.mark.parametrize("kind", ["normal", "ties", "large", "few"])
+@pytest.mark.parametrize("kind", ["normal", "ties", "large", "few", "repeated"])
 def test_topk_against_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(exact_topk, "SEED", 50)
     monkeypatch.setattr(exact_topk, "TILE", 16)
     monkeypatch.setattr(exact_topk, "BLOCK", 3)
+    monkeypatch.setattr(exact_topk, "RANGE", 60)
     rng = np.random.default_rng(8)
     n = {"few": 4}.get(kind, 500)
-    make = {"normal": lambda: rng.normal(size=8) * rng.exponential(), "ties": lambda: rng.integers(-1, 2, 8) * 1.0, "large": lambda: rng.normal(size=8) * 1e5, "few": lambda: rng.normal(size=8)}[kind]
-    vectors = {i * 25: make().tolist() for i in range(n)}
-    rows = list(vectors.items())
+    make = {"normal": lambda: rng.normal(size=8) * rng.exponential(), "ties": lambda: rng.integers(-1, 2, 8) * 1.0, "large": lambda: rng.normal(size=8) * 1e5}.get(kind, lambda: rng.normal(size=8))
+    rows = [(i % 40 * 25 if kind == "repeated" else i * 25, make().tolist()) for i in range(n)]
+    rows += rows[:5]  # whole rows too
     bad = [(5001, None), (5100, [1.0, None] * 4), (5200, [float("nan")] * 8), (5300, [float("inf")] * 8), (None, [1.0] * 8)]
-    df = spark.createDataFrame(rows + rows[:5] + bad, "vec_id bigint, embedding array<double>")
-    got = sorted(tuple(r) for r in exact_topk.topk(clashing(df, "x", "length", "d", "score")).collect())
-    assert got == sorted(brute_topk(vectors))
+    df = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in exact_topk.topk(clashing(df, "x", "length", "d", "score", "row", "range", "block")).collect())
+    assert got == brute_topk(rows)
 
 
-def test_topk_reads_every_file_of_a_task(spark, monkeypatch):
-    # long vectors of one component make the smallest files, which Spark packs behind those of short vectors
+def test_topk_keeps_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in exact_topk.topk(df).collect()) == [(0, 1, 1, 3 << 20), (0, 2, 1, 2 << 20), (0, 3, 2, 1 << 20)]
+
+
+def test_topk_of_many_ranges_and_blocks(spark, monkeypatch):
+    # lengths of a wide spread, so that most pairs of block and range are left out
+    monkeypatch.setattr(exact_topk, "SEED", 20)
+    monkeypatch.setattr(exact_topk, "TILE", 16)
+    monkeypatch.setattr(exact_topk, "BLOCK", 4)
     monkeypatch.setattr(exact_topk, "SEED", 20)
     monkeypatch.setattr(exact_topk, "TILE", 16)
     rng = np.random.default_rng(3)
-    vectors = {i: ([0.0] * (i % 8) + [float(rng.integers(400, 404))] + [0.0] * (7 - i % 8) if i % 2 else (rng.normal(size=8) * rng.lognormal()).tolist()) for i in range(3000)}
-    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    rows = {i: ([0.0] * (i % 8) + [float(rng.integers(400, 404))] + [0.0] * (7 - i % 8) if i % 2 else (rng.normal(size=8) * rng.lognormal()).tolist()) for i in range(3000)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<double>")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "60")
         got = sorted(tuple(r) for r in exact_topk.topk(df).collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert got == sorted(brute_topk(vectors))
+    assert got == brute_topk(list(rows.items()))
 
 
 def test_topk_of_several_dimensions_and_none(spark):
@@ -315,7 +326,7 @@ def test_search_skips_short_vectors():
     rows = rows[np.argsort(-np.linalg.norm(rows, axis=1))]
     s = exact_topk.Search(np.array([-1]), np.floor(rng.normal(size=(1, 8)) * 100), exact_topk.rotation(rows), np.full(1, -np.inf), 5)
     for at in range(0, 1000, 50):
-        if not s.tile(np.arange(at, at + 50), rows[at : at + 50]):
+        if not s.tile(np.arange(at, at + 50), np.arange(at, at + 50), rows[at : at + 50]):
             break
     assert s.pairs_scored < 600
 
