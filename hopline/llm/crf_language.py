@@ -8,15 +8,19 @@ hashed apart.  Learned transitions link neighbouring labels.  Forward and
 backward passes give every word's posterior; a text's language is the one
 with the greatest posterior summed over its words, its score the mean.
 
-Training takes a bounded sample: about ``SAMPLE_DOCS`` texts a language of at
-most ``SAMPLE_CHARS`` characters, cut into pieces, of which ``PIECES`` a
-language are shuffled into code-switched chains with word labels.  Scoring
-takes every text whole: the chains of a step are laid side by side, longest
-first, and each pass goes over positions for all chains at once.
+Training takes a bounded sample: at most ``SAMPLE_DOCS`` texts of each of the
+``LANGUAGES`` most frequent languages, by the order of a hash.  Texts of any
+length may be drawn; on the executors each is cut into pieces of
+``PIECE_WORDS`` words, of which at most ``TEXT_PIECES`` from all over the text
+and ``PIECES`` a language come to the driver.  These are shuffled into
+code-switched chains with word labels.  Scoring takes every text whole: the chains of a step
+are laid side by side, longest first, and each pass goes over positions for
+all chains at once.
 
 Edge cases: null texts and texts without letters get ``und`` and score 0;
-null languages are not learned from; with no language to learn every text is
-``und``; repeated rows score alike; empty tables give empty tables; input
+null languages are not learned from, nor are those beyond the ``LANGUAGES``
+most frequent (ties by name), which bounds the model whatever a dirty column
+holds; with no language to learn every text is ``und``; repeated rows score alike; empty tables give empty tables; input
 columns named like an added one are replaced; ties go to the language that
 sorts first.
 """
@@ -34,6 +38,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from hopline.llm import common
 from hopline.llm.byte_bpe import WordIds
@@ -41,7 +46,8 @@ from hopline.llm.byte_bpe import WordIds
 PLACES = 1 << 16
 LEXICON = 1 << 16
 SIZES = (2, 3, 4)
-SAMPLE_DOCS, SAMPLE_CHARS, PIECES, PIECE_WORDS = 150, 50_000, 400, 30
+#: Bounds of the training sample: languages, texts a language, pieces a text, pieces a language, words a piece.
+LANGUAGES, SAMPLE_DOCS, TEXT_PIECES, PIECES, PIECE_WORDS = 64, 150, 40, 400, 30
 STEPS, RATE, DECAY = 30, 0.2, 1e-3
 #: Bytes of text whose chains are laid side by side.
 STEP_BYTES = 6 << 20
@@ -159,15 +165,19 @@ class Model:
         return labels, [float(min(1.0, m)) if n else 0.0 for m, n in zip(mean[np.arange(len(texts)), best], lengths.tolist())]
 
 
-def switched(texts: list[tuple[str, str]], seed: int = 11) -> tuple[list[list[str]], list[list[str]]]:
-    """Chains of words and their languages: pieces of one to three texts each, in a shuffled order."""
+def pieces_of(text: str) -> list[list[str]]:
+    """Pieces of a text's words; of more than ``TEXT_PIECES`` so many, evenly spread over it."""
+    words = LETTERS.findall(text.lower())
+    starts = range(0, len(words), PIECE_WORDS)
+    if len(starts) > TEXT_PIECES:
+        starts = [starts[i * len(starts) // TEXT_PIECES] for i in range(TEXT_PIECES)]
+    return [words[i : i + PIECE_WORDS] for i in starts]
+
+
+def switched(pieces: list[tuple[str, list[str]]], seed: int = 11) -> tuple[list[list[str]], list[list[str]]]:
+    """Chains of words and their languages: one to three pieces each, in a shuffled order."""
     random = np.random.default_rng(seed)
-    pieces: dict[str, list[list[str]]] = {}
-    for language, x in texts:
-        words = LETTERS.findall(x.lower())
-        pieces.setdefault(language, []).extend(words[i : i + PIECE_WORDS] for i in range(0, len(words), PIECE_WORDS))
-    pool = [(lang, own[i]) for lang in sorted(pieces) for own in (pieces[lang],) for i in sorted(random.permutation(len(own))[:PIECES].tolist())]
-    pool = [pool[i] for i in random.permutation(len(pool)).tolist()]
+    pool = [pieces[i] for i in random.permutation(len(pieces)).tolist()]
     chains, labels, at = [], [], 0
     while at < len(pool):
         some = pool[at : at + int(random.integers(1, 4))]
@@ -177,11 +187,11 @@ def switched(texts: list[tuple[str, str]], seed: int = 11) -> tuple[list[list[st
     return chains, labels
 
 
-def fit(texts: list[tuple[str, str]]) -> Model:
-    """Maximum conditional likelihood by full-batch Adam: observed less expected features."""
-    languages = sorted({lang for lang, _ in texts})
+def fit(pieces: list[tuple[str, list[str]]]) -> Model:
+    """Maximum conditional likelihood by full-batch Adam: observed less expected features.  ``pieces``: (language, words)."""
+    languages = sorted({lang for lang, _ in pieces})
     size, n = PLACES + LEXICON, len(languages)
-    chains, labels = switched(texts) if n > 1 else ([], [])
+    chains, labels = switched(pieces) if n > 1 else ([], [])
     if not chains:
         return Model(languages, np.zeros((size, n), np.float32), np.zeros((n, n)), np.zeros(n))
     known = WordIds()
@@ -224,24 +234,40 @@ def fit(texts: list[tuple[str, str]]) -> Model:
 
 
 def train(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """Fit on a sample of the rows for which ``use`` holds; its size does not follow the input.
+    """Fit on a sample of the rows for which ``use`` holds; its size does not follow the input, nor the texts' lengths.
 
-    Rows a language are counted; a row is sampled if the hash of its id falls
-    below ``SAMPLE_DOCS`` over that count.
+    Rows are drawn by the order of a hash of id and text: first the hashes
+    alone give each language's greatest one to draw, then texts up to it are
+    taken, and ``SAMPLE_DOCS`` of them where many rows are alike.
     """
     fine = docs.filter(use & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    fine = fine.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
-    counts = common.stage(fine.groupBy(F.col("l").alias("l2")).agg(F.count("*").alias("n")), "languages")
-    part = F.pmod(F.xxhash64(F.lit("sample"), "d"), F.lit(1 << 20)) / (1 << 20)
-    chosen = fine.join(common.broadcast_if_small(counts, 64), F.col("l") == F.col("l2")).filter(part < F.lit(SAMPLE_DOCS) / F.col("n"))
-    rows = chosen.select("l", "t", "d").toArrow().to_pydict()
-    ordered = sorted(zip(rows["l"], rows["d"], rows["t"]), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
-    return fit([(lang, x) for lang, _, x in ordered])
+    fine = fine.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t"))
+    counts = fine.groupBy(F.col("l").alias("l2")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l2").limit(LANGUAGES)
+    counts = common.stage(counts.select("l2"), "languages")
+    hashed = fine.join(F.broadcast(counts), F.col("l") == F.col("l2"), "left_semi").withColumn("h", F.xxhash64(F.lit("sample"), "d", "t"))
+    by_hash = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    last = hashed.select("l", "h").withColumn("n", by_hash).filter(F.col("n") <= SAMPLE_DOCS).groupBy(F.col("l").alias("l2")).agg(F.max("h").alias("last"))
+    drawn = hashed.join(F.broadcast(common.stage(last, "last")), (F.col("l") == F.col("l2")) & (F.col("h") <= F.col("last")))
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "d", "t"))
+    drawn = drawn.withColumn("place", first).filter(F.col("place") <= SAMPLE_DOCS).select("l", "place", "t")
+
+    def make():
+        def work(column: pa.Array) -> list[pa.Array]:
+            return [pa.array([pieces_of(x) for x in common.texts(column)], type=pa.list_(pa.list_(pa.string())))]
+
+        return work
+
+    cut = common.map_columns(drawn, ["t"], T.StructType([T.StructField("pieces", T.ArrayType(T.ArrayType(T.StringType())))]), make, ["l", "place"])
+    # a text without words still makes its language known
+    each = cut.select("l", "place", F.posexplode_outer("pieces").alias("at", "words"))
+    some = F.row_number().over(Window.partitionBy("l").orderBy(F.col("words").isNull(), F.xxhash64("place", "at"), "place", "at"))
+    rows = each.withColumn("n", some).filter(F.col("n") <= PIECES).select("l", "n", "words").toArrow().to_pydict()
+    return fit([(lang, words or []) for lang, _, words in sorted(zip(rows["l"], rows["n"], rows["words"]), key=lambda r: r[:2])])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` of each whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # features by languages, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # features by at most LANGUAGES, whatever the input
 
     def make():
         own = sent.value

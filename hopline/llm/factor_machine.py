@@ -8,9 +8,9 @@ standardised structure statistics of the text, and the length bucket as
 metadata.
 
 Training takes a bounded sample of labelled documents (``SAMPLE`` ids by the
-order of a hash, texts of at most ``SAMPLE_CHARS`` characters), extracts
-features on the executors and fits on the driver with full-batch Adam;
-scoring takes every document, whole.
+order of a hash, their texts whole whatever their length), extracts features
+on the executors and fits on the driver with full-batch Adam; scoring takes
+every document, whole.
 
 Edge cases: null and empty texts have no words and are scored by the rest;
 labels other than 0 and 1 and null ids are left out, an id with two labels
@@ -35,8 +35,8 @@ from hopline.llm import common
 
 WORDS = 1 << 15
 FACTORS = 6
-#: Labelled documents that train at most, and the length up to which they do.
-SAMPLE, SAMPLE_CHARS = 4000, 50_000
+#: Labelled documents that train at most.
+SAMPLE = 4000
 STEPS, RATE, DECAY = 60, 0.05, 1e-4
 BUCKETS = 16
 BLANKS = common.BLANKS.encode()
@@ -164,7 +164,6 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, text: str = "text", d
     chosen = fine.groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).cast("int").alias("__label"))
     chosen = common.stage(chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample), "labelled")
     rows = docs.select(F.col(f"`{doc_id}`").alias("__d"), F.col(f"`{text}`").alias("__t")).join(F.broadcast(chosen), F.col("__d") == F.col("__id"))
-    rows = rows.filter(F.coalesce(F.length("__t"), F.lit(0)) <= SAMPLE_CHARS)
 
     def make():
         def work(column: pa.Array) -> list[pa.Array]:

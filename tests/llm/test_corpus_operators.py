@@ -5,6 +5,7 @@ import random
 import re
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -476,8 +477,7 @@ def test_languages_are_learned(spark, tmp_path):
 
 
 def test_words_of_two_languages_switch():
-    texts = [(lang, (t + " ") * 20) for lang, t in SAMPLES.items()]
-    model = crf_language.fit(texts)
+    model = crf_language.fit([(lang, piece) for lang, t in SAMPLES.items() for piece in crf_language.pieces_of((t + " ") * 20)])
     known = crf_language.WordIds()
     words = crf_language.LETTERS.findall((SAMPLES["en"] + " " + SAMPLES["fr"]).lower())
     chains = crf_language.Chains(np.array([known[w] for w in words]), np.array([len(words)]))
@@ -501,6 +501,67 @@ def test_language_on_awkward_rows(spark, awkward):
     assert crf_language.predict(df.limit(0), one).collect() == []
 
 
+def test_pieces_come_from_all_over_a_text():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(10_000)]
+    got = crf_language.pieces_of(" ".join(words))
+    assert len(got) == crf_language.TEXT_PIECES and got[0] == words[:30] and words.index(got[-1][0]) > 9000
+    assert crf_language.pieces_of("a b") == [["a", "b"]] and crf_language.pieces_of("1 2") == []
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """A dirty column of languages, rows that are all alike, null ids and a very long text."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(crf_language, "LANGUAGES", 3)
+    monkeypatch.setattr(crf_language, "SAMPLE_DOCS", 20)
+    seen = []
+    monkeypatch.setattr(crf_language, "fit", lambda pieces: seen.append(pieces))
+    long = " ".join([SAMPLES["de"]] * 14_000)
+    assert len(long) > 900_000
+    rows = [(None, SAMPLES["en"], "en", "s", 1)] * 3000 + [(7, SAMPLES["fr"], "fr", "s", 1)] * 2000 + [(8, long, "de", "s", 1)] * 3 + [(i, "x y", f"l{i}", "s", 1) for i in range(10_000)]
+    crf_language.train(docs(spark, rows), F.lit(True))
+    by = Counter(lang for lang, _ in seen[0])
+    assert by["en"] == by["fr"] == 20 and by["de"] == min(3 * crf_language.TEXT_PIECES, crf_language.PIECES) and len(by) == 3
+
+
+def test_long_texts_train_too(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(factor_machine, "fit", lambda rows, labels: seen.append((rows, labels)))
+    df = docs(spark, [(1, "word " * 200_000, "en", "s", 1), (2, "short text", "en", "s", 1)])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    factor_machine.train(df, labels, F.lit(True))
+    (rows, marks), = seen
+    assert len(rows) == 2 and marks.tolist() == [1, 0]
+
+
+def plain_machine(rows, labels):
+    """The loss of a factorisation machine and its slopes, pair by pair."""
+    m = factor_machine.fit(rows, labels)
+    x = np.zeros((len(rows), factor_machine.WORDS + factor_machine.STATS + factor_machine.BUCKETS))
+    for i, (words, stats, bucket) in enumerate(rows):
+        for w in words:
+            x[i, w] += 1 / np.sqrt(max(1, len(words)))
+        x[i, factor_machine.WORDS : factor_machine.WORDS + factor_machine.STATS] = np.clip((np.array(stats) - m.mean) / m.scale, -4, 4) / np.sqrt(factor_machine.STATS)
+        x[i, factor_machine.WORDS + factor_machine.STATS + bucket] = 0.5
+    used = np.flatnonzero(x.any(0))
+    x = x[:, used]
+    pairs = sum((m.v[used[i]] @ m.v[used[j]]) * x[:, i] * x[:, j] for i in range(len(used)) for j in range(i + 1, len(used)))
+    return m, 1 / (1 + np.exp(-(m.bias + x @ m.w[used] + pairs)))
+
+
+def test_training_lowers_the_loss_and_scores_are_those_of_all_pairs():
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["sun", "sea", "hill"] if i % 2 else ["spam", "win", "$$"]) + str(rnd.randrange(2)) for _ in range(8)) for i in range(40)]
+    rows = [factor_machine.features(t.encode()) for t in texts]
+    labels = np.array([i % 2 for i in range(40)], dtype=float)
+    m, want = plain_machine(rows, labels)
+    assert np.allclose(m.scores(rows), want, atol=1e-5)
+    loss = -np.mean(labels * np.log(want) + (1 - labels) * np.log(1 - want))
+    assert loss < 0.2 < np.log(2)
+
+
 # pipeline
 
 
