@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -39,13 +40,13 @@ SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "cred
 ASSIGNED = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 SENSITIVE_RE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: A candidate begins at most so many code points behind a sensitive word, and has no fewer characters.
+#: What a sensitive context is: a candidate begins at most so many code points behind a sensitive word, and has no fewer characters.
 REACH, SHORTEST = 80, 16
 #: What may stand between the lines of one key, written out or in quotes: a line break, or an escaped one.
 NEXT_LINE = re.compile(r"""[\x20\t"',+]*+(?:\\r)?(?:\\n)?[\x20\t"',+\\]*+\r?\n[\x20\t"',+#*>]*+|(?:\\r)?\\n""")
 #: The end of a key block, a line too short for a candidate.
 LAST_LINE = re.compile(r"""[A-Za-z0-9+/_=-]{1,15}+(?=(?:[\x20\t"',+\r\n]|\\[rn])++-----END)""")
-#: Code points on either side of a candidate that prime the dictionary.
+#: Code points on either side of a candidate that prime the dictionary, by default.
 AROUND = 512
 #: Least marginal bytes per character.
 NOVELTY = 0.8
@@ -96,19 +97,35 @@ def base_spans(text: str, raw: bytes, low: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+class Taken:
+    """Places that spans take, to ask whether a further one would overlap."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.ends = [], []
+        for start, _, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def __contains__(self, place: tuple[int, int]) -> bool:
+        at = bisect_left(self.starts, place[1]) - 1  # the last that begins before the place ends
+        return at >= 0 and self.ends[at] > place[0]
+
+
+def novel_spans(text: str, known: list[tuple[int, int, int]], reach: int = REACH, around: int = AROUND) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates behind a sensitive word that stay novel, and of the lines that go on after one."""
     ends = [m.end() for m in SENSITIVE_RE.finditer(text)]
-    found, done = [], 0
+    found, done, taken = [], 0, Taken(known)
 
     def look(start: int, stop: int, goes_on: bool) -> bool:
         """Report the candidate if it is novel; a line of a key that goes on needs no digit."""
         own = text[start:stop]
         mixed = re.search("[0-9]", own) and re.search("[A-Za-z]", own)
-        if not (mixed or goes_on) or any(start < e and s < stop for s, _, e in known):
+        if not (mixed or goes_on) or (start, stop) in taken:
             return False
-        around = text[max(0, start - AROUND) : start] + "\n" + text[stop : stop + AROUND]
-        if not is_novel(own, around):
+        if not is_novel(own, text[max(0, start - around) : start] + "\n" + text[stop : stop + around]):
             return False
         found.append((start, 3, stop))
         return True
@@ -116,7 +133,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
     for end in ends:
         at = max(end, done)
         # every start up to the reach is seen; what begins there is taken whole
-        while at <= end + REACH and (m := CANDIDATE.search(text, at, end + REACH + SHORTEST)):
+        while at <= end + reach and (m := CANDIDATE.search(text, at, end + reach + SHORTEST)):
             start, done = m.start(), CANDIDATE.match(text, m.start()).end()
             novel = look(start, done, False)
             while gap := NEXT_LINE.match(text, done):
@@ -124,7 +141,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
                     done = line.end()
                     novel = look(line.start(), done, novel)
                     continue
-                if novel and (line := LAST_LINE.match(text, gap.end())) and not any(line.start() < e and s < line.end() for s, _, e in known):
+                if novel and (line := LAST_LINE.match(text, gap.end())) and line.span() not in taken:
                     done = line.end()
                     found.append((line.start(), 3, done))
                 break

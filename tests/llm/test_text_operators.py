@@ -215,6 +215,72 @@ def test_random_keys_are_novel_at_any_length(alphabet):
     assert not secret_scan.is_novel(path, path) and not secret_scan.is_novel("a1" * 500, "")
 
 
+def plain_novel(text):
+    """Every place is tried by itself: is it a candidate, or a line that goes on one, near a word, clear of patterns and novel?"""
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    words = [i + len(w) for w in secret_scan.SENSITIVE for i in range(len(text)) if low.startswith(w, i)]
+    patterns = [(s, e) for s, _, e in plain_spans(text)]
+
+    def run_at(at):
+        end = at
+        while end < len(text) and text[end] in key:
+            end += 1
+        return end
+
+    def clear(s, e):
+        return not any(s < b and a < e for a, b in patterns)
+
+    def novel(s, e):
+        return clear(s, e) and secret_scan.is_novel(text[s:e], text[max(0, s - 512) : s] + "\n" + text[e : e + 512])
+
+    out, seen = set(), 0
+    for word in sorted(set(words)):
+        at = max(word, seen)
+        while at <= word + 80:
+            end = run_at(at)
+            if end - at < 16:
+                at += 1
+                continue
+            own = text[at:end]
+            good = any(c.isdigit() for c in own) and any(c.isalpha() for c in own) and novel(at, end)
+            if good:
+                out.add((at, 3, end))
+            seen = at = end
+            while (gap := secret_scan.NEXT_LINE.match(text, at)) is not None:
+                start, stop = gap.end(), run_at(gap.end())
+                if stop - start < 16:
+                    if good and stop > start and clear(start, stop) and re.match(r"([ \t\"',+\r\n]|\\[rn])+-----END", text[stop:]):
+                        out.add((start, 3, stop))
+                        seen = at = stop
+                    break
+                own = text[start:stop]
+                good = (good or any(c.isdigit() for c in own) and any(c.isalpha() for c in own)) and novel(start, stop)
+                if good:
+                    out.add((start, 3, stop))
+                seen = at = stop
+    return sorted(out)
+
+
+KEYS = ["q7XbT0pLz2Wk9sVd", "mN4cR8yH1uJ6aQ5e", "0f9E8d7C6b5A4f3E2d1C", "the_configuration_value_of_it", "aaaaaaaaaaaaaaaaaaaa", "Zk3"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["bearer ", "private key", "Authorization: ", "password=", "token", "x" * 30 + " ", " " * 40, "\n", "\\n", "-----END", " ", '"', "é", "0123456789abcdef" * 2, *KEYS]), max_size=24))
+def test_novel_spans_against_every_place(parts):
+    text = "".join(parts)
+    assert [x for x in secret_scan.spans_of(text, text.encode()) if x[1] == 3] == plain_novel(text)
+
+
+def test_many_secrets_take_linear_time():
+    import time
+
+    text = "".join(f"token: a\nbearer {hashlib.sha256(str(i).encode()).hexdigest()[:30].upper()}\n" for i in range(4000))
+    start = time.perf_counter()
+    spans = secret_scan.spans_of(text, text.encode())
+    assert len([x for x in spans if x[1] == 3]) > 3500 and time.perf_counter() - start < 20
+
+
 def test_candidates_at_the_reach_and_keys_of_many_lines():
     import random
 
