@@ -1,12 +1,15 @@
-"""Byte-level BPE by replaying merges over a block of the corpus at once.
+"""Byte-level BPE by replaying merges over many words at once.
 
-The distinct pre-tokens of a block are laid out as one long row of symbols
-with gaps between words.  An inverted index leads from each rank to the
-positions where a pair of that rank stands; ranks are taken in ascending order
-from a heap, all positions of the rank are merged together, and only the two
-pairs beside a merged one are indexed anew.  The block's texts are then read
-off as runs of word ids.  A block is the texts of one step (``BLOCK_BYTES``),
-so memory does not follow the partition.
+Distinct pre-tokens are laid out as one long row of symbols with gaps between
+words.  An inverted index leads from each rank to the positions where a pair
+of that rank stands; ranks are taken in ascending order from a heap, all
+positions of the rank are merged together, and only the two pairs beside a
+merged one are indexed anew.  Texts are then read off as runs of word ids.
+
+A task goes through its part of the corpus in steps (the texts of
+``BLOCK_BYTES``) and remembers the words that it has merged, so a word is
+merged once a task; after ``MEMO_WORDS`` words it begins anew, so memory
+follows neither the partition nor the corpus.
 
 Edge cases: a null or empty text has no ids and decodes to empty bytes;
 repeated rows give equal results; an empty table gives an empty table; an
@@ -21,7 +24,7 @@ from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ from pyspark.sql import types as T
 
 from hopline.llm import common
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a step, and words that a task remembers at most (beyond those of one step).
+BLOCK_BYTES, MEMO_WORDS = 4 << 20, 400_000
 
 
 class WordIds(dict):
@@ -187,6 +190,40 @@ class MergeReplay:
         return out, sizes
 
 
+class Memo:
+    """The ids of all words that a task has met: ``flat[starts[w] : starts[w] + sizes[w]]`` for word w."""
+
+    def __init__(self, replayer: MergeReplay):
+        self.replayer = replayer
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.merged = WordIds(), 0
+        self.flat, self.starts, self.sizes, self.used = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+
+    def merge_new(self) -> None:
+        """Merge the words that were numbered since the last time."""
+        new = list(islice(self.known, self.merged, None))
+        if not new:
+            return
+        ids, sizes = self.replayer.replay(new)
+        words, n = slice(self.merged, len(self.known)), self.used + len(ids)
+        self.flat, self.starts, self.sizes = (_room(x, size) for x, size in ((self.flat, n), (self.starts, words.stop), (self.sizes, words.stop)))
+        self.flat[self.used : n] = ids
+        self.sizes[words] = sizes
+        self.starts[words] = self.used + np.cumsum(sizes) - sizes
+        self.merged, self.used = words.stop, n
+
+
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for ``size`` values."""
+    if len(x) >= size:
+        return x
+    out = np.empty(max(size, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> MergeReplay:
     with open(path, "rb") as lines:
@@ -207,19 +244,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def make():
         replayer = load(ranks_path)
         find = regex.compile(pattern).findall
+        memo = Memo(replayer)
 
         def work(column: pa.Array) -> list[pa.Array]:
-            known = WordIds()
-            runs, row_of, number = array("i"), np.zeros(len(column) + 1, dtype=np.int64), known.__getitem__
+            if len(memo.known) > MEMO_WORDS:
+                memo.clear()
+            runs, row_of, number = array("i"), np.zeros(len(column) + 1, dtype=np.int64), memo.known.__getitem__
             for row, x in enumerate(common.texts(column)):
                 runs.extend(map(number, find(x)))
                 row_of[row + 1] = len(runs)
-            ids, sizes = replayer.replay(known)
+            memo.merge_new()
             words = np.frombuffer(runs, dtype=np.int32) if runs else np.zeros(0, dtype=np.int32)
-            starts = np.cumsum(sizes) - sizes
-            lengths = sizes[words]
+            lengths = memo.sizes[words]
             ends = np.concatenate(([0], np.cumsum(lengths)))
-            flat = ids[np.repeat(starts[words] - ends[:-1], lengths) + np.arange(ends[-1])]
+            flat = memo.flat[np.repeat(memo.starts[words] - ends[:-1], lengths) + np.arange(ends[-1])]
             cuts = ends[row_of]
             lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat))
             return [lists, _join_bytes(replayer.bytes_of.__getitem__, flat, cuts.tolist())] if decoded else [lists]
