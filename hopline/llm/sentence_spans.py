@@ -8,21 +8,27 @@ non-first run covers is removed.
 
 A sentence ends after ``.``, ``!`` or ``?`` and a blank, or at a line's end.
 One of more than ``LONG`` words is cut further behind words whose CRC-32 is
-divisible by ``CUT``, and after ``LONG`` words without one, so that passages
-without stops still align.
+divisible by ``CUT``, and after ``LONG`` words without one, so that what is
+shared is cut alike and goes in pieces; but for the ``span`` of a run it stays
+one sentence, so no run lies within a single one.
 
 A passage that starts and ends within sentences may hold too few whole ones.
 So each text also has anchored spans of ``GRAM`` words, wherever they lie: of
 every ``PASSAGE`` words in a row those whose hash is the least (winnowing).
 Equal passages of ``PASSAGE`` words have equal anchored spans, whatever stands
-around them.  They meet like runs, and the words of a non-first one are removed.
-Neighbouring ones are at most ``PASSAGE - GRAM + 1`` words apart, so they cover a longer
-repeated passage but for fewer than that many words at either end.
+around them.  They meet like runs, and the words of one whose first is in
+another document are removed (what a text repeats of itself outside of
+sentences is not a passage).  Neighbouring ones are at most
+``PASSAGE - GRAM + 1`` words apart, so they cover a longer repeated passage
+but for fewer than that many words at either end.
 
 Shuffles: 64-bit run and span hashes, once summed by hash with map-side combine and once
 joined, from staged tables, to the hashes that occur twice or more (so
-adaptive execution can split a hot hash); then texts by id, to meet what is
-removed from them.
+adaptive execution can split a hot hash); then the texts of documents of which
+something goes, to meet what does.  A bitmap of ``MARK_BITS`` hashed ids,
+broadcast, tells the other texts apart, which stay where they lie; beyond
+about as many documents with losses it lets all texts through, and they are
+all shuffled.
 
 Edge cases: null and empty texts have no sentences and stay as they are; rows
 that repeat an id are one document, so their equal positions are not repeats
@@ -44,8 +50,10 @@ from pyspark.sql import types as T
 
 from hopline.llm import common
 
-SPAN, MIN_WORDS = 2, 12
+SPAN, MIN_WORDS = 2, 24
 LONG, CUT = 24, 8
+#: Bits of the map of documents with losses: a row for each 64 of them that holds one, so 8 MB at most.
+MARK_BITS = 32 << 20
 #: Words of the passages that are always found, and of an anchored span.
 PASSAGE, GRAM = 51, 28
 #: Odd, so it has an inverse modulo 2**64.
@@ -55,8 +63,8 @@ BREAK = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def sentences(raw: bytes) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, normal form) of each sentence; they cover the text but for leading blanks."""
+def sentences(raw: bytes) -> list[tuple[int, int, int, bytes, bool]]:
+    """(start, end, words, normal form, whether a sentence begins) of each piece; they cover the text but for leading blanks."""
     out, at = [], 0
     ends = [m.end() for m in BREAK.finditer(raw)]
     if not ends or ends[-1] < len(raw):
@@ -64,32 +72,38 @@ def sentences(raw: bytes) -> list[tuple[int, int, int, bytes]]:
     for end in ends:
         words = raw[at:end].split()
         if len(words) > LONG:
-            start, own = at, []
+            start, own, begins = at, [], True
             for m in WORD.finditer(raw, at, end):
                 word = m[0].rstrip()
                 own.append(word)
                 if zlib.crc32(word) % CUT == 0 or len(own) == LONG:
-                    out.append((start, m.end(), len(own), b" ".join(own)))
-                    start, own = m.end(), []
+                    out.append((start, m.end(), len(own), b" ".join(own), begins))
+                    start, own, begins = m.end(), [], False
             if own:
-                out.append((start, end, len(own), b" ".join(own)))
+                out.append((start, end, len(own), b" ".join(own), begins))
         elif words:
-            out.append((at, end, len(words), b" ".join(words)))
+            out.append((at, end, len(words), b" ".join(words), True))
         at = end
     return out
 
 
-def runs(found: list[tuple[int, int, int, bytes]], span: int, min_words: int) -> list[int]:
-    """For each sentence the end (exclusive) of the run that begins there, where there is one."""
-    out, end, words = [], 0, 0
-    for start in range(len(found)):
-        while end < len(found) and (end - start < span or words < min_words):
+def runs(found: list[tuple[int, int, int, bytes, bool]], span: int, min_words: int) -> list[int]:
+    """For each piece the end (exclusive) of the run that begins there, where there is one.
+
+    A run touches at least ``span`` sentences: the one it begins in, and those that begin in it.
+    """
+    out, end, words, begun = [], 0, 0, 0
+    for start, (_, _, n, _, begins) in enumerate(found):
+        # the first piece counts for its sentence, whether that begins with it or not
+        while end < len(found) and (begun + (not begins) < span or words < min_words):
             words += found[end][2]
+            begun += found[end][4]
             end += 1
-        if end - start < span or words < min_words:
+        if begun + (not begins) < span or words < min_words:
             break
         out.append(end)
-        words -= found[start][2]
+        words -= n
+        begun -= begins
     return out
 
 
@@ -156,7 +170,7 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.withColumns({"__id": F.col(f"`{doc_id}`"), "__h": F.when(F.col(f"`{doc_id}`").isNull(), F.xxhash64(own)).otherwise(F.lit(0))})
 
 
-def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN, min_words: int = MIN_WORDS, anchored: bool = True) -> DataFrame:
     """(__id, __h, __at): for each document where a non-first repeated run or anchored span begins.
 
     That is twice the sentence of a run, and twice the first word of a span and one more.
@@ -168,7 +182,7 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span:
             raws = common.blobs(column)
             own = [hashes(x, span, min_words) for x in raws]
             sizes = np.array([len(x) for x in own], dtype=np.int64)
-            text, at, gram = anchors(raws)
+            text, at, gram = anchors(raws if anchored else [])
             rows = np.concatenate((np.repeat(np.arange(len(raws)), sizes), text))
             places = np.concatenate([*(np.arange(x) * 2 for x in sizes.tolist()), at * 2 + 1])
             order = np.argsort(rows, kind="stable")
@@ -186,7 +200,8 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span:
     place = F.struct(F.col("__id").isNull().alias("none"), "__id", "__h", "__p")
     twice = each.groupBy("__run").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("__run").alias("__r"), "first")
     twice = common.stage(twice, "twice")
-    later = each.join(twice, F.col("__run") == F.col("__r")).filter(place != F.col("first"))
+    elsewhere = ~(F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__h") == F.col("first.__h")))
+    later = each.join(twice, F.col("__run") == F.col("__r")).filter(elsewhere | (F.col("__p") % 2 == 0) & (F.col("__p") != F.col("first.__p")))
     return later.groupBy("__id", "__h").agg(F.collect_set("__p").alias("__at"))
 
 
@@ -201,12 +216,22 @@ ADDED = T.StructType(
 )
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """Add the counts, ``removed`` (byte ranges of the text) and ``clean_text``, the text without them."""
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN, min_words: int = MIN_WORDS, anchored: bool = True) -> DataFrame:
+    """Add the counts, ``removed`` (byte ranges of the text) and ``clean_text``, the text without them; ``anchored=False`` for runs alone."""
     docs = common.without(docs, ADDED.names)
-    marks = common.stage(repeated(docs, text, doc_id, span, min_words), "marks").withColumnsRenamed({"__id": "__id2", "__h": "__h2"})
+    marks = common.stage(repeated(docs, text, doc_id, span, min_words, anchored), "marks")
     keyed = _keyed(docs, text, doc_id)
-    joined = keyed.join(marks, keyed["__id"].eqNullSafe(F.col("__id2")) & (keyed["__h"] == F.col("__h2")), "left")
+    # documents of which nothing goes are told apart by a bitmap, and never shuffled
+    place = F.pmod(F.xxhash64("__id", "__h"), F.lit(MARK_BITS))
+    bit = F.expr("shiftleft(1L, cast(__place % 64 as int))")
+    bits = marks.select(place.alias("__place")).groupBy(F.expr("__place div 64").alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    keyed = keyed.withColumn("__place", place).withColumn("__w", F.expr("__place div 64")).join(F.broadcast(common.stage(bits, "bits")), F.col("__w") == F.col("__word"), "left")
+    touched = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    marks = marks.withColumnsRenamed({"__id": "__id2", "__h": "__h2"})
+    some = keyed.filter(touched).join(marks, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__h") == F.col("__h2")), "left")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    none = keyed.filter(~touched).select(*kept, F.lit(None).cast("array<bigint>").alias("__at"))
+    joined = none.unionByName(some.select(*kept, "__at"))
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def make():
@@ -221,7 +246,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int
                 for at in (x // 2 for x in marked if x % 2 == 0):
                     if at < len(ends):  # of rows that repeat an id, marks of another text may lie outside
                         gone[at : ends[at]] = b"\1" * (ends[at] - at)
-                pieces = [(start, end) for (start, end, _, _), away in zip(found, gone) if away]
+                pieces = [(start, end) for (start, end, *_), away in zip(found, gone) if away]
                 words = sum(x[2] for x, away in zip(found, gone) if away)
                 removed = sum(gone)
                 if grams := [x // 2 for x in marked if x % 2]:
@@ -232,7 +257,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int
                             lost[at : at + GRAM] = b"\1" * GRAM
                             pieces.append((spots[at][0], spots[at + GRAM - 1][1]))
                     first = 0
-                    for (_, _, n, _), away in zip(found, gone):
+                    for (_, _, n, *_), away in zip(found, gone):
                         own = sum(lost[first : first + n])
                         first += n
                         if own and not away:

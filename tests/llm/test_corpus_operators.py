@@ -159,36 +159,86 @@ def test_one_of_each_group_stays(spark):
 # sentence spans
 
 
+def plain_cut(text):
+    """Sentences as lists of words, each word with its place: by going through the characters; long ones in pieces."""
+    words, sentence, at = [], 0, 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] not in " \t\n\v\f\r":
+            end += 1
+        if end > at:
+            words.append((text[at:end], at, sentence))
+        stop = end > at and text[end - 1] in ".!?" and end < len(text)
+        at = end
+        while at < len(text) and text[at] in " \t\n\v\f\r":
+            stop |= text[at] == "\n"
+            at += 1
+        sentence += stop
+    pieces = []
+    for _, own in itertools.groupby(words, key=lambda w: w[2]):
+        own, piece, begins = list(own), [], True
+        for w in own:
+            piece.append(w)
+            if len(own) > 24 and (zlib.crc32(w[0].encode()) % 8 == 0 or len(piece) == 24):
+                pieces.append((piece, begins))
+                piece, begins = [], False
+        if piece:
+            pieces.append((piece, begins))
+    return pieces
+
+
 def plain_dedup(rows, span, least):
-    runs = []
-    for i, text in rows:
-        found = sentence_spans.sentences((text or "").encode())
-        for at, end in enumerate(sentence_spans.runs(found, span, least)):
-            runs.append((tuple(x[3] for x in found[at:end]), i, at, end))
+    """(document, piece) of each piece that goes: every run is written out and compared with all others."""
+    runs, pieces = [], {i: plain_cut(text) for i, text in rows}
+    for i, own in pieces.items():
+        for at in range(len(own)):
+            for end in range(at + 1, len(own) + 1):
+                some = own[at:end]
+                sentences = {w[2] for piece, _ in some for w in piece}
+                if len(sentences) >= span and sum(len(piece) for piece, _ in some) >= least:
+                    runs.append((tuple(" ".join(w[0] for w in piece) for piece, _ in some), i, at, end))
+                    break
     first = {}
     for key, i, at, _ in sorted(runs, key=lambda r: (r[1], r[2])):
         first.setdefault(key, (i, at))
-    gone = {}
-    for key, i, at, end in runs:
-        if first[key] != (i, at):
-            gone.setdefault(i, set()).update(range(at, end))
-    return gone
+    gone = {(i, n) for key, i, at, end in runs if first[key] != (i, at) for n in range(at, end)}
+    return pieces, gone
 
 
-def test_spans_against_brute_force(spark):
+@pytest.mark.parametrize("bits", [32 << 20, 64])
+def test_spans_against_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(sentence_spans, "MARK_BITS", bits)
     rnd = random.Random(4)
-    pool = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(rnd.randint(1, 8))) + rnd.choice([". ", "! ", ".\n", "? "]) for _ in range(30)]
-    rows = [(i, "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 25)))) for i in range(60)]
+    word = lambda: rnd.choice("abcdefgh") * rnd.randint(1, 3)
+    pool = [" ".join(word() for _ in range(rnd.randint(1, 8))) + rnd.choice([". ", "! ", ".\n", "? ", "\n"]) for _ in range(30)]
+    pool += [" ".join(word() + str(rnd.randrange(9)) for _ in range(40)) + ". " for _ in range(3)]  # cut in pieces
+    rows = [(i, "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 18)))) for i in range(60)]
+    rows += [(100 + i, " ".join(f"own{i}x{j}" for j in range(60)) + ".") for i in range(40)]
     df = docs(spark, [(i, t, "en", "s", 1) for i, t in rows])
-    out = sentence_spans.dedup(clashing(df, "n_removed", "clean_text"), span=2, min_words=5)
-    gone = plain_dedup(rows, 2, 5)
+    out = sentence_spans.dedup(clashing(df, "n_removed", "clean_text"), span=2, min_words=5, anchored=False).collect()
+    pieces, gone = plain_dedup(rows, 2, 5)
     texts = dict(rows)
-    for r in out.collect():
-        found = sentence_spans.sentences(texts[r.doc_id].encode())
-        cut = gone.get(r.doc_id, set())
-        assert (r.n_sentences, r.n_removed) == (len(found), len(cut))
-        assert r.clean_text == "".join(texts[r.doc_id].encode()[a:b].decode() for n, (a, b, *_) in enumerate(found) if n not in cut)
-    assert sum(map(len, gone.values())) > 50
+    assert len(out) == len(rows) and {r.n_removed for r in out if r.doc_id >= 100} == {0}
+    for r in out:
+        own = pieces[r.doc_id]
+        left = [w[0] for n, (piece, _) in enumerate(own) if (r.doc_id, n) not in gone for w in piece]
+        assert (r.n_sentences, r.n_removed) == (len(own), sum(i == r.doc_id for i, _ in gone))
+        assert r.clean_text.split() == left and r.words_removed == len(texts[r.doc_id].split()) - len(left)
+    assert 50 < len(gone) < sum(map(len, pieces.values())) / 1.5
+
+
+def test_one_long_sentence_holds_no_run():
+    found = sentence_spans.sentences(("the " * 300).encode())
+    assert len(found) > 10 and sentence_spans.runs(found, 2, 24) == []
+    # but the last of its pieces and the sentence after it are two
+    found = sentence_spans.sentences(("the " * 60 + ". Next one here.").encode())
+    assert sentence_spans.runs(found, 2, 10)[-1] == len(found)
+
+
+def test_repeats_of_words_within_a_text_stay(spark):
+    rows = [(1, "Word salad " * 100, "en", "s", 1), (2, "other words here " * 80, "en", "s", 1), (3, "Word salad " * 100, "en", "s", 1)]
+    out = {r.doc_id: r for r in sentence_spans.dedup(docs(spark, rows)).collect()}
+    assert out[1].n_removed == out[2].n_removed == 0 and out[3].words_removed == 200
 
 
 def test_sentences():
@@ -254,7 +304,7 @@ def test_span_query_on_awkward_rows(spark, awkward):
     assert by[3][0].text is None and by[4][0].text == "" and by[3][0].n_sentences == 0
     # the copy loses everything; its repeated row is the same document
     assert [r.n_removed for r in by[2]] == [by[2][0].n_sentences] * 2 and by[2][0].text == ""
-    assert by[1][0].n_removed == 4  # the prose repeats itself three times
+    assert by[1][0].n_removed == 4  # the prose repeats itself three times, each time two sentences of 25 words
     assert sentence_spans.dedup(docs(spark, [])).collect() == []
 
 
