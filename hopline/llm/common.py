@@ -48,6 +48,25 @@ def broadcast_if_small(staged: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(staged) if staged.limit(limit + 1).count() <= limit else staged
 
 
+#: Bits of a bitmap of hashed keys: a row for each 64 of them that holds one, so 8 MB at most.
+BITMAP_BITS = 32 << 20
+
+
+def bitmap(keys: DataFrame, *columns: Column) -> DataFrame:
+    """A broadcast-sized set of hashed keys, for ``maybe_in``; the more keys, the more others it takes for one."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+    bits = keys.select(at.alias("at")).groupBy(F.expr("at div 64").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("__bits"))
+    return stage(bits, "bitmap")
+
+
+def maybe_in(df: DataFrame, bits: DataFrame, *columns: Column, out: str = "__maybe") -> DataFrame:
+    """Add ``out``: false only if the key of these columns is surely not in the bitmap.  Nothing is shuffled."""
+    df = df.withColumn("__at", F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)))
+    df = df.withColumn("__w", F.expr("__at div 64")).join(F.broadcast(bits), F.col("__w") == F.col("__word"), "left")
+    hit = F.col("__bits").bitwiseAND(F.expr("shiftleft(1L, cast(__at % 64 as int))")) != 0
+    return df.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__at", "__w", "__word", "__bits")
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns whose names clash (in any case) with what an operator adds."""
     clash = {n.lower() for n in names}

@@ -25,9 +25,9 @@ but for fewer than that many words at either end.
 Shuffles: 64-bit run and span hashes, once summed by hash with map-side combine and once
 joined, from staged tables, to the hashes that occur twice or more (so
 adaptive execution can split a hot hash); then the texts of documents of which
-something goes, to meet what does.  A bitmap of ``MARK_BITS`` hashed ids,
-broadcast, tells the other texts apart, which stay where they lie; beyond
-about as many documents with losses it lets all texts through, and they are
+something goes, to meet what does.  A bitmap of hashed ids (``common.bitmap``),
+broadcast, tells the other texts apart, which stay where they lie; with about
+as many such documents as it has bits it lets all texts through, and they are
 all shuffled.
 
 Edge cases: null and empty texts have no sentences and stay as they are; rows
@@ -52,8 +52,6 @@ from hopline.llm import common
 
 SPAN, MIN_WORDS = 2, 24
 LONG, CUT = 24, 8
-#: Bits of the map of documents with losses: a row for each 64 of them that holds one, so 8 MB at most.
-MARK_BITS = 32 << 20
 #: Words of the passages that are always found, and of an anchored span.
 PASSAGE, GRAM = 51, 28
 #: Odd, so it has an inverse modulo 2**64.
@@ -222,15 +220,11 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int
     marks = common.stage(repeated(docs, text, doc_id, span, min_words, anchored), "marks")
     keyed = _keyed(docs, text, doc_id)
     # documents of which nothing goes are told apart by a bitmap, and never shuffled
-    place = F.pmod(F.xxhash64("__id", "__h"), F.lit(MARK_BITS))
-    bit = F.expr("shiftleft(1L, cast(__place % 64 as int))")
-    bits = marks.select(place.alias("__place")).groupBy(F.expr("__place div 64").alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    keyed = keyed.withColumn("__place", place).withColumn("__w", F.expr("__place div 64")).join(F.broadcast(common.stage(bits, "bits")), F.col("__w") == F.col("__word"), "left")
-    touched = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    keyed = common.maybe_in(keyed, common.bitmap(marks, F.col("__id"), F.col("__h")), F.col("__id"), F.col("__h"))
     marks = marks.withColumnsRenamed({"__id": "__id2", "__h": "__h2"})
-    some = keyed.filter(touched).join(marks, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__h") == F.col("__h2")), "left")
+    some = keyed.filter("__maybe").join(marks, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__h") == F.col("__h2")), "left")
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    none = keyed.filter(~touched).select(*kept, F.lit(None).cast("array<bigint>").alias("__at"))
+    none = keyed.filter("NOT __maybe").select(*kept, F.lit(None).cast("array<bigint>").alias("__at"))
     joined = none.unionByName(some.select(*kept, "__at"))
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

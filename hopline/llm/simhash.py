@@ -277,23 +277,29 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     Ids and fingerprints are staged apart from the texts and summed up by
     fingerprint (map side first, so copies of one text cost one row a task)
-    before groups are formed.  The texts are read again and joined by (id,
-    fingerprint) to the one row that stays.
+    before groups are formed.  The texts are read again: rows whose id stands
+    in no row that goes, nor in several rows, stay where they lie, and only
+    the others (a bitmap of ids tells them apart) are fingerprinted again and
+    joined by (id, fingerprint) to the one row that stays.
     """
     columns = docs.columns
     ids = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("__t"))
     prints = common.stage(fingerprints(ids, "__t").drop("__t"), "docprints")
     # the smallest id of a fingerprint, and how many rows share it
-    named = prints.groupBy("fingerprint", "id").agg(F.count("*").alias("n"))
+    named = common.stage(prints.groupBy("fingerprint", "id").agg(F.count("*").alias("n")), "named")
     least = named.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint", "n")).alias("name"))
     least = common.stage(least, "prints")
     firsts = clusters(least.select("fingerprint")).select("fingerprint", "cluster").join(least, "fingerprint")
     firsts = firsts.groupBy("cluster").agg(F.min("name").alias("f")).select(F.col("f.id").alias("__id"), F.col("f.fingerprint").alias("__f"), F.col("f.n").alias("__n"))
     firsts = common.stage(firsts, "firsts")
+    same = named["id"].eqNullSafe(F.col("__id")) & (named["fingerprint"] == F.col("__f"))
+    unsure = named.filter("n > 1").select("id").unionByName(named.join(firsts, same, "left_anti").select("id"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(f"`{doc_id}`").alias("__i"), F.col(f"`{text}`").alias("__t"))
-    packed = fingerprints(packed, "__t")
-    kept = packed.join(firsts, packed["__i"].eqNullSafe(F.col("__id")) & (packed["fingerprint"] == F.col("__f")))
-    alone = kept.filter("__n = 1").select("__row.*")
+    packed = common.maybe_in(packed, common.bitmap(unsure, F.col("id")), F.col("__i"))
+    sure = packed.filter("NOT __maybe").select("__row.*")
+    again = fingerprints(packed.filter("__maybe").drop("__maybe"), "__t")
+    kept = again.join(firsts, again["__i"].eqNullSafe(F.col("__id")) & (again["fingerprint"] == F.col("__f")))
+    alone = sure.unionByName(kept.filter("__n = 1").select("__row.*"))
     if not firsts.filter("__n > 1").limit(1).count():
         return alone
     # repeated rows: of those with one id and fingerprint the smallest text

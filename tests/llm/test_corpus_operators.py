@@ -142,7 +142,9 @@ def test_simhash_query(spark, awkward):
     assert sorted((r.component_id or -1) for r in rows if r.doc_id is None) == [-1, 3]
 
 
-def test_one_of_each_group_stays(spark):
+@pytest.mark.parametrize("bits", [32 << 20, 2])
+def test_one_of_each_group_stays(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "BITMAP_BITS", bits)
     df = clashing(docs(spark), "fingerprint", "cluster")
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
@@ -207,7 +209,7 @@ def plain_dedup(rows, span, least):
 
 @pytest.mark.parametrize("bits", [32 << 20, 64])
 def test_spans_against_brute_force(spark, monkeypatch, bits):
-    monkeypatch.setattr(sentence_spans, "MARK_BITS", bits)
+    monkeypatch.setattr(common, "BITMAP_BITS", bits)
     rnd = random.Random(4)
     word = lambda: rnd.choice("abcdefgh") * rnd.randint(1, 3)
     pool = [" ".join(word() for _ in range(rnd.randint(1, 8))) + rnd.choice([". ", "! ", ".\n", "? ", "\n"]) for _ in range(30)]
@@ -308,6 +310,18 @@ def test_span_query_on_awkward_rows(spark, awkward):
     assert sentence_spans.dedup(docs(spark, [])).collect() == []
 
 
+def test_bitmap_never_misses(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    keys = spark.createDataFrame([(i * 7, None if i % 5 == 0 else f"k{i}") for i in range(200)], "a bigint, b string")
+    rows = spark.createDataFrame([(i, None if i % 35 == 0 else f"k{i // 7}") for i in range(3000)], "a bigint, b string")
+    held = {tuple(r) for r in keys.collect()}
+    for bits, most in ((32 << 20, 210), (4096, 400), (64, 3000)):
+        monkeypatch.setattr(common, "BITMAP_BITS", bits)
+        got = common.maybe_in(rows, common.bitmap(keys, F.col("a"), F.col("b")), F.col("a"), F.col("b")).collect()
+        assert len(got) == 3000 and all(r[2] for r in got if (r[0], r[1]) in held) and sum(r[2] for r in got) <= most
+
+
 # exact top-k
 
 
