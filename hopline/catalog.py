@@ -8,8 +8,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline import catalog_writes
+from hopline import catalog_stored, catalog_writes
 from hopline.functions.vector import embed
+from hopline.graph import Graph
 from hopline.sources.adapters import star_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,8 @@ read("project_node_struct", "match { $r: Region } return { $r }",
 read("project_literal_param", 'match { $r: Region } return { $r.r_name, "x" as tag, 7, $p }',
      "SELECT r_name, 'x' AS tag, 7::BIGINT AS literal, 2.5::DOUBLE AS p FROM region", "$p: F64", {"p": 2.5})
 read("project_now", "match { $r: Region } return { $r.r_name, now() as at }", None)
+read("filter_now", "match { $o: Order  $o.o_orderdate < now()  now() > datetime(\"2024-01-01T00:00:00Z\") } return { $o.o_orderkey }",
+     "SELECT o_orderkey FROM orders WHERE o_orderdate < now()")
 
 # traversals
 read("hop_out", "match { $c: Customer  $c customerIn $n } return { $c.c_custkey, $n.n_name }",
@@ -153,6 +156,7 @@ read("topk", "match { $o: Order } return { $o.o_orderkey, $o.o_totalprice } orde
 read("sort_not_projected", "match { $c: Customer } return { $c.c_name } order { $c.c_acctbal asc, $c.c_custkey } limit 15",
      "SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 15")
 read("limit_only", "match { $c: Customer } return { $c.c_name } limit 7", None)
+read("limit_beyond", "match { $r: Region } return { $r.r_name } limit 100000", "SELECT r_name FROM region")
 
 # text
 read("text_search", 'match { $d: Doc  search($d.text, "The AND") } return { $d.doc_id }',
@@ -227,12 +231,36 @@ read("bm25_type_corpus", 'match { $l: Label { toxic: 1 }  $d hasLabel $l } retur
 read("not_first_var", "match { $a: Nation  $b: Nation  $a.n_regionkey = $b.n_regionkey  not { $a borders $b } } return { $a.n_nationkey as a, $b.n_nationkey as b }",
      f"""WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
         SELECT a, b FROM p WHERE a NOT IN (SELECT p.a FROM p JOIN {BORDERS} e ON p.a = e.a AND p.b = e.b)""")
+# the same over tables with nulls
+DOCS_N = "(SELECT * REPLACE (CASE WHEN doc_id % 3 <> 0 THEN text END AS text, CASE WHEN doc_id % 4 <> 0 THEN lang END AS lang), CASE WHEN doc_id % 5 <> 0 THEN [lang, source] END AS tags FROM documents)"
+EVENTS_N = "(SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN value END AS value, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type) FROM events)"
+VECS_N = "(SELECT * REPLACE (CASE WHEN vec_id % 6 <> 0 THEN embedding END AS embedding) FROM embeddings)"
+read("null_string_ne", 'match { $d: Doc  $d.lang != "en" } return { $d.doc_id, $d.lang }', f"SELECT doc_id, lang FROM {DOCS_N} WHERE lang <> 'en'")
+read("null_inline_match", 'match { $d: Doc { lang: "de" } } return { $d.doc_id }', f"SELECT doc_id FROM {DOCS_N} WHERE lang = 'de'")
+read("null_negated", 'match { $d: Doc  not { $d.lang = "en" } } return { $d.doc_id }', f"SELECT doc_id FROM {DOCS_N} WHERE coalesce(lang <> 'en', true)")
+read("null_list_contains", 'match { $d: Doc  $d.tags contains "de" } return { $d.doc_id }', f"SELECT doc_id FROM {DOCS_N} WHERE list_contains(tags, 'de')")
+read("null_list_negated", 'match { $d: Doc  not { $d.tags contains "de" } } return { $d.doc_id, $d.tags }',
+     f"SELECT doc_id, tags FROM {DOCS_N} WHERE NOT coalesce(list_contains(tags, 'de'), false)")
+for way, first in (("asc", "ASC"), ("desc", "DESC")):
+    read(f"null_sort_{way}", f"match {{ $e: Event  $e.event_id < 60 }} return {{ $e.event_id, $e.value }} order {{ $e.value {way}, $e.event_id }} limit 55",
+         f"SELECT event_id, value FROM {EVENTS_N} WHERE event_id < 60 ORDER BY value {first} NULLS LAST, event_id LIMIT 55")
+read("null_aggregates", "match { $e: Event } return { $e.event_type, count($e) as n, count($e.value) as values, min($e.value) as low, max($e.value) as high }",
+     f"SELECT event_type, count(*) AS n, count(value) AS values, min(value) AS low, max(value) AS high FROM {EVENTS_N} GROUP BY event_type")
+read("null_search", 'match { $d: Doc } return { $d.doc_id, search($d.text, "the") as hit, match_text($d.text, "of the") as phrase, fuzzy($d.text, "stupit") as near }',
+     f"""SELECT doc_id, coalesce(list_contains({TOKENS.format('text')}, 'the'), false) AS hit,
+        coalesce(contains(' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ', ' of the '), false) AS phrase,
+        coalesce(len(list_filter({TOKENS.format('text')}, lambda t: levenshtein(t, 'stupit') <= 2)) > 0, false) AS near FROM {DOCS_N}""")
+read("null_bm25", 'match { $d: Doc } return { $d.doc_id, bm25($d.text, "stupid idiot") as score }', f"SELECT doc_id, score FROM {_bm25(DOCS_N, 'doc_id', 'text', ['idiot', 'stupid'])}")
+read("null_nearest", "match { $v: Vec  $v.vec_id < 40 } return { $v.vec_id, nearest($v.embedding, $q) as distance } order { nearest($v.embedding, $q) } limit 38",
+     f"SELECT vec_id, {_DISTANCE} AS distance FROM {VECS_N} WHERE vec_id < 40 ORDER BY distance NULLS LAST, vec_id LIMIT 38", "$q: Vector(64)", {"q": QUERY_VECTOR})
+read("bm25_beside_rrf", 'match { $d: Doc } return { $d.doc_id, bm25($d.text, "stupid") as a, rrf(bm25($d.text, "stupid"), bm25($d.text, "clown")) as score } order { score desc, $d.doc_id } limit 10',
+     f"SELECT r.doc_id, b.score AS a, r.score FROM ({_rrf(['stupid'], ['clown'], 60)}) r JOIN {_bm25('documents', 'doc_id', 'text', ['stupid'])} b USING (doc_id) ORDER BY score DESC, doc_id")
 #: Options of queries that need other than the default ones.
 OPTIONS = {"rrf_parts": {"ranks": "parts"}, "bm25_type_corpus": {"corpus": "type"}, "not_first_var": {"negation": "first_var"}}
 #: Sums and scores are rounded on both sides: engines add doubles in different orders.
 DIGITS = {
     "agg_sum_avg": {"total": 2, "mean": 4}, "agg_sum_int": {"mean": 6}, "agg_global": {"total": 2},
-    **{n: {"score": 6} for n in READS if n.startswith(("bm25_", "rrf_"))},
+    **{n: {"score": 6} for n in READS if n.startswith(("bm25_", "rrf_", "null_bm25"))}, "bm25_beside_rrf": {"a": 6, "score": 6}, "null_nearest": {"distance": 6},
     "nearest_topk": {"distance": 6}, "nearest_filtered": {"distance": 6}, "nearest_projected": {"distance": 6},
 }
 
@@ -243,12 +271,26 @@ def _rounded(name: str, sql: str) -> str:
     return f"SELECT * REPLACE ({', '.join(f'round({c}, {d}) AS {c}' for c, d in DIGITS[name].items())}) FROM ({sql})"
 
 
+def _with_nulls(g: Graph) -> Graph:
+    """The graph with nulls where the tables have none."""
+
+    def null(kind: str, **when: str) -> None:
+        made = g.node(kind)
+        g.nodes[kind] = made.withColumns({c: F.when(~F.expr(cond), F.col(c)) for c, cond in when.items()})
+
+    null("Doc", text="doc_id % 3 = 0", lang="doc_id % 4 = 0", tags="doc_id % 5 = 0")
+    null("Event", value="event_id % 7 = 0", event_type="event_id % 5 = 0")
+    null("Vec", embedding="vec_id % 6 = 0")
+    return g
+
+
 def _run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, given, _ = READS[name]
-    out = star_graph(spark, sf_dir).query(text, given, **OPTIONS.get(name, {}))
+    graph = star_graph(spark, sf_dir)
+    out = (_with_nulls(graph) if name.startswith("null_") else graph).query(text, given, **OPTIONS.get(name, {}))
     out = out.withColumns({c: F.round(c, d) for c, d in DIGITS.get(name, {}).items()})
     return out.select("r.*") if name == "project_node_struct" else out
 
 
-QUERIES: dict[str, Query] = {name: partial(_run, name=name) for name in READS} | catalog_writes.QUERIES
-ORACLE: dict[str, str] = {name: _rounded(name, sql) for name, (_, _, sql) in READS.items() if sql} | catalog_writes.ORACLE
+QUERIES: dict[str, Query] = {name: partial(_run, name=name) for name in READS} | catalog_writes.QUERIES | catalog_stored.QUERIES
+ORACLE: dict[str, str] = {name: _rounded(name, sql) for name, (_, _, sql) in READS.items() if sql} | catalog_writes.ORACLE | catalog_stored.ORACLE

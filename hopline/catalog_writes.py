@@ -19,7 +19,7 @@ from hopline.plans.lint import lint
 from hopline.plans.migration import diff
 from hopline.plans.parser import parse_queries
 from hopline.plans.schema import DST, ID, SRC, parse_schema
-from hopline.sources import jsonl
+from hopline.sources import jsonl, staging
 from hopline.sources.adapters import STAR, star_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,8 +101,12 @@ def load_resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col(SRC).alias("src"), F.col(DST).alias("dst"))
 
 
+def _staged(rows: DataFrame) -> DataFrame:
+    return L.placed(staging.stage(rows.coalesce(1), "lines"))
+
+
 def _regions(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"{jsonl.LINE} bigint, r_regionkey int, r_name string").coalesce(1)
+    return _staged(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"{jsonl.LINE} bigint, r_regionkey int, r_name string"))
 
 
 @registered("SELECT r_regionkey::BIGINT AS id, r_regionkey, r_name FROM region UNION ALL VALUES (100, 70, 'NORTH'), (101, 71, 'SOUTH')")
@@ -121,14 +125,15 @@ def load_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-    WITH e AS (SELECT DISTINCT n_nationkey AS src, unnest([(n_nationkey + 1) % 25, (3 * n_nationkey + 1) % 25]) AS dst FROM nation)
-    SELECT DISTINCT src::BIGINT AS src, dst::BIGINT AS dst FROM (FROM e UNION ALL VALUES (0, 1), (0, 20), (3, 3))""")
+    WITH e AS (SELECT DISTINCT n_nationkey AS src, unnest([(n_nationkey + 1) % 25, (3 * n_nationkey + 1) % 25]) AS dst FROM nation),
+    new AS (SELECT src, dst, max(id) AS id FROM (VALUES (0, 1, 1000), (0, 20, 1001), (0, 20, 1002), (3, 3, 1003)) AS t(src, dst, id) GROUP BY ALL)
+    SELECT 100 * src::BIGINT + dst AS id, src::BIGINT AS src, dst::BIGINT AS dst FROM e UNION ALL SELECT id::BIGINT, src, dst FROM new WHERE (src, dst) NOT IN (SELECT src, dst FROM e)""")
 def load_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges stay one a pair: repeated pairs of the input and known pairs are merged."""
+    """Edges stay one a pair: of repeated pairs the last stays, a known pair keeps its id."""
     g = star_graph(spark, sf_dir)
-    old = g.edge("Borders")[0].dropDuplicates([SRC, DST])
-    new = spark.createDataFrame([(0, 1, 0), (0, 20, 1), (0, 20, 2), (3, 3, 3)], f"{SRC} bigint, {DST} bigint, {jsonl.LINE} bigint").coalesce(1)
-    return L.merge_edges(g.catalog.edges["Borders"], old, new, 1000).select(F.col(SRC).alias("src"), F.col(DST).alias("dst"))
+    old = g.edge("Borders")[0].dropDuplicates([SRC, DST]).withColumn(ID, 100 * F.col(SRC) + F.col(DST))
+    new = _staged(spark.createDataFrame([(0, 1, 0), (0, 20, 1), (0, 20, 2), (3, 3, 3)], f"{SRC} bigint, {DST} bigint, {jsonl.LINE} bigint"))
+    return L.merge_edges(g.catalog.edges["Borders"], old, new, 1000).select(F.col(ID).alias("id"), F.col(SRC).alias("src"), F.col(DST).alias("dst"))
 
 
 @registered("""
@@ -144,24 +149,53 @@ def cdc_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("""
     SELECT '{"type":"Region","data":{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}}' AS value FROM region
     UNION ALL SELECT '{"type":"Nation","data":{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}}' FROM nation
-    UNION ALL SELECT '{"edge":"InRegion","from":"' || n_nationkey || '","to":"' || n_regionkey || '"}' FROM nation""")
+    UNION ALL SELECT '{"type":"Label","data":{"doc_id":' || doc_id || ',"quality":' || coalesce(quality::VARCHAR, 'null') || ',"toxic":' || coalesce(toxic::VARCHAR, 'null') || '}}' FROM labels
+    UNION ALL SELECT DISTINCT '{"type":"User","data":{"user_id":' || user_id || '}}' FROM events WHERE user_id IS NOT NULL
+    UNION ALL SELECT '{"edge":"InRegion","from":"' || n_nationkey || '","to":"' || n_regionkey || '"}' FROM nation
+    UNION ALL SELECT '{"edge":"Borders","from":"' || n_nationkey || '","to":"' || unnest([(n_nationkey + 1) % 25, (3 * n_nationkey + 1) % 25]) || '"}' FROM nation""")
 def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types without texts and floating numbers, which SQL writes otherwise; ``stored_export`` has all of another graph."""
     g = star_graph(spark, sf_dir)
-    return jsonl.export(g.catalog, {k: g.node(k) for k in ("Region", "Nation")}, {"InRegion": g.edge("InRegion")[0]})
+    return jsonl.export(g.catalog, {k: g.node(k) for k in ("Region", "Nation", "Label", "User")}, {k: g.edge(k)[0] for k in ("InRegion", "Borders")})
+
+
+#: The star graph's tables in SQL: key and rows of each node type; rows, ends and their types of each edge type.
+_NODES = {
+    "Region": ("r_regionkey", "region"), "Nation": ("n_nationkey", "nation"), "Customer": ("c_custkey", "customer"), "Supplier": ("s_suppkey", "supplier"), "Part": ("p_partkey", "part"),
+    "Order": ("o_orderkey", "orders"), "Doc": ("doc_id", "documents"), "Label": ("doc_id", "labels"), "Vec": ("vec_id", "embeddings"), "Event": ("event_id", "events"),
+    "Turn": ("turn_key", "(SELECT conv_id * 1000 + turn AS turn_key FROM conversations)"), "User": ("user_id", "(SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)"),
+}
+_EDGES = {
+    "InRegion": ("SELECT n_nationkey AS s, n_regionkey AS d FROM nation", "Nation", "Region"),
+    "CustomerIn": ("SELECT c_custkey AS s, c_nationkey AS d FROM customer", "Customer", "Nation"),
+    "SupplierIn": ("SELECT s_suppkey AS s, s_nationkey AS d FROM supplier", "Supplier", "Nation"),
+    "Placed": ("SELECT o_custkey AS s, o_orderkey AS d FROM orders", "Customer", "Order"),
+    "Includes": ("SELECT l_orderkey AS s, l_partkey AS d FROM lineitem", "Order", "Part"),
+    "ShippedBy": ("SELECT l_orderkey AS s, l_suppkey AS d FROM lineitem", "Order", "Supplier"),
+    "HasLabel": ("SELECT doc_id AS s, doc_id AS d FROM labels", "Doc", "Label"),
+    "NextTurn": ("SELECT a.turn_key AS s, a.turn_key + 1 AS d FROM (SELECT conv_id * 1000 + turn AS turn_key FROM conversations) a WHERE a.turn_key + 1 IN (SELECT conv_id * 1000 + turn FROM conversations)", "Turn", "Turn"),
+    "Did": ("SELECT user_id AS s, event_id AS d FROM events WHERE user_id IS NOT NULL", "User", "Event"),
+    "Borders": ("SELECT n_nationkey AS s, unnest([(n_nationkey + 1) % 25, (3 * n_nationkey + 1) % 25]) AS d FROM nation", "Nation", "Nation"),
+}
 
 
-@registered("""
-    SELECT 'Includes' AS type, 'repeated pair' AS problem, (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1)) AS n
-    UNION ALL SELECT 'Includes', 'dangling src', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))
-    UNION ALL SELECT 'Placed', 'dangling dst', 0
-    UNION ALL SELECT 'Customer', 'repeated c_custkey', (SELECT count(*) FROM (SELECT 1 FROM customer GROUP BY c_custkey HAVING count(*) > 1))""")
+def _doctor() -> str:
+    parts = []
+    for kind, (key, rows) in _NODES.items():
+        for problem in ("repeated id", f"repeated {key}"):
+            parts.append(f"SELECT '{kind}' AS type, '{problem}' AS problem, (SELECT count(*) FROM (SELECT 1 FROM {rows} GROUP BY {key} HAVING count(*) > 1)) AS n")
+    for kind, (rows, *ends) in _EDGES.items():
+        for problem, c, end in zip(("dangling src", "dangling dst"), "sd", ends):
+            key, there = _NODES[end]
+            parts.append(f"SELECT '{kind}', '{problem}', (SELECT count(*) FROM ({rows}) WHERE {c} NOT IN (SELECT {key} FROM {there}))")
+        parts.append(f"SELECT '{kind}', 'repeated pair', (SELECT count(*) FROM (SELECT 1 FROM ({rows}) GROUP BY s, d HAVING count(*) > 1))")
+    return " UNION ALL ".join(parts)
+
+
+@registered(_doctor())
 def doctor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = star_graph(spark, sf_dir).validate()
-    wanted = (("Includes", "repeated pair"), ("Includes", "dangling src"), ("Placed", "dangling dst"), ("Customer", "repeated c_custkey"))
-    cond = F.lit(False)
-    for kind, problem in wanted:
-        cond |= (F.col("type") == kind) & (F.col("problem") == problem)
-    return found.filter(cond)
+    """Every kind of damage of every type, counted."""
+    return star_graph(spark, sf_dir).validate()
 
 
 _BROKEN = {
@@ -176,6 +210,18 @@ _BROKEN = {
     "match { $a: Region  not { $x inRegion $y } } return { 1 }": "T9",
     "match { $a: Turn  $a nextTurn{1,} $b } return { 1 }": "T15",
     "match { $v: Vec } return { $v.vec_id } order { nearest($v.embedding, \"x\") }": "T17",
+    "match { $v: Vec } return { $v.vec_id as i } order { i, nearest($v.embedding, \"x\") } limit 3": "T18",
+    "match { $p: Part  search($p.p_size, \"x\") } return { 1 }": "T19",
+    "match { $p: Part } return { bm25($p.p_size, \"x\") }": "T20",
+    "match { $p: Part } return { rrf(bm25($p.p_name, \"x\"), bm25($p.p_name, \"y\"), 0) as s } order { s desc } limit 2": "T21",
+    "insert Nowhere { a: 1 }": "T10",
+    "update Region set { r_regionkey: 1 } where r_name = \"x\"": "T10",
+    "insert Region { r_regionkey: 1, r_name: \"x\", size: 1 }": "T11",
+    "insert Region { r_regionkey: 1 }": "T12",
+    "insert Placed { from: \"1\" }": "T12",
+    "update Region set { r_name: \"x\", r_name: \"y\" } where r_regionkey = 1": "T13",
+    "update Region set { r_name: $n } where r_regionkey = 1": "T14",
+    "update Placed set { from: \"x\" } where to = \"1\"": "T16",
 }
 
 
@@ -202,6 +248,15 @@ def migrate_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s.kind, s.type, s.safety) for s in diff(parse_schema(STAR), parse_schema(new))], "kind string, type string, safety string")
 
 
+@registered("SELECT count(*) AS n, count(*) AS known FROM (SELECT c_custkey FROM customer LIMIT 7)")
+def limit_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a limit without an order gives, and how many of them are customers."""
+    g = star_graph(spark, sf_dir)
+    some = g.query("query q() { match { $c: Customer } return { $c.c_custkey } limit 7 }")
+    known = some.join(g.node("Customer").select(F.col("c_custkey").alias("k")), F.col("c_custkey") == F.col("k"), "left")
+    return known.agg(F.count("*").alias("n"), F.count("k").alias("known"))
+
+
 @registered(None)
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(json.dumps(star_graph(spark, sf_dir).catalog.describe()),)], "catalog string")
