@@ -14,7 +14,7 @@ from hopline.llm.queries import digest_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no base rule, from hosts that are not rejected."""
+    """Documents that fail no base rule and none that counts at their host, from hosts that are not rejected."""
     return quality_rules.keep_good(docs)
 
 
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
-        docs = common.stage(function(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, common.stage(function(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        common.drop(before)  # nothing reads it any more
     return STAGES[-1][1](spark, docs, sf_dir)
