@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from hopline.operators.bindings import Rows, key, scan
 from hopline.plans.schema import DST, ID, SRC
+from hopline.sources import staging
 
 FROM, TO = "__from", "__to"
+#: Steps of a bounded walk whose levels are one lazy plan.
+LAZY_HOPS = 3
 
 
 def pairs(edges: DataFrame, out: bool, distinct: bool) -> DataFrame:
@@ -23,7 +26,9 @@ def reach(step: DataFrame, low: int, high: int, origins: DataFrame | None) -> Da
 
     Each level keeps distinct pairs, so a node counts once per origin and
     level but may come back at a later one, the origin included.  Only walks
-    from ``origins`` (a column of ids) are followed.
+    from ``origins`` (a column of ids) are followed.  Beyond ``LAZY_HOPS``
+    steps a level is staged before the next one is made from it; else the
+    union of levels would make each of them again for every later one.
     """
     if low == high == 1:
         return step
@@ -32,6 +37,10 @@ def reach(step: DataFrame, low: int, high: int, origins: DataFrame | None) -> Da
     found = []
     for hop in range(1, high + 1):
         if hop > 1:
+            if hop > LAZY_HOPS and staging.available(step.sparkSession):
+                level = staging.stage(level, "level")
+                if found:
+                    found[-1] = level
             level = level.join(then, level[TO] == then["__mid"]).select(FROM, F.col("__next").alias(TO)).distinct()
         if hop >= low:
             found.append(level)

@@ -19,8 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
+    if not available(spark):
         raise StoreError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     named = tempfile.mkdtemp(prefix="hopline-")
     atexit.register(shutil.rmtree, named, ignore_errors=True)
@@ -28,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def available(spark: SparkSession) -> bool:
+    """Whether there is a shared folder to stage in."""
+    master = spark.sparkContext.master
+    return spark.conf.get("spark.checkpoint.dir", None) is not None or master == "local" or master.startswith("local[")
+
+
 def own_dir(spark: SparkSession) -> str:
     """This application's part of the shared folder; deleted when the driver ends."""
     path = f"{shared_dir(spark)}/hopline-{spark.sparkContext.applicationId}"

@@ -496,3 +496,16 @@ def test_errors_name_their_rule(rail):
     with pytest.raises(CheckError) as e:
         rail.run("query q() { match { $s: Tunnel } return { $s.code } }")
     assert e.value.code == "T1"
+
+
+def test_long_walks(own_rail):
+    """Staged levels: a ring of seven and a tail, up to nine steps."""
+    ring = [f"r{i}" for i in range(7)]
+    own_rail.load([node("Stop", code=c) for c in ring + ["t1", "t2"]] + [edge("Track", a, b) for a, b in zip(ring, ring[1:] + ring[:1])] + [edge("Track", "r6", "t1"), edge("Track", "t1", "t2")])
+    steps = {a: [b for x, b in [*zip(ring, ring[1:] + ring[:1]), ("r6", "t1"), ("t1", "t2")] if x == a] for a in ring + ["t1", "t2"]}
+    for low, high in ((1, 4), (3, 5), (5, 5), (2, 9)):
+        level, want = {"r3"}, set()
+        for hop in range(1, high + 1):
+            level = {b for a in level for b in steps[a]}
+            want |= level if hop >= low else set()
+        assert names(own_rail, f'match {{ $a: Stop {{ code: "r3" }}  $a track{{{low},{high}}} $b }} return {{ $b.code }}') == sorted(want)
