@@ -27,15 +27,21 @@ class Statistics:
     held: dict[str, str]  # column of each term
 
 
-def statistics(rows: DataFrame, field: Column, terms: list[str], label: str) -> Statistics:
+def statistics(rows: DataFrame, field: Column, terms: list[str], label: str, stored: Column | None = None) -> Statistics:
     """The texts that are not null, their mean length, and how many hold each term: one aggregation to one row."""
     held = {t: f"__df{label}_{i}" for i, t in enumerate(terms)}
     mean, n = f"__mean{label}", f"__n{label}"
-    row = rows.agg(F.count(field).alias(n), F.avg(token_count(field)).alias(mean), *[F.count(F.when(times(field, t) > 0, 1)).alias(c) for t, c in held.items()])
+    row = rows.agg(
+        F.count(field if stored is None else stored).alias(n),
+        F.avg(token_count(field, stored)).alias(mean),
+        *[F.count(F.when(times(field, t, stored) > 0, 1)).alias(c) for t, c in held.items()],
+    )
     return Statistics(row, mean, n, held)
 
 
-def bm25(df: DataFrame, field: Column, queries: dict[str, str], corpus: tuple[DataFrame, Column] | None = None, label: str = "") -> DataFrame:
+def bm25(
+    df: DataFrame, field: Column, queries: dict[str, str], corpus: tuple[DataFrame, Column, Column | None] | None = None, label: str = "", stored: Column | None = None
+) -> DataFrame:
     """Add for each name of ``queries`` the BM25 score of ``field`` among the rows of ``df`` (or of ``corpus``).
 
     The statistics of all queries are one aggregation, which is joined back by
@@ -46,11 +52,12 @@ def bm25(df: DataFrame, field: Column, queries: dict[str, str], corpus: tuple[Da
     terms = sorted({t for own in asked.values() for t, _ in own})
     if not terms:
         return df.withColumns({out: F.lit(0.0) for out in queries})
-    stats = statistics(*(corpus or (df, field)), terms, label)
-    own = df.withColumns({f"__tf{label}_{i}": times(field, t).cast("double") for i, t in enumerate(terms)})
+    rows, text, tokens = corpus or (df, field, stored)
+    stats = statistics(rows, text, terms, label, tokens)
+    own = df.withColumns({f"__tf{label}_{i}": times(field, t, stored).cast("double") for i, t in enumerate(terms)})
     tf = {t: F.col(f"__tf{label}_{i}") for i, t in enumerate(terms)}
     some = reduce(Column.__or__, [c > 0 for c in tf.values()])
-    joined = own.withColumn(f"__size{label}", F.when(some, token_count(field))).join(F.broadcast(stats.row))
+    joined = own.withColumn(f"__size{label}", F.when(some, token_count(field, stored))).join(F.broadcast(stats.row))
     mean = F.col(stats.mean)
     norm = F.when(mean > 0, K1 * (1 - B + B * F.col(f"__size{label}") / mean)).otherwise(F.lit(K1))
     scores = {}

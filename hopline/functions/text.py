@@ -37,8 +37,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded, BETWEEN), lambda t: t != "")
 
 
-def count(text: Column) -> Column:
-    """The number of tokens, without making them."""
+#: Prefix of a column that holds the tokens of a text, in order, so that queries need not cut it.
+STORED = "__tokens_"
+
+
+def count(text: Column, stored: Column | None = None) -> Column:
+    """The number of tokens, without making them; null for null."""
+    if stored is not None:
+        return F.when(stored.isNotNull(), F.size(stored))
     return F.regexp_count(text, F.lit(r"[\p{IsAlphabetic}\p{N}]+"))
 
 
@@ -47,8 +53,11 @@ def may_hold(text: Column, token: str) -> Column:
     return F.contains(F.lower(text), F.lit(token)) if token.isascii() else F.lit(True)
 
 
-def times(text: Column, token: str) -> Column:
+def times(text: Column, token: str, stored: Column | None = None) -> Column:
     """How often a token stands in the text; 0 for null."""
+    if stored is not None:
+        held = F.size(F.filter(stored, lambda t: t == token))
+        return F.when(F.array_contains(stored, token), held).otherwise(0)
     own = F.size(F.filter(tokens(text), lambda t: t == token))
     return F.when(may_hold(text, token), own).otherwise(0)
 
@@ -65,33 +74,41 @@ def _may_hold_all(text: Column, asked: list[str]) -> Column:
     return reduce(Column.__and__, [may_hold(text, t) for t in asked])
 
 
-def search(field: Column, query: str | Column) -> Column:
-    """Whether the field has every token of the query; false for nulls and empty queries."""
-    own = tokens(field)
+def search(field: Column, query: str | Column, stored: Column | None = None) -> Column:
+    """Whether the field has every token of the query; false for nulls and empty queries.
+
+    With ``stored`` tokens the field itself isn't read, here and below.
+    """
+    own = tokens(field) if stored is None else stored
     if isinstance(query, Column):
         asked = tokens(query)
         return _sure((F.size(asked) > 0) & (F.size(F.array_except(asked, own)) == 0))
     asked = sorted(set(tokens_of(query or "")))
     if not asked:
         return F.lit(False)
+    if stored is not None:
+        return _sure(reduce(Column.__and__, [F.array_contains(stored, t) for t in asked]))
     held = F.size(F.array_intersect(own, F.array(*map(F.lit, asked)))) == len(asked)
     return _sure(F.when(_may_hold_all(field, asked), held))
 
 
-def match_text(field: Column, query: str | Column) -> Column:
+def match_text(field: Column, query: str | Column, stored: Column | None = None) -> Column:
     """Whether the query's tokens stand in the field one after the other."""
 
     def padded(own: Column) -> Column:
         return F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
 
-    own = padded(tokens(field))
+    own = padded(tokens(field) if stored is None else stored)
     if isinstance(query, Column):
         asked = tokens(query)
         return _sure((F.size(asked) > 0) & F.contains(own, padded(asked)))
     asked = tokens_of(query or "")
     if not asked:
         return F.lit(False)
-    return _sure(F.when(_may_hold_all(field, asked), F.contains(own, F.lit(f" {' '.join(asked)} "))))
+    phrase = F.contains(own, F.lit(f" {' '.join(asked)} "))
+    if stored is not None:
+        return _sure(F.when(reduce(Column.__and__, [F.array_contains(stored, t) for t in sorted(set(asked))]), phrase))
+    return _sure(F.when(_may_hold_all(field, asked), phrase))
 
 
 def _near(own: Column, token: str, edits: int) -> Column:
@@ -99,9 +116,9 @@ def _near(own: Column, token: str, edits: int) -> Column:
     return F.exists(own, lambda f: F.levenshtein(f, F.lit(token), edits) >= 0)
 
 
-def fuzzy(field: Column, query: str | Column, edits: int | None = None) -> Column:
+def fuzzy(field: Column, query: str | Column, edits: int | None = None, stored: Column | None = None) -> Column:
     """Whether each token of the query is within its edits of some token of the field."""
-    own = tokens(field)
+    own = tokens(field) if stored is None else stored
     if isinstance(query, Column):
         asked = tokens(query)
 

@@ -44,6 +44,8 @@ class Graph:
     names the edge types whose tables hold each (source, target) once, which
     spares queries a shuffle; the store's tables all do.  A table may be given
     as a function that makes it, which is called when a query first needs it.
+    ``stored_tokens`` names properties (by node type) whose tokens the table
+    holds beside them.
     """
 
     def __init__(
@@ -54,11 +56,13 @@ class Graph:
         edges: dict[str, DataFrame | Callable[[], DataFrame]] | None = None,
         distinct_edges: set[str] | None = None,
         embedder: Callable[[str, int], list[float]] | None = None,
+        stored_tokens: dict[str, set[str]] | None = None,
     ):
         self.spark = spark
         self.catalog = parse_schema(catalog) if isinstance(catalog, str) else catalog
         self.nodes, self.edges = dict(nodes or {}), dict(edges or {})
         self.distinct = set(self.edges) if distinct_edges is None else set(distinct_edges)
+        self.stored_tokens = stored_tokens or {}
         self.embedder = embedder or (lambda text, dim: embed(text, dim, "query"))
 
     def node(self, kind: str) -> DataFrame:
@@ -132,7 +136,7 @@ class Graph:
         checked = check(self.catalog, q)
         if dangling == "error":
             self._sure_of_ends({w.edge for w in checked.walks.values()})
-        scope = Scope(checked, bind_params(q, params), now or utc_now(), self.embedder)
+        scope = Scope(checked, bind_params(q, params), now or utc_now(), self.embedder, self.stored_tokens)
         rows = Matcher(self, scope, negation).run(q.match, checked.bindings)
         return Tail(self, scope, rows, corpus, ranks).run()
 

@@ -23,8 +23,14 @@ from hopline.plans.values import column, literal
 class Scope:
     """Expressions of one query: parameter values, the time, and the types of variables."""
 
-    def __init__(self, checked: Checked, values: dict, now, embed: Callable[[str, int], list[float]]):
-        self.checked, self.values, self.now, self.embed = checked, values, now, embed
+    def __init__(self, checked: Checked, values: dict, now, embed: Callable[[str, int], list[float]], stored: dict[str, set[str]] | None = None):
+        self.checked, self.values, self.now, self.embed, self.stored = checked, values, now, embed, stored or {}
+
+    def tokens(self, e: A.Expr, bound: dict[str, str]) -> Column | None:
+        """The stored tokens of a property, if its type's table holds them."""
+        if isinstance(e, A.Access) and e.prop in self.stored.get(bound.get(e.var, ""), ()):
+            return ref(e.var, f"{text_fn.STORED}{e.prop}")
+        return None
 
     def constant(self, e: A.Expr):
         """(whether it is one, its Python value) for literals, parameters and now()."""
@@ -52,16 +58,17 @@ class Scope:
         field = self.column(e.args[0], bound)[0]
         known, value = self.constant(e.args[1])
         query = value if known else self.column(e.args[1], bound)[0]
+        stored = self.tokens(e.args[0], bound)
         if e.name == "search":
-            return text_fn.search(field, query)
+            return text_fn.search(field, query, stored)
         if e.name == "match_text":
-            return text_fn.match_text(field, query)
+            return text_fn.match_text(field, query, stored)
         edits = None
         if len(e.args) == 3:
             known, edits = self.constant(e.args[2])
             if not known or edits is not None and edits < 0:
                 raise ValueError("fuzzy() needs a constant number of edits, 0 or more")
-        return text_fn.fuzzy(field, query, edits)
+        return text_fn.fuzzy(field, query, edits, stored)
 
     def asked(self, e: A.Call, bound: dict[str, str]) -> list[float]:
         """The vector that nearest() compares with; a text is embedded, on the driver, as a query."""
@@ -208,7 +215,7 @@ class Matcher:
             kind = rows.vars[outer[0]]
             seed = scan(self.graph.node(kind), outer[0], kind)
         else:  # only from what the match has reached
-            held = [name(v, c) for v in outer for c in (ID, *self.graph.props(rows.vars[v]))]
+            held = [name(v, c) for v in outer for c in (ID, *self.graph.props(rows.vars[v]), *(f"{text_fn.STORED}{p}" for p in sorted(self.scope.stored.get(rows.vars[v], ()))))]
             seed = Rows(rows.df.select(*[f"`{c}`" for c in held]).dropDuplicates([name(v, ID) for v in outer]), {v: rows.vars[v] for v in outer})
         hits = self.run(n.clauses, bound, seed).df
         hits = hits.select(*[key(v).alias(f"__hit{i}") for i, v in enumerate(keys)]).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopline.functions import rank
+from hopline.functions.text import STORED
 from hopline.operators.bindings import Rows, key, name
 from hopline.operators.match import Scope
 from hopline.plans import ast as A
@@ -60,9 +61,11 @@ class Tail:
             queries[self.scores[call]] = query
         corpus = None
         if self.corpus == "type" and isinstance(e.args[0], A.Access):
-            corpus = (self.graph.node(self.bound()[e.args[0].var]), F.col(f"`{e.args[0].prop}`"))
-        field = self.scope.column(e.args[0], self.bound())[0]
-        self.df = rank.bm25(self.df, field, queries, corpus, str(len(self.scores)))
+            kind, prop = self.bound()[e.args[0].var], e.args[0].prop
+            tokens = F.col(f"`{STORED}{prop}`") if prop in self.scope.stored.get(kind, ()) else None
+            corpus = (self.graph.node(kind), F.col(f"`{prop}`"), tokens)
+        field, stored = self.scope.column(e.args[0], self.bound())[0], self.scope.tokens(e.args[0], self.bound())
+        self.df = rank.bm25(self.df, field, queries, corpus, str(len(self.scores)), stored)
 
     def bm25_calls(self) -> list[A.Call]:
         """Every bm25() that the query returns or orders by, those inside rrf() too."""

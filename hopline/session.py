@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hopline.errors import HoplineError, LoadError, StoreError
+from hopline.functions.text import STORED, tokens
 from hopline.graph import Graph, bind_params, utc_now
 from hopline.operators import load as L
 from hopline.operators import mutate as M
@@ -65,8 +66,9 @@ class GraphSession:
         """The tables of a version; the graph keeps it, whatever is written later."""
         m = self.store.manifest(version)
         catalog = m.catalog
-        tables = {k: partial(self.store.table, m, k) for k in m.tables}
-        return Graph(self.spark, catalog, {k: t for k, t in tables.items() if k in catalog.nodes}, {k: t for k, t in tables.items() if k in catalog.edges})
+        tables = {k: partial(self.store.table, m, k, True) for k in m.tables}
+        stored = {k: set(props) for k, props in m.tokens.items()}
+        return Graph(self.spark, catalog, {k: t for k, t in tables.items() if k in catalog.nodes}, {k: t for k, t in tables.items() if k in catalog.edges}, stored_tokens=stored)
 
     def check(self, text: str) -> dict[str, Checked | HoplineError]:
         return self.graph().check(text)
@@ -126,7 +128,10 @@ class GraphSession:
         for kind, df in [*tables.items(), *added.items()]:
             owner = catalog.nodes.get(kind) or catalog.edges[kind]
             ordered = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in owner.schema()])
-            folder = self.store.write(ordered, f"tables/{kind}")
+            indexed = [p.name for p in owner.props.values() if p.index and p.type.scalar == "String" and not p.type.list] if kind in catalog.nodes else []
+            folder = self.store.write(ordered.withColumns({f"{STORED}{p}": tokens(F.col(f"`{p}`")) for p in indexed}), f"tables/{kind}")
+            if kind in tables or kind not in base.tables:
+                m.tokens[kind] = indexed
             written = self.store.rows(m, kind, folder)
             old, known = None, 0
             if kind in added:
@@ -139,7 +144,7 @@ class GraphSession:
             entity = "node" if kind in catalog.nodes else "edge"
             logs.append(L.diff(kind, entity, m.version, old, written, catalog.nodes[kind].key if entity == "node" else None))
         for kind in drop:
-            m.tables.pop(kind, None), m.rows.pop(kind, None)
+            m.tables.pop(kind, None), m.rows.pop(kind, None), m.tokens.pop(kind, None)
         if logs and schema is None:
             m.changes.append(self.store.write(reduce(DataFrame.unionByName, logs), "changes"))
         m.next_node = base.next_node if next_node is None else next_node
@@ -355,9 +360,10 @@ class GraphSession:
                 continue
             owner = base.catalog.nodes.get(kind) or base.catalog.edges[kind]
             key = ID if kind in base.catalog.nodes else SRC
-            table = self.store.table(base, kind)
+            table = self.store.table(base, kind, True)
             # sorted ranges: key lookups then prune files and row groups by their bounds
-            m.tables[kind] = [self.store.write(table.repartitionByRange(files, key).sortWithinPartitions(key).select(*[f"`{f.name}`" for f in owner.schema()]), f"tables/{kind}")]
+            columns = [*(f.name for f in owner.schema()), *(f"{STORED}{p}" for p in m.tokens.get(kind, ()))]
+            m.tables[kind] = [self.store.write(table.repartitionByRange(files, key).sortWithinPartitions(key).select(*[f"`{c}`" for c in columns]), f"tables/{kind}")]
             out[kind] = files
         if m.tables != base.tables:
             self.store.publish(m, base.version)

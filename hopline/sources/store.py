@@ -19,8 +19,10 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from hopline.errors import StoreError
+from hopline.functions.text import STORED
 from hopline.plans.schema import Catalog, parse_schema
 
 CHANGES = "graph_version bigint, change_kind string, entity_kind string, type_name string, entity_id bigint, logical_key string, row string"
@@ -39,6 +41,7 @@ class Manifest:
     rows: dict[str, int] = field(default_factory=dict)
     changes: list[str] = field(default_factory=list)  # folders of change rows, oldest first
     changed: list[str] = field(default_factory=list)  # types that this version wrote
+    tokens: dict[str, list[str]] = field(default_factory=dict)  # node type to the properties whose tokens all its folders hold
 
     @property
     def catalog(self) -> Catalog:
@@ -131,15 +134,18 @@ class Store:
             raise StoreError(f"version {version} is gone")
         return Manifest(**json.loads(self.read_text(f"manifests/{version}.json")))
 
-    def table(self, m: Manifest, kind: str) -> DataFrame | None:
-        """The rows of a type in a version; nothing if none were ever written."""
+    def table(self, m: Manifest, kind: str, tokens: bool = False) -> DataFrame | None:
+        """The rows of a type in a version, on demand with their stored tokens; nothing if none were ever written."""
         if kind not in m.tables:
             return None
         catalog = m.catalog
         owner = catalog.nodes.get(kind) or catalog.edges[kind]
         if m.version < self.current() and not all(map(self.exists, m.tables[kind])):
             raise StoreError(f"the rows of {kind} in version {m.version} are gone")
-        return self.spark.read.schema(owner.schema()).parquet(*[f"{self.path}/{folder}" for folder in m.tables[kind]])
+        schema = owner.schema()
+        for prop in m.tokens.get(kind, ()) if tokens else ():
+            schema = schema.add(f"{STORED}{prop}", T.ArrayType(T.StringType()))
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{folder}" for folder in m.tables[kind]])
 
     def files(self, m: Manifest, kind: str) -> list[int]:
         """The sizes of a table's files."""

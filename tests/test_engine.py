@@ -509,3 +509,26 @@ def test_long_walks(own_rail):
             level = {b for a in level for b in steps[a]}
             want |= level if hop >= low else set()
         assert names(own_rail, f'match {{ $a: Stop {{ code: "r3" }}  $a track{{{low},{high}}} $b }} return {{ $b.code }}') == sorted(want)
+
+
+def test_tokens_are_stored_and_texts_not_read(spark, capsys):
+    g = GraphSession.in_memory(spark, "node Recipe { key: String @key  title: String? @index  steps: String? }")
+    g.load([node("Recipe", key=k, title=t, steps=t) for k, t in RECIPES.items()])
+    g.load([node("Recipe", key="t", title="Rum, rum & more plum")], "append")
+    assert g.store.manifest().tokens == {"Recipe": ["title"]}
+    g.compact()
+    assert g.store.manifest().tokens == {"Recipe": ["title"]} and "__tokens_title" not in g.changes().first()["row"]
+    for test in ('search({0}, "plum RUM")', 'match_text({0}, "rum plum")', 'fuzzy({0}, "braeds")', "search({0}, $r.key)", 'search({0}, "")'):
+        stored, cut = (names(g, f"match {{ $r: Recipe  {test.format(p)} }} return {{ $r.key }}") for p in ("$r.title", "$r.steps"))
+        assert [k for k in stored if k != "t"] == cut
+    body = 'match { $r: Recipe  not { $x: Recipe  $x.key != $r.key  search($x.title, "bread")  search($r.title, "rum") } } return { $r.key }'
+    assert names(g, body) == ["r", "s"]
+    scores = rows(g, 'match { $r: Recipe  $r.key != "t" } return { $r.key, bm25($r.title, "plum rum rum") as a, bm25($r.steps, "plum rum rum") as b }')
+    assert all(a == pytest.approx(b) for _, a, b in scores) and sum(a > 0 for _, a, _ in scores) == 2
+    g.run('query q() { match { $r: Recipe  search($r.title, "rum") } return { $r.key, bm25($r.title, "rum") as s } }').explain()
+    plan = capsys.readouterr().out
+    assert "__tokens_title" in plan and "title:string" not in plan.replace("__tokens_title", "")
+    g.run('query q() { update Recipe set { title: "tea" } where key = "p" }')
+    assert names(g, 'match { $r: Recipe  search($r.title, "tea") } return { $r.key }') == ["p"]
+    g.migrate("node Recipe { key: String @key  title: String?  steps: String? @index }", confirm=True)
+    assert g.store.manifest().tokens == {"Recipe": ["steps"]} and names(g, 'match { $r: Recipe  search($r.steps, "bread") } return { $r.key }') == ["r"]
