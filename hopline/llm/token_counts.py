@@ -28,7 +28,7 @@ from hopline.llm import common
 
 #: Code points of a window and of the first overlap tried.
 WINDOW, OVERLAP = 16_384, 512
-#: Windows of one text that are encoded before their tokens are spliced.
+#: What a blank is inside the pieces.
 MARK = "▁"
 
 

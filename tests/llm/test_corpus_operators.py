@@ -626,6 +626,43 @@ def test_training_lowers_the_loss_and_scores_are_those_of_all_pairs():
     assert loss < 0.2 < np.log(2)
 
 
+# columns that clash, and empty tables
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    import public_tokenizers as P
+
+    from hopline.llm import byte_bpe, secret_scan, token_counts
+
+    df = docs(spark)
+    model, ranks = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.tiktoken")
+    cases = {
+        "count": (lambda x: token_counts.count(x, model), ["n_bytes", "N_Tokens", "over_limit"]),
+        "scan": (secret_scan.scan, ["Spans"]),
+        "encode": (lambda x: byte_bpe.encode(x, ranks, P.PATTERN, decoded="decoded"), ["Token_ids", "decoded"]),
+        "prints": (simhash.fingerprints, ["Fingerprint"]),
+    }
+    for name, (run, added) in cases.items():
+        plain, mine = run(df), run(clashing(df, *added))
+        assert [c for c in mine.columns if c != "extra"] == plain.columns and "extra" in mine.columns, name
+        key = lambda r: (str(r.doc_id), len(r.text or ""), str(r.text)[:99])
+        assert sorted(map(str, mine.drop("extra", "text").collect())) == sorted(map(str, plain.drop("text").collect())), (name, key)
+        assert run(clashing(df, *added).limit(0)).collect() == []
+    prints = common.stage(simhash.fingerprints(df).drop("text"), "prints")
+    plain, mine = simhash.classes(prints), simhash.classes(clashing(prints, "Cluster", "component_ID"))
+    assert sorted(map(str, mine.drop("extra").collect())) == sorted(map(str, plain.collect())) and plain.count() == len(AWKWARD)
+    assert simhash.classes(prints.limit(0)).collect() == []
+
+
+def test_mixture_of_equal_rows(spark):
+    """Rows alike in all: of those at the end of a quota as many pass as fit, and the whole is that of distinct rows."""
+    rows = [(1, "a b c", "en", "small", 1)] * 40 + [(i, "a b c", "en", "big", 1) for i in range(100, 400)]
+    out = mixing.mix(docs(spark, rows), max_repeats=2.0).collect()
+    by = Counter((r.source, r.epoch) for r in out)
+    assert by["big", 1] == 300 and by["small", 1] == 40 and sum(n for (s, _), n in by.items() if s == "small") <= 80
+    assert [r for r in out if not 1 <= r.epoch <= 3] == []
+
+
 # pipeline
 
 
