@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from hopline.llm import common
 
 #: Bytes of text in a step, and words that a task remembers at most (beyond those of one step).
-BLOCK_BYTES, MEMO_WORDS = 4 << 20, 400_000
+BLOCK_BYTES, MEMO_WORDS = 2 << 20, 250_000
 
 
 class WordIds(dict):

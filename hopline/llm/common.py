@@ -27,7 +27,7 @@ _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(
 
 #: Rows that the Parquet reader and the way to Python hold at once, for rows that carry whole texts; Spark's own
 #: defaults are meant for narrow rows, and a batch of them can take a large part of an executor.
-BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048")}
+BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "256"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024")}
 
 
 def small_batches(spark: SparkSession) -> None:
