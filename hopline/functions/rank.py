@@ -31,10 +31,14 @@ def statistics(rows: DataFrame, field: Column, terms: list[str], label: str, sto
     """The texts that are not null, their mean length, and how many hold each term: one aggregation to one row."""
     held = {t: f"__df{label}_{i}" for i, t in enumerate(terms)}
     mean, n = f"__mean{label}", f"__n{label}"
+    low = None
+    if stored is None:  # one lower-case text for all terms
+        rows, low = rows.select(field.alias("__text"), F.lower(field).alias("__low")), F.col("__low")
+        field = F.col("__text")
     row = rows.agg(
         F.count(field if stored is None else stored).alias(n),
         F.avg(token_count(field, stored)).alias(mean),
-        *[F.count(F.when(times(field, t, stored) > 0, 1)).alias(c) for t, c in held.items()],
+        *[F.count(F.when(times(field, t, stored, low) > 0, 1)).alias(c) for t, c in held.items()],
     )
     return Statistics(row, mean, n, held)
 
@@ -54,7 +58,9 @@ def bm25(
         return df.withColumns({out: F.lit(0.0) for out in queries})
     rows, text, tokens = corpus or (df, field, stored)
     stats = statistics(rows, text, terms, label, tokens)
-    own = df.withColumns({f"__tf{label}_{i}": times(field, t, stored).cast("double") for i, t in enumerate(terms)})
+    low = None if stored is not None else F.col(f"__low{label}")
+    own = df if low is None else df.withColumn(f"__low{label}", F.lower(field))
+    own = own.withColumns({f"__tf{label}_{i}": times(field, t, stored, low).cast("double") for i, t in enumerate(terms)})
     tf = {t: F.col(f"__tf{label}_{i}") for i, t in enumerate(terms)}
     some = reduce(Column.__or__, [c > 0 for c in tf.values()])
     joined = own.withColumn(f"__size{label}", F.when(some, token_count(field, stored))).join(F.broadcast(stats.row))
@@ -68,7 +74,7 @@ def bm25(
             idf = F.log(1 + (n - held + 0.5) / (held + 0.5))
             score = score + F.when(tf[term] > 0, idf * (tf[term] * (K1 + 1) / (tf[term] + norm)) * repeats).otherwise(0.0)
         scores[out] = F.coalesce(score, F.lit(0.0))
-    return joined.withColumns(scores).drop(f"__size{label}", stats.n, stats.mean, *stats.held.values(), *[f"__tf{label}_{i}" for i in range(len(terms))])
+    return joined.withColumns(scores).drop(f"__low{label}", f"__size{label}", stats.n, stats.mean, *stats.held.values(), *[f"__tf{label}_{i}" for i in range(len(terms))])
 
 
 #: Steps of a score that share a bucket, and node ids that share a slice, when positions are counted in parts.
@@ -110,24 +116,26 @@ ONE_SEQUENCE_BYTES = 64 << 20
 
 
 def in_parts(df: DataFrame, columns: list[str]) -> bool:
-    """Whether the optimiser expects more rows than one task should sort; it guesses high, never by running anything."""
+    """Whether the optimiser expects more rows than one task should sort; it guesses high, never by running anything.
+
+    To be asked of the matched rows, before one-row statistics are joined,
+    which it takes for a product.
+    """
     plan = df.select(*[f"`{c}`" for c in columns])._jdf.queryExecution().optimizedPlan()
     return int(str(plan.stats().sizeInBytes())) > ONE_SEQUENCE_BYTES
 
 
-def rrf(df: DataFrame, ranks: list[tuple[str, bool]], ties: list[str], k: int, out: str, parts: bool | None = None) -> DataFrame:
+def rrf(df: DataFrame, ranks: list[tuple[str, bool]], ties: list[str], k: int, out: str, parts: bool = False) -> DataFrame:
     """Add ``out``: the sum of 1 / (k + position) over the score columns ``ranks`` (name, descending).
 
     A position is that among all rows, equal scores in the order of the
     columns ``ties``.  With ``parts`` it is counted in parts (see
-    ``positions``), without it is a row number over one sorted sequence; by
-    default the expected size of the rows decides.
+    ``positions``), without it is a row number over one sorted sequence; see
+    ``in_parts`` for which to choose.
     """
     if k <= 0:
         raise ValueError("rrf() needs a k above 0")
     total = F.lit(0.0)
-    if parts is None:
-        parts = in_parts(df, [*ties, *[name for name, _ in ranks]])
     for i, (name, down) in enumerate(ranks):
         sure = F.when(F.col(name).isNull(), F.raise_error(F.lit("rrf(): a rank score is null")).cast("double")).otherwise(F.col(name))
         df = df.withColumn(name, sure)

@@ -53,13 +53,14 @@ def may_hold(text: Column, token: str) -> Column:
     return F.contains(F.lower(text), F.lit(token)) if token.isascii() else F.lit(True)
 
 
-def times(text: Column, token: str, stored: Column | None = None) -> Column:
-    """How often a token stands in the text; 0 for null."""
+def times(text: Column, token: str, stored: Column | None = None, low: Column | None = None) -> Column:
+    """How often a token stands in the text; 0 for null.  ``low`` is the text in lower case, where it is at hand."""
     if stored is not None:
         held = F.size(F.filter(stored, lambda t: t == token))
         return F.when(F.array_contains(stored, token), held).otherwise(0)
     own = F.size(F.filter(tokens(text), lambda t: t == token))
-    return F.when(may_hold(text, token), own).otherwise(0)
+    hold = may_hold(text, token) if low is None or not token.isascii() else F.contains(low, F.lit(token))
+    return F.when(hold, own).otherwise(0)
 
 
 def default_edits(token: str) -> int:

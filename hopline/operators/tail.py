@@ -42,8 +42,9 @@ class Tail:
         out = f"__score{len(self.scores)}"
         if e.name == "rrf":
             k = self.scope.constant(e.args[2])[1] if len(e.args) == 3 else rank.RRF_K
-            parts = {"window": False, "parts": True}.get(self.ranks)
-            self.df = rank.rrf(self.df, ranks, [name(v, ID) for v in sorted(self.rows.vars)], rank.RRF_K if k is None else k, out, parts)
+            ties = [name(v, ID) for v in sorted(self.rows.vars)]
+            parts = rank.in_parts(self.rows.df, ties) if self.ranks == "auto" else self.ranks == "parts"
+            self.df = rank.rrf(self.df, ranks, ties, rank.RRF_K if k is None else k, out, parts)
         else:
             self.df = self.df.withColumn(out, self.scope.call(e, self.bound()))
         self.scores[e] = out
