@@ -38,18 +38,24 @@ def own_dir(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/hopline-{spark.sparkContext.applicationId}"
     if path not in _cleared:
         _cleared.add(path)
-        atexit.register(_quietly_clear, spark, path)
+        atexit.register(_quietly_clear, *_at(spark, path))  # looked up now, for the session may be stopped by then
     return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
+    """The Hadoop file system and path of a name."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
 
 
-def _quietly_clear(spark: SparkSession, path: str) -> None:
+def _quietly_clear(fs, at) -> None:
     try:
-        delete(spark, path)
+        fs.delete(at, True)
     except Exception:  # noqa: BLE001 - the gateway may be gone, and with it the application
         pass
 
