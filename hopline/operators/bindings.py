@@ -23,6 +23,11 @@ def key(var: str) -> Column:
     return ref(var, ID)
 
 
+def expected_bytes(df: DataFrame) -> int:
+    """What the optimiser expects; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 @dataclass
 class Rows:
     """The rows of some bound variables (name to node type); ``whole`` if they are all nodes of one type."""

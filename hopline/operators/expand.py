@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from hopline.operators.bindings import Rows, key, scan
+from hopline.operators.bindings import Rows, expected_bytes, key, scan
 from hopline.plans.schema import DST, ID, SRC
 from hopline.sources import staging
 
 FROM, TO = "__from", "__to"
 #: Steps of a bounded walk whose levels are one lazy plan.
 LAZY_HOPS = 3
+#: Ids that a row of a product looks through for each other row.
+SLOT = 64
 
 
 def pairs(edges: DataFrame, out: bool, distinct: bool) -> DataFrame:
@@ -66,6 +71,59 @@ def between(rows: Rows, src: str, links: DataFrame, dst: str) -> Rows:
 
 
 def across(left: Rows, src: str, links: DataFrame, dst: str, right: Rows) -> Rows:
-    """Connect two separate sets of rows through the pairs."""
-    df = left.df.join(links, key(src) == links[FROM]).join(right.df, links[TO] == key(dst)).drop(FROM, TO)
-    return Rows(df, left.vars | right.vars)
+    """Connect two separate sets of rows through the pairs, the smaller set first."""
+    ends = [(left.df, key(src) == F.col(FROM)), (right.df, key(dst) == F.col(TO))]
+    if expected_bytes(right.df.select(key(dst))) < expected_bytes(left.df.select(key(src))):
+        ends.reverse()
+    df = links
+    for side, same in ends:
+        df = side.join(df, same)
+    return Rows(df.drop(FROM, TO), left.vars | right.vars)
+
+
+def without(rows: Rows, what: Column | DataFrame, keys: list[str]) -> Rows:
+    """Drop the rows that fulfil a condition, or whose variables ``keys`` have ids that are in a table."""
+    if isinstance(what, Column):
+        return Rows(rows.df.filter(~what), rows.vars)
+    same = reduce(Column.__and__, [key(v) == what[f"__hit{i}"] for i, v in enumerate(keys)])
+    return Rows(rows.df.join(what, same, "left_anti"), rows.vars)
+
+
+def product(left: Rows, right: Rows, tests: list[tuple[Column | DataFrame, list[str]]]) -> Rows:
+    """All pairs of rows but those that a test takes away (see ``without``).
+
+    The product is never shuffled: the excluded ids of ``left`` travel with
+    the rows of ``right``, and each pair is tested as it is made.  A row with
+    many of them has copies, each with the ids of one range of hashes, and
+    each meets only that range; the ranges of a row leave nothing out.
+    """
+    vars = left.vars | right.vars
+    if tests and expected_bytes(right.df.select(*map(key, right.vars))) < expected_bytes(left.df.select(*map(key, left.vars))):
+        left, right = right, left
+    a, b, kept, added = left.df, right.df, [], []
+    for i, (what, keys) in enumerate(tests):
+        if isinstance(what, Column):
+            kept.append(~what)
+            continue
+        low, high, ids, other, hashed = (f"__{x}{i}" for x in ("low", "high", "ids", "other", "hash"))
+        hit = {v: F.col(f"__hit{j}") for j, v in enumerate(keys)}
+        at = {f"__at{i}_{j}": v for j, v in enumerate(v for v in keys if v in right.vars)}
+        rest = [v for v in keys if v in left.vars]
+        held = what.dropna().select(*[hit[v].alias(c) for c, v in at.items()], _one([hit[v] for v in rest]).alias(other))
+        held = held.withColumn(hashed, F.xxhash64(other)).withColumn("__slot", F.floor((F.rank().over(Window.partitionBy(*at).orderBy(hashed)) - 1) / SLOT))
+        held = held.groupBy(*at, "__slot").agg(F.min(hashed).alias(low), F.collect_list(other).alias(ids))
+        held = held.withColumn(high, F.lead(low).over(Window.partitionBy(*at).orderBy("__slot")))
+        held = held.withColumn(low, F.when(F.col("__slot") > 0, F.col(low)).otherwise(F.lit(-(2**63)))).drop("__slot")
+        b = b.join(held, reduce(Column.__and__, [key(v) == F.col(c) for c, v in at.items()]), "left").drop(*at)
+        a = a.withColumn(other, _one([key(v) for v in rest])).withColumn(hashed, F.xxhash64(other))
+        inside = (F.col(hashed) >= F.col(low)) & (F.col(high).isNull() | (F.col(hashed) < F.col(high)))
+        kept.append(F.col(low).isNull() | inside & ~F.coalesce(F.array_contains(F.col(ids), F.col(other)), F.lit(False)))
+        added += [low, high, ids, other, hashed]
+    df = a.crossJoin(b)
+    if kept:
+        df = df.filter(reduce(Column.__and__, kept)).drop(*added)
+    return Rows(df, vars)
+
+
+def _one(columns: list[Column]) -> Column:
+    return columns[0] if len(columns) == 1 else F.struct(*[c.alias(f"k{j}") for j, c in enumerate(columns)])

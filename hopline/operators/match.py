@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import count
 
@@ -104,15 +104,18 @@ class Matcher:
 
     Bindings come first, then traversals in an order in which each continues
     from what is bound, then filters, each as soon as its variables are in one
-    set of rows, then negations.  Separate sets are only cross-joined if no
-    traversal or comparison connects them.
+    set of rows.  Separate sets are only cross-joined if no traversal or
+    comparison connects them, and negations come before that: those that
+    decide within one set there, others as tests of the pairs that are made.
     """
 
     def __init__(self, graph, scope: Scope, negation: str = "all_vars"):
         self.graph, self.scope, self.negation, self.fresh = graph, scope, negation, count()
 
-    def run(self, clauses, bound: dict[str, str], seed: Rows | None = None) -> Rows:
-        sets: list[Rows] = [seed] if seed else []
+    def run(self, clauses, bound: dict[str, str], seeds: Sequence[Rows] = ()) -> Rows:
+        sets: list[Rows] = list(seeds)
+        # a negated block of one hop finds the same pairs if its edges repeat them
+        one_hop = bool(seeds) and sum(not isinstance(c, A.Filter) for c in clauses) == 1
 
         def of(var: str) -> Rows | None:
             return next((s for s in sets if var in s.vars), None)
@@ -146,7 +149,7 @@ class Matcher:
         while waiting:
             walk = next((w for w in waiting if of(w.src) or of(w.dst)), waiting[0])
             waiting.remove(walk)
-            self.walk(walk, of, replace, start)
+            self.walk(walk, of, replace, start, one_hop and walk.high == 1)
             settle()
         # what is still apart meets on comparisons first
         for f in list(filters):
@@ -159,17 +162,30 @@ class Matcher:
                 for other in apart[1:]:
                     joined = replace(Rows(joined.df.crossJoin(other.df), joined.vars | other.vars), joined, other)
                 settle()
+        for f in filters:  # of constants only
+            sets[0] = Rows(sets[0].df.filter(self.scope.condition(f, bound)), sets[0].vars)
+        return self.product(sets, [c for c in clauses if isinstance(c, A.Negation)])
+
+    def product(self, sets: list[Rows], negations: list[A.Negation]) -> Rows:
+        """All combinations of separate sets for which no negated block matches."""
+        tests = []
+        for n in negations:
+            what, keys = self.excluded(sets, n)
+            at = [i for i, s in enumerate(sets) if set(keys) & set(s.vars)] or [0]
+            if len(at) > 1:
+                tests.append((what, keys))
+            else:
+                sets[at[0]] = expand.without(sets[at[0]], what, keys)
         rows = sets[0]
         for other in sets[1:]:
-            rows = Rows(rows.df.crossJoin(other.df), rows.vars | other.vars)
-        for f in filters:  # of constants only
-            rows = Rows(rows.df.filter(self.scope.condition(f, bound)), rows.vars)
-        for n in (c for c in clauses if isinstance(c, A.Negation)):
-            rows = self.without(rows, n)
+            both = set(rows.vars) | set(other.vars)
+            rows = expand.product(rows, other, [t for t in tests if set(t[1]) <= both])
+            tests = [t for t in tests if not set(t[1]) <= both]
         return rows
 
-    def walk(self, w, of, replace, start) -> None:
+    def walk(self, w, of, replace, start, repeats: bool = False) -> None:
         edges, distinct = self.graph.edge(w.edge)
+        distinct = distinct or repeats
         src, dst = of(w.src), of(w.dst)
         if src is None and (dst is None or w.src != "_") and dst is None:
             src = start(w.src if w.src != "_" else f"_{next(self.fresh)}", w.src_type)
@@ -199,28 +215,30 @@ class Matcher:
         target = None if new == "_" else self.graph.node(kind)
         replace(expand.to_new(rows, at, links, new, target, kind), rows)
 
-    def without(self, rows: Rows, n: A.Negation) -> Rows:
-        """Drop the rows for which the block matches with their values of all outer variables it names.
+    def excluded(self, sets: list[Rows], n: A.Negation) -> tuple[Column | DataFrame, list[str]]:
+        """What a negated block takes away, and the outer variables that decide: a condition, or the ids for which it matches.
 
-        With ``negation="first_var"`` only the first such variable decides.
+        It matches with the values of all outer variables that it names; with
+        ``negation="first_var"`` only the first such variable decides.
         """
         bound = self.scope.checked.inner[id(n)]
-        outer = [v for v in _in_order(n) if v in rows.vars]
+        known = {v: kind for s in sets for v, kind in s.vars.items()}
+        outer = [v for v in _in_order(n) if v in known]
         keys = outer[:1] if self.negation == "first_var" else outer
         own = [c for c in n.clauses if isinstance(c, A.Filter)]
-        if len(own) == len(n.clauses) and all((variables(c) & set(bound)) <= set(rows.vars) for c in own):
+        if len(own) == len(n.clauses) and all((variables(c) & set(bound)) <= set(known) for c in own):
             hit = reduce(Column.__and__, [F.coalesce(self.scope.condition(c, bound), F.lit(False)) for c in own])
-            return Rows(rows.df.filter(~hit), rows.vars)
-        if len(outer) == 1 and rows.whole:  # the block starts from all nodes anyway
+            return hit, outer
+        hits = self.run(n.clauses, bound, [self.seed(s, [v for v in outer if v in s.vars]) for s in sets if set(outer) & set(s.vars)]).df
+        return hits.select(*[key(v).alias(f"__hit{i}") for i, v in enumerate(keys)]).distinct(), keys
+
+    def seed(self, rows: Rows, outer: list[str]) -> Rows:
+        """Where a negated block starts from: what the match has reached of these variables, each combination once."""
+        if len(outer) == 1 and rows.whole:
             kind = rows.vars[outer[0]]
-            seed = scan(self.graph.node(kind), outer[0], kind)
-        else:  # only from what the match has reached
-            held = [name(v, c) for v in outer for c in (ID, *self.graph.props(rows.vars[v]), *(f"{text_fn.STORED}{p}" for p in sorted(self.scope.stored.get(rows.vars[v], ()))))]
-            seed = Rows(rows.df.select(*[f"`{c}`" for c in held]).dropDuplicates([name(v, ID) for v in outer]), {v: rows.vars[v] for v in outer})
-        hits = self.run(n.clauses, bound, seed).df
-        hits = hits.select(*[key(v).alias(f"__hit{i}") for i, v in enumerate(keys)]).distinct()
-        same = reduce(Column.__and__, [key(v) == hits[f"__hit{i}"] for i, v in enumerate(keys)])
-        return Rows(rows.df.join(hits, same, "left_anti"), rows.vars)
+            return scan(self.graph.node(kind), outer[0], kind)
+        held = [name(v, c) for v in outer for c in (ID, *self.graph.props(rows.vars[v]), *(f"{text_fn.STORED}{p}" for p in sorted(self.scope.stored.get(rows.vars[v], ()))))]
+        return Rows(rows.df.select(*[f"`{c}`" for c in held]).dropDuplicates([name(v, ID) for v in outer]), {v: rows.vars[v] for v in outer})
 
 
 def _in_order(n: A.Negation) -> list[str]:

@@ -5,6 +5,8 @@ import datetime as dt
 import hashlib
 import json
 import math
+import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -17,6 +19,7 @@ from hopline.errors import CheckError, ConstraintError, HoplineError, LoadError,
 from hopline.functions import rank, text
 from hopline.functions.vector import embed
 from hopline.graph import Graph
+from hopline.operators import expand
 from hopline.operators import load as L
 from hopline.plans.schema import parse_schema
 from hopline.session import GraphSession
@@ -141,6 +144,63 @@ def test_negated_blocks_with_two_variables(rail):
     assert names(rail, 'match { $s: Stop { code: "OS" }  $s track $t  not { $t track $_ } } return { $t.code }') == ["RT"]
 
 
+def test_products_are_made_once_and_never_shuffled(spark):
+    catalog = parse_schema(RAIL)
+    g = Graph(spark, catalog, distinct_edges=set())
+    for body in (
+        "match { $o: Operator  $s: Stop  not { $o serves $s } } return { $o.name, $s.code }",
+        "match { $o: Operator  $s: Stop  $s track $t  not { $o serves $s } not { $o serves $t  $t.lift > $o.fleet } not { $s.lift < $o.fleet } } return { $o.name, $s.code }",
+        "match { $o: Operator  $s: Stop  $x: Stop  not { $o serves $s } not { $s track $x } not { $o serves $x  $x track $s } } return { $o.name, $s.code }",
+    ):
+        plan = g.query(f"query q() {{ {body} }}")._jdf.queryExecution().executedPlan().toString().split("\n")
+        products = [i for i, line in enumerate(plan) if re.search("NestedLoopJoin|CartesianProduct", line)]
+        assert len(products) == body.count(": ") - 1
+        assert not any("Exchange hash" in line for line in plan[: products[0]])
+
+
+def test_negated_blocks_over_products(spark, monkeypatch):
+    """Against all combinations tried by hand: rows with many excluded ids, repeated edges, rows that are there twice."""
+    monkeypatch.setattr(expand, "SLOT", 3)
+    rnd = random.Random(4)
+    catalog = parse_schema(RAIL)
+    serves = [(o, s) for o in range(5) for s in range(23) if rnd.random() < (0.0, 0.1, 0.5, 0.9, 1.0)[o]]
+    serves += serves[::3]
+    tracks = [(rnd.randrange(23), rnd.randrange(23)) for _ in range(60)]
+    lifts, fleets = [rnd.choice([None, 1, 2, 3]) for _ in range(23)], [2, None, 1, 3, 2]
+    stops = spark.createDataFrame([(i, str(i), x, None) for i, x in enumerate(lifts)], catalog.nodes["Stop"].schema())
+    operators = spark.createDataFrame([(i, str(i), x) for i, x in enumerate(fleets)], catalog.nodes["Operator"].schema())
+    edges = {
+        "Serves": spark.createDataFrame([(i, *x) for i, x in enumerate(serves)], catalog.edges["Serves"].schema()),
+        "Track": spark.createDataFrame([(i, *x, None) for i, x in enumerate(tracks)], catalog.edges["Track"].schema()),
+    }
+    g = Graph(spark, catalog, {"Stop": stops, "Operator": operators}, edges, set())
+    served, tracked = set(serves), set(tracks)
+    cells = [(o, s) for o in range(5) for s in range(23)]
+
+    def found(body, **options):
+        return sorted(tuple(map(int, r)) for r in g.query(f"query q() {{ {body} }}", **options).collect())
+
+    both = "match { $o: Operator  $s: Stop  not { $o serves $s } %s } return { $o.name, $s.code }"
+    assert found(both % "") == sorted(x for x in cells if x not in served)
+    assert found(both % "", negation="first_var") == sorted(x for x in cells if x[0] not in {o for o, _ in served})
+    assert found(both % "not { $s track $s } not { $s.lift < $o.fleet }") == sorted(
+        (o, s) for o, s in cells if (o, s) not in served and (s, s) not in tracked and not (lifts[s] and fleets[o] and lifts[s] < fleets[o])
+    )
+    assert found(both % "not { $o serves $x  $s track $x }") == sorted(
+        (o, s) for o, s in cells if (o, s) not in served and not any((o, x) in served and (s, x) in tracked for x in range(23))
+    )
+    # two variables of one set and one of the other
+    assert found("match { $o: Operator  $s: Stop  $s track $t  not { $o serves $s  $o serves $t } } return { $o.name, $s.code, $t.code }") == sorted(
+        (o, s, t) for o in range(5) for s, t in tracked if not ((o, s) in served and (o, t) in served)
+    )
+    # three sets
+    assert found("match { $o: Operator  $s: Stop  $x: Stop  $s.lift = 1  $x.lift = 2  not { $o serves $s } not { $s track $x } not { $o serves $x  $x track $s } } return { $o.name, $s.code, $x.code }") == sorted(
+        (o, s, x) for o, s in cells for x in range(23) if lifts[s] == 1 and lifts[x] == 2 and (o, s) not in served and (s, x) not in tracked and not ((o, x) in served and (x, s) in tracked)
+    )
+    # rows that are there twice stay there twice
+    assert found("match { $o: Operator  $s: Stop  $s track $t  not { $o serves $s } } return { $o.name, $s.code }") == sorted((o, s) for o in range(5) for s, _ in tracked if (o, s) not in served)
+
+
 def test_parameters(rail):
     with pytest.raises(HoplineError, match="missing"):
         names(rail, "match { $s: Stop { code: $c } } return { $s.code }", {}, "$c: String")
