@@ -13,6 +13,10 @@ from hopline.errors import StoreError
 
 _cleared: set[str] = set()
 
+#: Hadoop's local file system sets permissions by a child process, twice for a file with a checksum file and once
+#: for one without; each child shares the executor's memory until it runs.  Staged tables go without checksum files.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where everything runs in this process."""
@@ -69,7 +73,7 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` and read it back: cuts lineage, survives lost executors.  ``options`` go to the writer."""
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**{**PLAIN_FILES, **options}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._hopline_path = path
     return out

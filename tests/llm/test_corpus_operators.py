@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import AWKWARD, SCHEMA, clashing, docs, write
@@ -434,6 +435,21 @@ def test_mixture_to_entropy_and_budget(spark):
     assert mixing.exponent(spark.createDataFrame([(0.9,), (0.1,)], "share double"), None, None) == 1.0
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \t\n\x0b\x0c\rw$\\1\x1c\x85\xa0\u2003é\U0001f600"), max_size=30), min_size=1, max_size=20))
+def test_words_are_counted_without_arrays(spark, texts):
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string").select("i", mixing.tokens(F.col("t")).alias("n"))
+    assert {r.i: r.n for r in df.collect()} == {-1: 0, **{i: len(re.findall("[^\x20\x09-\x0d]+", t)) for i, t in enumerate(texts)}}
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_staged_tables_have_no_checksum_files(spark):
+    staged = common.stage(spark.range(100).repartition(3), "plain")
+    assert staged.count() == 100
+    folder = Path(staged._hopline_path.removeprefix("file:"))
+    assert sum(1 for _ in folder.glob("part-*")) == 3 and not list(folder.rglob(".*.crc"))
+
+
 def test_mixture_edges(spark):
     rows = [(1, None, "en", "none", 1), (2, "", "en", "none", 1), (None, "a b", "en", "s", 1), (3, "a b c", "en", "s", 1), (3, "a b c", "en", "s", 1)]
     got = mixing.mix(docs(spark, rows)).collect()
