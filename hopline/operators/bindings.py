@@ -28,13 +28,20 @@ def expected_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def read_bytes(df: DataFrame) -> int:
+    """The size of all tables that it reads, as the optimiser knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 @dataclass
 class Rows:
-    """The rows of some bound variables (name to node type); ``whole`` if they are all nodes of one type."""
+    """The rows of some bound variables (name to node type); ``whole`` if they are all nodes of one type, ``product`` if they are pairs of separate rows."""
 
     df: DataFrame
     vars: dict[str, str]
     whole: bool = False
+    product: bool = False
 
     def struct(self, var: str, props: list[str]) -> Column:
         """A whole node: its id and its properties."""

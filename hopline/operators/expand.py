@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hopline.operators.bindings import Rows, expected_bytes, key, scan
+from hopline.operators.bindings import Rows, expected_bytes, key, read_bytes, scan
 from hopline.plans.schema import DST, ID, SRC
 from hopline.sources import staging
 
@@ -17,6 +18,10 @@ FROM, TO = "__from", "__to"
 LAZY_HOPS = 3
 #: Ids that a row of a product looks through for each other row.
 SLOT = 64
+#: Rows of the smaller set of a product that each row of the larger one meets in turn, and the tasks that share them out.
+TILE, SHARES = 256, 16
+#: Bytes of tables for each part of the larger set, up to the session's number of shuffle partitions.
+PART_BYTES = 16 << 20
 
 
 def pairs(edges: DataFrame, out: bool, distinct: bool) -> DataFrame:
@@ -89,8 +94,8 @@ def without(rows: Rows, what: Column | DataFrame, keys: list[str]) -> Rows:
     return Rows(rows.df.join(what, same, "left_anti"), rows.vars)
 
 
-def product(left: Rows, right: Rows, tests: list[tuple[Column | DataFrame, list[str]]]) -> Rows:
-    """All pairs of rows but those that a test takes away (see ``without``).
+def product(left: Rows, right: Rows, tests: list[tuple[Column | DataFrame, list[str]]], asked: Callable[[Rows], list[str]]) -> Rows:
+    """All pairs of rows but those that a test takes away (see ``without``); of columns those that are ``asked`` for.
 
     The product is never shuffled: the excluded ids of ``left`` travel with
     the rows of ``right``, and each pair is tested as it is made.  A row with
@@ -98,9 +103,10 @@ def product(left: Rows, right: Rows, tests: list[tuple[Column | DataFrame, list[
     each meets only that range; the ranges of a row leave nothing out.
     """
     vars = left.vars | right.vars
-    if tests and expected_bytes(right.df.select(*map(key, right.vars))) < expected_bytes(left.df.select(*map(key, left.vars))):
+    tile = not left.product and not right.product
+    if (tests or tile) and expected_bytes(right.df.select(*map(key, right.vars))) < expected_bytes(left.df.select(*map(key, left.vars))):
         left, right = right, left
-    a, b, kept, added = left.df, right.df, [], []
+    a, b, kept, added = *(rows.df.select(*[f"`{c}`" for c in asked(rows)]) for rows in (left, right)), [], []
     for i, (what, keys) in enumerate(tests):
         if isinstance(what, Column):
             kept.append(~what)
@@ -119,10 +125,28 @@ def product(left: Rows, right: Rows, tests: list[tuple[Column | DataFrame, list[
         inside = (F.col(hashed) >= F.col(low)) & (F.col(high).isNull() | (F.col(hashed) < F.col(high)))
         kept.append(F.col(low).isNull() | inside & ~F.coalesce(F.array_contains(F.col(ids), F.col(other)), F.lit(False)))
         added += [low, high, ids, other, hashed]
-    df = a.crossJoin(b)
+    df = tiled(a, [key(v) for v in left.vars], b, [key(v) for v in right.vars]) if tile else a.crossJoin(b)
     if kept:
         df = df.filter(reduce(Column.__and__, kept)).drop(*added)
-    return Rows(df, vars)
+    return Rows(df, vars, product=True)
+
+
+def tiled(a: DataFrame, a_ids: list[Column], b: DataFrame, b_ids: list[Column]) -> DataFrame:
+    """All pairs, in an order that takes little space when it is written.
+
+    A task takes one tile of ``a`` after the other, and each row of ``b`` with
+    all rows of the tile.  So the columns of ``b`` stay the same for a tile's
+    length, those of ``a`` come again after it, and a task has few different
+    values of both: dictionary, run lengths and any codec shrink that to about
+    a bit a row, where a longer cycle outgrows a dictionary or a codec's window.
+    """
+    share, at = "__share", Window.partitionBy("__share").orderBy(*a_ids)
+    tiles = a.withColumn(share, F.pmod(F.xxhash64(*a_ids), F.lit(SHARES)).cast("int")).repartitionById(SHARES, F.col(share))
+    tiles = tiles.withColumn("__tile", F.floor((F.row_number().over(at) - 1) / TILE))
+    tiles = tiles.groupBy(share, "__tile").agg(F.collect_list(F.struct(*[f"`{c}`" for c in a.columns])).alias("__rows")).select("__rows")
+    parts = min(-(-read_bytes(b) // PART_BYTES), int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # the hint keeps the tiles outside: a broadcast would go through all of them for each row of b
+    return tiles.hint("shuffle_replicate_nl").crossJoin(b.repartition(max(1, parts), *b_ids)).select(*[f"`{c}`" for c in b.columns], F.inline("__rows"))
 
 
 def _one(columns: list[Column]) -> Column:

@@ -14,7 +14,7 @@ from hopline.functions import vector as vector_fn
 from hopline.operators import compare, expand
 from hopline.operators.bindings import Rows, key, name, ref, scan
 from hopline.plans import ast as A
-from hopline.plans.check import Checked, literal_type, variables
+from hopline.plans.check import Checked, accesses, literal_type, variables
 from hopline.plans.schema import ID
 from hopline.plans.types import PropType
 from hopline.plans.values import column, literal
@@ -179,10 +179,20 @@ class Matcher:
         rows = sets[0]
         for other in sets[1:]:
             both = set(rows.vars) | set(other.vars)
-            rows = expand.product(rows, other, [t for t in tests if set(t[1]) <= both])
+            rows = expand.product(rows, other, [t for t in tests if set(t[1]) <= both], self.asked)
             tests = [t for t in tests if not set(t[1]) <= both]
         return rows
 
+    def asked(self, rows: Rows) -> list[str]:
+        """The columns that the query may still ask for: ids, and what it names anywhere."""
+        q = self.scope.checked.query
+        known = accesses([*q.match, *q.returns, *q.order])
+        return [c for v in rows.vars for c in self.held(rows, v) if c == name(v, ID) or (v, None) in known or any(c in (name(v, p), name(v, f"{text_fn.STORED}{p}")) for x, p in known if x == v)]
+
+    def held(self, rows: Rows, var: str) -> list[str]:
+        kind = rows.vars[var]
+        return [name(var, c) for c in (ID, *self.graph.props(kind), *(f"{text_fn.STORED}{p}" for p in sorted(self.scope.stored.get(kind, ()))))]
+
     def walk(self, w, of, replace, start, repeats: bool = False) -> None:
         edges, distinct = self.graph.edge(w.edge)
         distinct = distinct or repeats
@@ -237,7 +247,7 @@ class Matcher:
         if len(outer) == 1 and rows.whole:
             kind = rows.vars[outer[0]]
             return scan(self.graph.node(kind), outer[0], kind)
-        held = [name(v, c) for v in outer for c in (ID, *self.graph.props(rows.vars[v]), *(f"{text_fn.STORED}{p}" for p in sorted(self.scope.stored.get(rows.vars[v], ()))))]
+        held = [c for v in outer for c in self.held(rows, v)]
         return Rows(rows.df.select(*[f"`{c}`" for c in held]).dropDuplicates([name(v, ID) for v in outer]), {v: rows.vars[v] for v in outer})
 
 

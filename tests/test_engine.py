@@ -201,6 +201,51 @@ def test_negated_blocks_over_products(spark, monkeypatch):
     assert found("match { $o: Operator  $s: Stop  $s track $t  not { $o serves $s } } return { $o.name, $s.code }") == sorted((o, s) for o in range(5) for s, _ in tracked if (o, s) not in served)
 
 
+def test_written_products_take_a_few_bits_a_row(spark, tmp_path):
+    """Rows come in an order that dictionaries, run lengths and the default codec shrink."""
+    n, catalog = 3000, parse_schema(RAIL)
+    own = [F.col("id").alias("__id"), F.col("id").cast("string")]
+    stops = spark.range(n).select(*own[:1], own[1].alias("code"), F.col("id").cast("int").alias("lift"), F.lit(None).cast("string").alias("zone"))
+    operators = spark.range(n).select(*own[:1], own[1].alias("name"), F.col("id").cast("int").alias("fleet"))
+    serves = spark.range(0, n, 3).select(F.col("id").alias("__id"), F.col("id").alias("__src"), (F.col("id") * 7 % n).alias("__dst"))
+    g = Graph(spark, catalog, {"Stop": stops, "Operator": operators}, {"Serves": serves})
+    for i, test in enumerate(("", "not { $o serves $s }")):
+        found = g.query(f"query q() {{ match {{ $o: Operator  $s: Stop  {test} }} return {{ $o.fleet, $s.lift }} }}")
+        found.write.parquet(str(tmp_path / f"{i}"))
+        wrote = spark.read.parquet(str(tmp_path / f"{i}"))
+        assert wrote.count() == n * n - (serves.count() if test else 0)
+        assert 8 * sum(f.stat().st_size for f in (tmp_path / f"{i}").glob("*.parquet")) < 2.5 * n * n
+
+
+def test_products_in_tiles(spark, monkeypatch):
+    """All pairs whatever the sizes of tiles and parts; rows that are there twice, nulls, whole nodes, aggregates and order."""
+    catalog = parse_schema(RAIL)
+    lifts, fleets = [None, 5, 5, 1, None, 7, 2], [3, None, 3, 8]
+    stops = spark.createDataFrame([(i, f"s{i}", x, None) for i, x in enumerate(lifts)], catalog.nodes["Stop"].schema())
+    operators = spark.createDataFrame([(i, f"o{i}", x) for i, x in enumerate(fleets)], catalog.nodes["Operator"].schema())
+    tracks = [(0, 1), (0, 2), (1, 2), (3, 3)]
+    edges = {"Track": spark.createDataFrame([(i, *x, None) for i, x in enumerate(tracks)], catalog.edges["Track"].schema())}
+    g = Graph(spark, catalog, {"Stop": stops, "Operator": operators}, edges)
+
+    def found(body):
+        return [tuple(r) for r in g.query(f"query q() {{ {body} }}").collect()]
+
+    for tile, shares in ((1, 1), (2, 3), (256, 16)):
+        monkeypatch.setattr(expand, "TILE", tile)
+        monkeypatch.setattr(expand, "SHARES", shares)
+        assert sorted(found("match { $o: Operator  $s: Stop } return { $o.fleet, $s.lift }"), key=str) == sorted([(f, x) for f in fleets for x in lifts], key=str)
+        pairs = [(o, a) for o in range(4) for a, _ in tracks]
+        assert sorted(found("match { $o: Operator  $s: Stop  $s track $_ } return { $o.name, $s.code }")) == sorted((f"o{o}", f"s{a}") for o, a in pairs)
+        whole = found("match { $o: Operator { fleet: 8 }  $s: Stop { lift: 7 } } return { $o, $s }")
+        assert [(o.name, o.fleet, s.code, s.lift, s.zone) for o, s in whole] == [("o3", 8, "s5", 7, None)]
+        assert found("match { $o: Operator  $s: Stop  not { $s.lift < $o.fleet } } return { $o.name as name, count($s) as n } order { name }") == [
+            (f"o{i}", sum(not (x is not None and f is not None and x < f) for x in lifts)) for i, f in enumerate(fleets)
+        ]
+        assert found("match { $o: Operator  $s: Stop { zone: \"none\" } } return { $o.name }") == []
+        three = [(o, a, b) for o in fleets for a in lifts for b in lifts if a == 5 and b == 7]
+        assert sorted(found("match { $o: Operator  $s: Stop { lift: 5 }  $x: Stop { lift: 7 } } return { $o.fleet, $s.lift, $x.lift }"), key=str) == sorted(three, key=str)
+
+
 def test_parameters(rail):
     with pytest.raises(HoplineError, match="missing"):
         names(rail, "match { $s: Stop { code: $c } } return { $s.code }", {}, "$c: String")
